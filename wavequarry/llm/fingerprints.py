@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textkernel import joined, prefix_hash, slices, span_hash, text_buffer
 
@@ -167,7 +168,7 @@ def fingerprint(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
             yield b.append_column("fingerprint", pa.array([as_text(d) for d in digests(texts, rank)], pa.string()))
 
     plain = docs.select(*[c for c in docs.columns if c != "fingerprint"])
-    return plain.mapInArrow(add, plain.schema.add("fingerprint", "string"))
+    return plain.mapInArrow(add, T.StructType([*plain.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
 
 def with_next(docs: DataFrame, ranges: int) -> tuple[DataFrame, int]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality, toxicity
 from .bpe import count_tokens, encode_digests
+from .embeddings import near_duplicates
 from .fingerprints import compare_edits
 from .mixing import mix_sources
 from .sharding import shard_rows
@@ -27,13 +29,25 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op4_token_counts": op4_token_counts, "op7_sharding": op7_sharding, "op10_mixing": op10_mixing}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op4_token_counts": op4_token_counts, "op5_quality": op5_quality, "op6_embeddings": op6_embeddings, "op7_sharding": op7_sharding, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
