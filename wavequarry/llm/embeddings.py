@@ -107,8 +107,7 @@ def linked(x: np.ndarray, tx: Tree, y: np.ndarray, ty: Tree, cosine: float) -> I
     reach = np.sqrt(2 - 2 * cosine)
     level = 1
     i, j = tx.depth(level), ty.depth(level)
-    most = tx.radii[i].max() + ty.radii[j].max() + reach + SLACK
-    a, b = _near(x[tx.centres[i]], y[ty.centres[j]], most)
+    a, b = _near(x[tx.centres[i]], y[ty.centres[j]], tx.radii[i] + reach, ty.radii[j])
     while len(a):
         rx, ry = tx.radii[i], ty.radii[j]
         keep_a, keep_b = [], []
@@ -137,13 +136,16 @@ def linked(x: np.ndarray, tx: Tree, y: np.ndarray, ty: Tree, cosine: float) -> I
         i, j = tx.depth(level), ty.depth(level)
 
 
-def _near(x: np.ndarray, y: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of top nodes no further apart than ``most`` (and some more), by matrix products in single precision."""
-    least = 1 - most * most / 2 - 1e-5
-    x, y = x.astype(np.float32), y.astype(np.float32)
+def _near(x: np.ndarray, y: np.ndarray, reach_x: np.ndarray, reach_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of top nodes no further apart than their reaches together (and a few more), by matrix products in single precision."""
+    x, y, reach_x, reach_y = (v.astype(np.float32) for v in (x, y, reach_x, reach_y))
     a, b = [], []
     for k in range(0, len(x), TILE):
-        p, q = np.nonzero(x[k : k + TILE] @ y.T >= least)
+        gap = np.add.outer(reach_x[k : k + TILE], reach_y)
+        gap *= gap
+        gap *= np.float32(0.5)
+        gap += x[k : k + TILE] @ y.T
+        p, q = np.nonzero(gap >= np.float32(1 - 1e-5))
         a.append(p + k)
         b.append(q)
     return np.concatenate(a), np.concatenate(b)
