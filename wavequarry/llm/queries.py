@@ -9,6 +9,7 @@ from . import quality, toxicity
 from .bpe import count_tokens, encode_digests
 from .embeddings import near_duplicates
 from .fingerprints import compare_edits
+from .jaccard import join_components
 from .mixing import mix_sources
 from .sharding import shard_rows
 
@@ -25,6 +26,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,5 +54,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op4_token_counts": op4_token_counts, "op5_quality": op5_quality, "op6_embeddings": op6_embeddings, "op7_sharding": op7_sharding, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op4_token_counts": op4_token_counts, "op5_quality": op5_quality, "op6_embeddings": op6_embeddings, "op7_sharding": op7_sharding, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
