@@ -10,6 +10,7 @@ from .bpe import count_tokens, encode_digests
 from .embeddings import near_duplicates
 from .fingerprints import compare_edits
 from .jaccard import join_components
+from .lm import score_documents
 from .mixing import mix_sources
 from .sharding import shard_rows
 
@@ -46,6 +47,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -54,5 +59,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op4_token_counts": op4_token_counts, "op5_quality": op5_quality, "op6_embeddings": op6_embeddings, "op7_sharding": op7_sharding, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op4_token_counts": op4_token_counts, "op5_quality": op5_quality, "op6_embeddings": op6_embeddings, "op7_sharding": op7_sharding, "op8_lm": op8_lm, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
