@@ -1,4 +1,11 @@
 """All queries by name with the SQL that checks them."""
 
+from __future__ import annotations
+
+from wavequarry.plans import lookups, ordered, signal
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _plan in (signal, lookups, ordered):
+    QUERIES |= _plan.QUERIES
+    ORACLES |= _plan.ORACLES
