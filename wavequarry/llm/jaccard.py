@@ -37,6 +37,8 @@ SHINGLE, PERCENT = 3, 90
 CELLS = 64
 #: Members of a family that are compared in one block.
 BLOCK = 512
+#: Sets that a list's smallest set leads from which on its family also takes in pairs with this share of the overlap.
+BUSY, EASE = 32, 0.9
 #: Records of the prefix index per bucket, about.
 BUCKET_RECORDS = 200_000
 RECORD = np.dtype([("token", "<u8"), ("key", "<i8"), ("n", "<i4"), ("pos", "<i4")])
@@ -143,7 +145,7 @@ def _lists(docs: DataFrame, size: int, percent: int, common: np.ndarray, cell_bi
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose histograms allow the overlap they need."""
+    """Pairs (a, b) whose histograms allow the overlap they need, or the share ``ease`` of it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,12 +156,12 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             if known.any():
                 s, t = (np.frombuffer(b"".join(v[k] for k in np.flatnonzero(known)), "<u2").reshape(-1, CELLS) for v in (x, y))
                 most[known] = np.minimum(s, t).sum(axis=1)
-            keep = pa.array(most >= least_overlap(n, m, percent))
+            keep = pa.array(most >= least_overlap(n, m, percent) * batch.column("ease").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     one = classes.select(F.col("key").alias("a"), F.col("n"), F.col("cells").alias("x"))
     two = classes.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("cells").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(work, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y", "ease").mapInArrow(work, "a long, b long")
 
 
 def _needs(n: str, m: str, percent: int):  # noqa: ANN202
@@ -187,6 +189,7 @@ def _across(lists: DataFrame, families: DataFrame, percent: int) -> DataFrame:
         .where(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("p")) >= _needs("n", "m", percent))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
+        .withColumn("ease", F.lit(1.0))
     )
 
 
@@ -235,13 +238,16 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     buckets = max(64, total * (100 - percent) // 100 // BUCKET_RECORDS)
     lists = stored(_lists(docs, size, percent, common, cell_bits, buckets), folder, "lists")
 
+    reach = F.least(F.col("n") - F.col("pos"), F.col("lead_n") - F.col("lead_pos")) >= _needs("n", "lead_n", percent)
     stars = (
         lists.where("key <> lead")
         .where(F.col("lead_n") * 100 >= F.col("n") * percent)
-        .where(F.least(F.col("n") - F.col("pos"), F.col("lead_n") - F.col("lead_pos")) >= _needs("n", "lead_n", percent))
-        .select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"))
-        .distinct()
+        .groupBy(F.col("key").alias("a"), F.col("lead").alias("b"))
+        .agg(F.bool_or(reach).alias("reach"))
     )
+    # around a set that leads many others, pairs are cheaper to count in blocks than to list: such families take in looser kin
+    busy = stars.groupBy("b").agg(F.count("*").alias("kin")).where(F.col("kin") >= BUSY)
+    stars = stars.join(busy, "b", "left").where("reach or kin is not null").select("a", "b", F.when(F.col("kin").isNotNull(), EASE).otherwise(1.0).alias("ease"))
     similar = stored(_possible(stars, classes, percent), folder, "similar")
     first = stored(components(similar, f"{folder}/first"), folder, "families1")
     across = stored(_possible(_across(lists, first, percent), classes, percent), folder, "across")
