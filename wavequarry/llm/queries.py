@@ -60,4 +60,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op4_token_counts": op4_token_counts, "op5_quality": op5_quality, "op6_embeddings": op6_embeddings, "op7_sharding": op7_sharding, "op8_lm": op8_lm, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
-ORACLES: dict[str, str] = {}
+
+def _components(links: str) -> str:
+    """The smallest node reachable from each node, as two further parts of a recursive WITH; links: a part with a, b both ways."""
+    return f"reach AS (SELECT a AS node, b AS other FROM {links} UNION SELECT r.node, l.b FROM reach r JOIN {links} l ON r.other = l.a), lowest AS (SELECT node, min(other) AS low FROM reach GROUP BY node)"
+
+
+ORACLES: dict[str, str] = {
+    "op3_jaccard": rf"""
+        WITH RECURSIVE spelled AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM spelled
+        ), tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
+        ), links AS (
+            SELECT x.doc_id AS a, y.doc_id AS b FROM tokens x JOIN tokens y ON x.t = y.t AND x.doc_id <> y.doc_id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+            GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+        ), {_components("links")}
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id FROM sets LEFT JOIN lowest ON node = doc_id""",
+    "op6_embeddings": f"""
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.95
+        ), degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a
+        ), {_components("links")}
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+        FROM embeddings LEFT JOIN degrees ON a = vec_id LEFT JOIN lowest ON node = vec_id""",
+}
