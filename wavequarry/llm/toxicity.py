@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
             own: list[np.ndarray] = [np.zeros(0, np.int32)] * b.num_rows
             for first, row, bucket in grams(b.column("text"), wanted):
                 rows, at = np.unique(row, return_index=True)
-                for r, x in zip(rows, np.split(bucket, at[1:]), strict=True):
+                for r, x in zip(rows, np.split(bucket, at)[1:], strict=True):
                     own[first + r] = x.astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([x.tobytes() for x in own], pa.binary())], names=["label", "buckets"])
 
