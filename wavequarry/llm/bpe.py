@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .scratch import small_batches
+
 #: Texts of words, and words, kept with their results in a worker; the memory is emptied when full.
 KEPT = 300_000
 LONGEST_KEPT = 64
@@ -301,7 +303,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
             ids = [encoder.encode(t or "")[1] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([encoder.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, ids array<int>, decoded string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -319,7 +321,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                 text_hash.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
@@ -333,4 +335,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
-    return docs.select("doc_id", "text", n_bytes).mapInArrow(work, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return small_batches(docs).select("doc_id", "text", n_bytes).mapInArrow(work, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import small_batches
 from .textkernel import joined, prefix_hash, slices, span_hash, text_buffer
 
 WINDOW = 64
@@ -160,7 +161,7 @@ def as_text(d: Digest) -> str:
 
 def fingerprint(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
     """Adds ``fingerprint`` to documents, by a given rarity table or that of the documents themselves."""
-    rank = rarity(docs) if rank is None else rank
+    rank = rarity(small_batches(docs)) if rank is None else rank
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,7 +203,7 @@ def compare_edits(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
 
     Rows with equal doc_id are ordered by text; null doc_ids come first.
     """
-    rank = rarity(docs) if rank is None else rank
+    rank = rarity(small_batches(docs)) if rank is None else rank
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed, _ = with_next(docs, 4 * parts)
     dealt = placed.repartition(parts, "range").sortWithinPartitions("range", "tail", "k", F.coalesce("text", F.lit("")))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import shared_folder, stored
+from .scratch import shared_folder, small_batches, stored
 from .shingles import set_key, shingle_sets
 from .textkernel import mix
 
@@ -203,13 +203,13 @@ def _overlapping(keys: list[int], sets: list[np.ndarray], percent: int) -> list[
     overlap = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    width = 8192
+    width = 2048
     for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         lo, hi = np.searchsorted(column, [k, k + width])
         part = np.zeros((len(sets), min(width, int(column[-1]) + 1 - k)), np.float32)
         part[row[lo:hi], column[lo:hi] - k] = 1
         overlap += part @ part.T
-    linked = overlap.astype(np.int64) >= least_overlap(n[:, None], n[None, :], percent)
+    linked = np.stack([overlap[k] >= least_overlap(n[k], n, percent) for k in range(len(sets))])
     label, forest = np.full(len(sets), -1), []
     for start in range(len(sets)):
         if label[start] < 0:
@@ -225,8 +225,7 @@ def _overlapping(keys: list[int], sets: list[np.ndarray], percent: int) -> list[
 
 def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(small_batches(docs).sparkSession)
     cell_block = 1 << 14
     characters = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     cell_bits = int(np.clip(np.ceil(np.log2(max(characters, 1) / 256)), 16, 26))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import fold, logistic, sample
+from .scratch import small_batches
 from .textkernel import _FOLDED, prefix_hash, slices, span_hash, text_buffer, words
 
 WORD_BITS = 15
@@ -106,7 +107,7 @@ def margins(model: Model, n: int, row: np.ndarray, index: np.ndarray, value: np.
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, most: int = SAMPLE) -> Model:
     chosen = sample(labels, label, fold(F.col("doc_id"), folds) != held_out, most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,7 +166,7 @@ def _fit(row: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndarray, s
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """Adds the probability of label 1 to documents."""
-    plain = docs.select(*[c for c in docs.columns if c != name])
+    plain = small_batches(docs).select(*[c for c in docs.columns if c != name])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

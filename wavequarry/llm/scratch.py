@@ -1,4 +1,4 @@
-"""Tables and files that several jobs of one operator share, in the folder of spark.checkpoint.dir."""
+"""Tables and files that several jobs of one operator share, in the folder of spark.checkpoint.dir, and the size of Arrow batches."""
 
 from __future__ import annotations
 
@@ -31,6 +31,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, at most; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's limit on Arrow batches, which would let a worker hold several copies of 64 MB of text."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, None)
+    if now is None or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes the rows once and reads them back, which ends their lineage."""
     path = f"{folder}/{name}"

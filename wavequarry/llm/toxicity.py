@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import fold, logistic, sample
+from .scratch import small_batches
 from .textkernel import FOLD, SEPARATOR, prefix_hash, slices, span_hash, text_buffer
 
 SIZES = (3, 4, 5, 6)
@@ -74,7 +75,7 @@ def grams(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, most: int = SAMPLE) -> Model:
     chosen = sample(labels, label, fold(F.col("doc_id"), folds) != held_out, most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, BUCKETS + 1), np.int64)  # the last column counts texts
@@ -156,7 +157,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """Adds the probability of label 1 to documents."""
     weights, intercept = model.weights, model.intercept
     wanted = weights != 0
-    plain = docs.select(*[c for c in docs.columns if c != name])
+    plain = small_batches(docs).select(*[c for c in docs.columns if c != name])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
