@@ -281,3 +281,21 @@ def test_extra_columns_change_nothing(docs):
     wide = docs.withColumns({c: F.lit("x") for c in ("hash", "size", "bucket", "_source", "target")})
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(mixing.mix_sources(docs)) == key(mixing.mix_sources(wide))
+
+
+@pytest.mark.parametrize("tokens", [1 << 18, 1000, 37])
+def test_overlaps_do_not_depend_on_ranges(monkeypatch, tokens):
+    monkeypatch.setattr(jaccard, "RANGE_TOKENS", tokens)
+    rng = np.random.default_rng(1)
+    base, sets = np.unique(rng.integers(0, 2**64, 400, np.uint64)), []
+    for k in range(40):
+        own = base if k % 2 else np.unique(rng.integers(0, 2**64, 300, np.uint64))
+        sets.append(np.unique(np.concatenate([own[rng.random(len(own)) > 0.04], rng.integers(0, 2**64, int(rng.integers(0, 12)), np.uint64)])))
+    links = {(a, b) for a in range(40) for b in range(40) if a != b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 90 * len(np.union1d(sets[a], sets[b]))}
+    forest = jaccard._overlapping(list(range(40)), sets, 90)
+    reached = {a: {a} for a in range(40)}
+    for a, b in forest:
+        both = reached[a] | reached[b]
+        for x in both:
+            reached[x] = both
+    assert links and set(forest) <= links and all(b in reached[a] for a, b in links)

@@ -37,6 +37,8 @@ SHINGLE, PERCENT = 3, 90
 CELLS = 64
 #: Members of a family that are compared in one block.
 BLOCK = 512
+#: Shingles of a family that are compared in one block, and of a block in one range of hashes, about.
+BLOCK_TOKENS, RANGE_TOKENS = 2_000_000, 1 << 18
 #: Sets that a list's smallest set leads from which on its family also takes in pairs with this share of the overlap.
 BUSY, EASE = 32, 0.9
 #: Records of the prefix index per bucket, about.
@@ -196,19 +198,24 @@ def _across(lists: DataFrame, families: DataFrame, percent: int) -> DataFrame:
 def _overlapping(keys: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets."""
     n = np.array([len(s) for s in sets], np.int64)
-    row = np.repeat(np.arange(len(sets)), n)
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
     overlap = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
+    # one range of hashes at a time: sorting all tokens of a block at once takes ten times their own memory
+    ranges = max(1, -(-int(n.sum()) // RANGE_TOKENS))
+    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    cuts = np.stack([np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]) for s in sets])
     width = 2048
-    for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, [k, k + width])
-        part = np.zeros((len(sets), min(width, int(column[-1]) + 1 - k)), np.float32)
-        part[row[lo:hi], column[lo:hi] - k] = 1
-        overlap += part @ part.T
+    for at in range(ranges):
+        row = np.repeat(np.arange(len(sets), dtype=np.int32), cuts[:, at + 1] - cuts[:, at])
+        _, column, count = np.unique(np.concatenate([s[c[at] : c[at + 1]] for s, c in zip(sets, cuts, strict=True)]), return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            lo, hi = np.searchsorted(column, [k, k + width])
+            part = np.zeros((len(sets), min(width, int(column[-1]) + 1 - k)), np.float32)
+            part[row[lo:hi], column[lo:hi] - k] = 1
+            overlap += part @ part.T
     linked = np.stack([overlap[k] >= least_overlap(n[k], n, percent) for k in range(len(sets))])
     label, forest = np.full(len(sets), -1), []
     for start in range(len(sets)):
@@ -263,7 +270,7 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 def _verified(docs: DataFrame, classes: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between sets of one family, counted exactly; only texts that stand for such a set are read again."""
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    members = families.join(classes.select(F.col("key").alias("node"), number.alias("doc")), "node")
+    members = families.join(classes.select(F.col("key").alias("node"), number.alias("doc"), "n"), "node")
     n = members.count()
     bits = int(np.clip(np.ceil(np.log2(max(n, 1) * 16)), 10, 26))
     hashed = members.select(F.pmod(F.xxhash64("doc"), F.lit(1 << bits)).alias("h"))
@@ -280,17 +287,17 @@ def _verified(docs: DataFrame, classes: DataFrame, families: DataFrame, size: in
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
     sets = docs.select("text", F.pmod(F.xxhash64(number), F.lit(1 << bits)).alias("h")).mapInArrow(sets_of, "node long, tokens binary")
-    counts = families.groupBy("root").agg(F.count("*").alias("members"))
+    counts = members.groupBy("root").agg(F.count("*").alias("members"), F.sum(F.col("n").cast("long")).alias("tokens"))
     dealt = (
         families.join(counts, "root")
-        .withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
+        .withColumn("parts", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("node", "root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     )
     grouped = (
         dealt.join(sets.groupBy("node").agg(F.first("tokens").alias("tokens")), "node")
-        .groupBy("root", "i", "j")  # 2 BLOCK rows a group, about
+        .groupBy("root", "i", "j")  # 2 BLOCK rows and 2 BLOCK_TOKENS shingles a group, about
         .agg(F.sort_array(F.collect_list(F.struct("node", "tokens"))).alias("m"))
         .select("m")
     )
@@ -299,8 +306,8 @@ def _verified(docs: DataFrame, classes: DataFrame, families: DataFrame, size: in
         for b in batches:
             forest: list[tuple[int, int]] = []
             for k in range(b.num_rows):
-                m = b.column("m")[k].as_py()
-                forest += _overlapping([x["node"] for x in m], [np.frombuffer(x["tokens"], np.uint64) for x in m], percent)
+                nodes, tokens = b.column("m")[k].values.flatten()
+                forest += _overlapping(nodes.to_pylist(), [np.frombuffer(t.as_buffer(), np.uint64) for t in tokens], percent)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in forest], pa.int64()), pa.array([c for _, c in forest], pa.int64())], names=["a", "b"])
 
     return grouped.mapInArrow(verify, "a long, b long")
