@@ -20,6 +20,9 @@ from wavequarry.llm.scratch import shared_folder, stored
 
 ORACLE_SQL: str | None = None
 
+#: Near duplicates share this percentage of their shingles of so many words; op3_jaccard has a contract of its own.
+SHINGLE, PERCENT = 5, 80
+
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -43,7 +46,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document that names its component; of rows alike in doc_id and text, one. Rows without doc_id stay unless a component has a name."""
-    kept = join_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    kept = join_components(docs, size=SHINGLE, percent=PERCENT).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
     kept = stored(kept, shared_folder(spark), "kept")
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")))
     if kept.where("_rows > 1").isEmpty():

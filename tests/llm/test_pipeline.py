@@ -1,5 +1,9 @@
 """The corpus pipeline: every stage keeps whole rows, and its decisions take effect."""
 
+import re
+
+import numpy as np
+
 import corpus_pipeline
 from wavequarry.llm import toxicity
 
@@ -27,6 +31,27 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
 
 
+def test_near_duplicates_equal_brute_force_at_five_words_and_four_fifths(spark):
+    random, texts = np.random.default_rng(11), {}
+    for k in range(60):
+        words = [f"g{k}w{x}" for x in range(150)]
+        texts[2 * k] = " ".join(words)
+        if k % 3 == 0:  # another tail
+            words[150 - 5 - k // 2 :] = [f"t{k}x{x}" for x in range(5 + k // 2)]
+        elif k % 3 == 1:  # an inserted block
+            words[70:70] = [f"i{k}x{x}" for x in range(5 + k // 2)]
+        else:  # scattered edits
+            for at in random.choice(150, 1 + k // 12, replace=False):
+                words[at] = f"e{k}"
+        texts[2 * k + 1] = " ".join(words)
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, t in texts.items() for w in [re.findall(r"\S+", t)]}
+    alike = {k: len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(60)}
+    assert sum(0.8 <= a < 0.9 for a in alike.values()) >= 10 and sum(a < 0.8 for a in alike.values()) >= 10
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([2 * k for k in alike] + [2 * k + 1 for k, a in alike.items() if a < 0.8])
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()) == want
+
+
 def test_run_returns_the_encoding_of_what_is_left(spark):
     got = corpus_pipeline.run(spark, DATA)
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(got.columns)
