@@ -134,13 +134,18 @@ def onset_latency(spark, d):  # noqa: ANN001, ANN201
 
 
 def split_column_prune(spark, d):  # noqa: ANN001, ANN201
+    """Of four suppliers only, as in its SQL; split_column_whole takes all."""
     return table(spark, d, "supplier").select("s_suppkey", F.split_part("s_name", F.lit("#"), F.lit(1)).alias("split")).where(F.col("s_suppkey").isin(1, 3, 5, 7))
 
 
+def split_column_whole(spark, d):  # noqa: ANN001, ANN201
+    return table(spark, d, "supplier").select("s_suppkey", F.split_part("s_name", F.lit("#"), F.lit(1)).alias("split"))
+
+
 QUERIES = {f.__name__: f for f in (
     role_regex_projection, role_counts, label_inner_lookup, label_left_lookup, unlabelled_documents, labelled_documents, id_coverage_difference,
     id_intersection, id_subtraction, union_duplicate_check, dataset_profile, record_profile, schema_frequency, group_summary_form, group_summary_code,
-    group_role_summary, having_topk_groups, alignment_summary, label_list_unpivot, channel_schema_hash, onset_latency, split_column_prune,
+    group_role_summary, having_topk_groups, alignment_summary, label_list_unpivot, channel_schema_hash, onset_latency, split_column_prune, split_column_whole,
 )}
 
 ORACLES = {
@@ -178,4 +183,5 @@ ORACLES = {
     "channel_schema_hash": "SELECT user_id, substr(sha1(string_agg(event_type, chr(0) ORDER BY event_id)), 1, 8) AS schema_group FROM events GROUP BY user_id",
     "onset_latency": "SELECT l_orderkey, l_linenumber, round(l_quantity * 2000.0::DOUBLE + 1.0::DOUBLE, 6) AS latency FROM lineitem",
     "split_column_prune": "SELECT s_suppkey, split_part(s_name, '#', 1) AS split FROM supplier WHERE s_suppkey IN (1, 3, 5, 7)",
+    "split_column_whole": "SELECT s_suppkey, split_part(s_name, '#', 1) AS split FROM supplier",
 }
