@@ -134,6 +134,24 @@ def test_fingerprints_of_edited_texts(docs, texts):
     assert got.near_edited.median() > got.near_next.quantile(0.95)
 
 
+def test_fingerprints_across_the_switch_of_windows(spark):
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 2500").orderBy("doc_id").limit(60)
+    rank = fingerprints.rarity(whole)
+    texts = [r.text[k : k + n] for r in whole.collect() for k in (0, 900) for n in (400, 600, 800, 1000, 1300)]
+    edited = [x[: len(x) - len(x) // 4] + y[: len(x) // 4] for x, y in zip(texts, texts[7:] + texts[:7])]
+    own, changed = (fingerprints.digests([t.encode() for t in some], rank) for some in (texts, edited))
+    across = [k for k, (a, b) in enumerate(zip(own, changed)) if (a[0][1].sum() < 8) != (b[0][1].sum() < 8)]
+    assert len(across) >= 10
+    assert all(fingerprints.likeness(own[k], changed[k]) > 0.35 for k in across)
+    assert np.median([fingerprints.likeness(own[k], changed[(k + 25) % len(texts)]) for k in across]) < 0.1
+    # a plain text of few features against one of many windows: only picked windows are in both
+    rng = np.random.default_rng(2)
+    plain = bytes(rng.choice([97, 98], 6000, p=[0.95, 0.05]).astype(np.uint8))
+    rich = plain[:4500] + bytes(rng.integers(97, 123, 1500).astype(np.uint8))
+    a, b = fingerprints.digests([plain, rich], rank)
+    assert a[0][1].sum() < 8 <= b[0][1].sum() and b[1] is None and fingerprints.likeness(a, b) > 0.4
+
+
 def library_ids(tokenizer, text):
     return tokenizer.encode(text, add_special_tokens=False).ids
 

@@ -6,9 +6,13 @@ surroundings in at least 16 sliding neighbourhoods of 64 features is selected an
 2,048 bits of a Bloom filter; after 160 features the next filter of the chain begins. Two digests are
 compared filter by filter: shared bits beyond those expected by chance, over the most that could be shared.
 
+A digest has three chains: of the selected features; of all distinct 16-byte windows (the whole text when shorter),
+if these are 512 at most or fewer than eight features are selected; and of the sixteenth of those windows that their
+hash picks, the same in every text. Two digests are compared on the features if both have eight, else on all
+short windows if both have these, else on the picked ones, which every digest has.
+
 Defined results: null counts as empty; an empty text has an empty digest, which is like another empty one (1) and
-unlike anything else (0); a text with fewer than eight selected features takes all its distinct 16-byte
-windows instead (the whole text when shorter), so short texts compare too. Equal texts have equal digests.
+unlike anything else (0). Equal texts have equal digests.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ CLASSES = 1000
 PLAIN = 100
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 SHORT, SHORT_WINDOW = 8, 16
+#: Distinct short windows up to which a digest has them all, and the bits of a hash that pick the others.
+ALL_SHORT, PICK_BITS = 512, 4
 STEP_BYTES = 1 << 18
 
 _counts = np.arange(WINDOW + 1, dtype=np.float64)
@@ -104,7 +110,16 @@ def _bloom(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(bits, axis=1), np.bincount(chain, minlength=len(bits))
 
 
-Digest = tuple[np.ndarray, np.ndarray]
+Chain = tuple[np.ndarray, np.ndarray]
+#: Selected features, all short windows or None, picked short windows.
+Digest = tuple[Chain, Chain | None, Chain]
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """In the order of their first places."""
+    first = np.unique(hashes, return_index=True)[1]
+    first.sort()
+    return hashes[first]
 
 
 def digests(texts: list[bytes], rank: np.ndarray) -> list[Digest]:
@@ -129,18 +144,26 @@ def digests(texts: list[bytes], rank: np.ndarray) -> list[Digest]:
         hashes = span_hash(running, chosen, chosen + WINDOW)
         split = np.searchsorted(chosen, local)
         for r in range(j - i):
-            own = hashes[split[r] : split[r + 1]]
-            if len(own) < SHORT and local[r] < local[r + 1]:
-                starts = np.arange(local[r], max(local[r] + 1, local[r + 1] - SHORT_WINDOW + 1))
-                own = span_hash(running, starts, np.minimum(starts + SHORT_WINDOW, local[r + 1]))
-            first = np.unique(own, return_index=True)[1]
-            first.sort()
-            out.append(_bloom(own[first]))
+            own = _distinct(hashes[split[r] : split[r + 1]])
+            starts = np.arange(local[r], max(local[r] + 1, local[r + 1] - SHORT_WINDOW + 1) if local[r] < local[r + 1] else local[r])
+            short = _distinct(span_hash(running, starts, np.minimum(starts + SHORT_WINDOW, local[r + 1])))
+            whole = len(short) <= ALL_SHORT or len(own) < SHORT
+            # filters take the lower 55 bits
+            out.append((_bloom(own), _bloom(short) if whole else None, _bloom(short[short >> np.uint64(64 - PICK_BITS) == 0])))
     return out
 
 
 def likeness(a: Digest, b: Digest) -> float:
-    """0 to 1; each filter of the digest with fewer features against the best of the other, weighted by its features."""
+    """0 to 1, on the first kind of windows that tells both texts apart."""
+    if min(a[0][1].sum(), b[0][1].sum()) >= SHORT:
+        return _chain_likeness(a[0], b[0])
+    if a[1] is not None and b[1] is not None:
+        return _chain_likeness(a[1], b[1])
+    return _chain_likeness(a[2], b[2])
+
+
+def _chain_likeness(a: Chain, b: Chain) -> float:
+    """Each filter of the chain with fewer features against the best of the other, weighted by its features."""
     if not len(a[1]) or not len(b[1]):
         return float(len(a[1]) == len(b[1]))
     if np.array_equal(a[0], b[0]):
@@ -156,7 +179,8 @@ def likeness(a: Digest, b: Digest) -> float:
 
 
 def as_text(d: Digest) -> str:
-    return f"{len(d[1])}:{','.join(map(str, d[1]))}:{base64.b64encode(d[0].tobytes()).decode()}"
+    """The three chains, each as its number of filters, their features and bits; - for one that is not there."""
+    return "/".join("-" if c is None else f"{len(c[1])}:{','.join(map(str, c[1]))}:{base64.b64encode(c[0].tobytes()).decode()}" for c in d)
 
 
 def fingerprint(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
