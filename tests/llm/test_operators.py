@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -247,6 +248,58 @@ def test_lm_counts_base_and_distribution(docs, texts):
     assert unseen.score.sum() > unseen.base_score.sum()
 
 
+def kneser_ney(texts, order):
+    """A function of a text's tokens: log10 of its probability, from plain dictionaries."""
+    grams = Counter()
+    for t in texts:
+        padded = ["<s>"] * (order - 1) + t
+        grams.update(tuple(padded[k : k + order]) for k in range(len(t)))
+    levels = [grams]
+    while len(next(iter(levels[0]))) > 1:
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+    discounts, contexts = [], []
+    for counts in levels:
+        n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if all(n) else 0
+        discounts.append([0, *[min(max(k - (k + 1) * y * n[k] / n[k - 1], 0), k) for k in (1, 2, 3)]] if all(n) else [0, 0.5, 0.75, 0.9])
+        about = defaultdict(lambda: [0, 0.0])
+        for g, c in counts.items():
+            about[g[:-1]][0] += c
+            about[g[:-1]][1] += discounts[-1][min(c, 3)]
+        contexts.append(about)
+
+    def probability(gram):
+        if not gram:
+            return 1 / (len(levels[0]) + 1)
+        counts, d, (total, left) = levels[len(gram) - 1], discounts[len(gram) - 1], contexts[len(gram) - 1].get(gram[:-1], (0, 0))
+        below = probability(gram[1:])
+        return (max(counts.get(gram, 0) - d[min(counts.get(gram, 0), 3)], 0) + left * below) / total if total else below
+
+    def score(t):
+        padded = ["<s>"] * (order - 1) + t
+        return sum(math.log10(probability(tuple(padded[k : k + order]))) for k in range(len(t)))
+
+    return score
+
+
+@pytest.mark.parametrize("order", [3, 2])
+def test_lm_equals_kneser_ney_by_brute_force(docs, texts, order):
+    got = by_id(lm.score_documents(docs, order) if order != 3 else lm.score_documents(docs))
+    tokens = {i: [*words_of(t), "\n"] for i, t in texts.items()}
+    score = kneser_ney([t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2], order)
+    for i, t in tokens.items():
+        assert math.isclose(got.score[i], score(t), rel_tol=1e-9), i
+
+
+def test_lm_read_errors_fail(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"a b c w{k} w{k % 7} d") for k in range(50)], "doc_id long, text string")
+    model = lm.train(docs)
+    bucket = int(np.flatnonzero(model.written)[0])
+    os.remove(f"{model.folder.removeprefix('file:').replace('//', '/')}/t{bucket}.npy")
+    with pytest.raises(Exception, match="No such file"):
+        lm.score(docs, model).collect()
+
+
 def auc(label, score):
     rank, n = pd.Series(score).rank(), label.sum()
     return (rank[label == 1].sum() - n * (n + 1) / 2) / (n * (len(label) - n))

@@ -1,17 +1,19 @@
-"""LM scoring by an interpolated modified Kneser-Ney bigram model.
-
-Counting is one Spark job with two shuffles. Tasks count the bigrams of their texts and deal them out by the
-context's hash (contexts that hold much of the corpus by the whole bigram's hash instead, so that no bucket
-is hot); the receiving tasks merge the counts, write each bucket as a sorted hash array into the shared folder, and
-send on what each bucket knows of a word: its count, the number of contexts before it, and how many words follow it
-once, twice or more often. The second set of tasks sums that and writes the word arrays. Files get their
-names by an atomic rename and hold the same bytes whenever a task is run again.
-
-Scoring tasks map these arrays into memory and look up the distinct words and bigrams of some megabytes of text
+"""LM scoring by an interpolated modified Kneser-Ney model of trigrams, or of bigrams where the order is set to two.
+
+Counting is one Spark job with two shuffles. Tasks count the n-grams of their texts and deal them out by the hash of
+the word before the last (of words that hold much of the corpus by that of the last two words instead, so that no
+bucket is hot); the receiving tasks merge the counts, write each bucket as sorted hash arrays into the shared folder,
+and send on what each bucket knows of a word: its count, the number of words before it, and how many words follow it
+after one, two or more others; and, where a bucket has only part of a two-word context, what it knows of that. The second
+set of tasks sums that and writes the word and context arrays. Files get their names by an atomic rename and hold the
+same bytes whenever a task is run again. The model lists the buckets that were written, so that any file that cannot
+be read fails the task.
+
+Scoring tasks map these arrays into memory and look up the distinct words and n-grams of some megabytes of text
 at a time, in hash order. A folder that is not a local path is fetched once per worker.
 
-The order is two: distinct trigrams of such texts are three quarters of all tokens, and their counts do not fit into
-the disk limit that comes with the query.
+Every text begins with two start tokens. Bigrams count by the distinct words before them when the order is three. With
+order two the first word of every trigram is the same one, and the bigram level is left out.
 
 Defined results: words have A-Z lower-cased; every text, null and empty ones too, ends with an end token; unknown words
 share what is left of the continuation probabilities; without any training text every token has probability one.
@@ -35,6 +37,7 @@ from .scratch import shared_folder, small_batches
 from .textkernel import mix, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
+ORDER = 3
 #: Tokens that a task counts or scores at a time, tokens per bucket about, and the least number of buckets.
 STEP_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS = 1_500_000, 500_000, 64
 _BITS48 = np.uint64((1 << 48) - 1)
@@ -72,6 +75,15 @@ def _with_context(parts: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray
     return tokens, before, starts
 
 
+def earlier(before: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
+    """The tokens two before each; all zero for order two."""
+    out = np.zeros_like(before)
+    if order == 3:
+        out[1:] = before[:-1]
+        out[starts[:-1]] = START
+    return out
+
+
 def word_bucket(word: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(word ^ _SEED) % np.uint64(buckets)).astype(np.int64)
 
@@ -80,10 +92,18 @@ def bigram_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(before) + word * np.uint64(0x9E3779B97F4A7C15))
 
 
+def trigram_key(first: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return bigram_key(bigram_key(first, before), word)
+
+
+def _is_spread(before: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return spread[np.minimum(np.searchsorted(spread, before), len(spread) - 1)] == before if len(spread) else np.zeros(len(before), bool)
+
+
 def bigram_bucket(before: np.ndarray, word: np.ndarray, spread: np.ndarray, buckets: int) -> np.ndarray:
     out = word_bucket(before, buckets)
-    if len(spread):
-        wide = spread[np.minimum(np.searchsorted(spread, before), len(spread) - 1)] == before
+    wide = _is_spread(before, spread)
+    if wide.any():
         out[wide] = (bigram_key(before[wide], word[wide]) % np.uint64(buckets)).astype(np.int64)
     return out
 
@@ -136,14 +156,14 @@ def _save(folder: str, name: str, value: np.ndarray) -> None:
     store.move(draft, f"{root}/{name}.npy")
 
 
-_mapped: dict[tuple[str, str], np.ndarray] = {}
+_fetched: dict[tuple[str, str], str] = {}
 
 
 def _load(folder: str, name: str) -> np.ndarray:
-    """Maps an array of the shared folder into memory."""
-    if (folder, name) not in _mapped:
-        if _mapped and next(iter(_mapped))[0] != folder:
-            _mapped.clear()  # another model
+    """Maps an array of the shared folder into memory for as long as it is in use."""
+    if (folder, name) not in _fetched:
+        if _fetched and next(iter(_fetched))[0] != folder:
+            _fetched.clear()  # another model
         if folder.startswith("file:") or folder.startswith("/"):
             path = f"{folder.removeprefix('file:').replace('//', '/')}/{name}.npy"
         else:
@@ -154,13 +174,39 @@ def _load(folder: str, name: str) -> np.ndarray:
             with store.open_input_stream(f"{root}/{name}.npy") as source, open(path, "wb") as f:
                 while block := source.read(1 << 22):
                     f.write(block)
-        _mapped[folder, name] = np.load(path, mmap_mode="r")
-    return _mapped[folder, name]
+        _fetched[folder, name] = path
+    return np.load(_fetched[folder, name], mmap_mode="r")
+
+
+def _save_counts(folder: str, kind: str, name: int, key: np.ndarray, counts: np.ndarray) -> None:
+    """Keys in order, their counts (one row a key) in bytes, and the rows that do not fit."""
+    by = np.argsort(key)
+    counts = counts[by]
+    large = np.flatnonzero((counts >= 255).any(axis=1))
+    _save(folder, f"{kind}{name}", key[by])
+    _save(folder, f"{kind}n{name}", np.minimum(counts, 255).astype(np.uint8))
+    _save(folder, f"{kind}o{name}", np.column_stack([large, counts[large]]))
+
+
+def _counts(folder: str, kind: str, present: np.ndarray, bucket: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
+    """Counts of distinct keys; zero for those that are not in the model."""
+    out = np.zeros((len(key), width), np.int64)
+    order = np.lexsort((key, bucket))
+    order = order[present[bucket[order]]]
+    for name, hit, at in _lookup(folder, kind, bucket[order], key[order]):
+        n = np.asarray(_load(folder, f"{kind}n{name}")[at]).astype(np.int64)
+        if len(full := np.flatnonzero((n == 255).any(axis=1))):
+            rows = _load(folder, f"{kind}o{name}")
+            n[full] = rows[np.searchsorted(rows[:, 0], at[full]), 1:]
+        out[order[hit]] = n
+    return out
 
 
 def _lookup(folder: str, kind: str, bucket: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each bucket: which asked keys are there, and where. Keys are sorted by bucket, then by value."""
-    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
+    if not len(bucket):
+        return
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     for lo, hi in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
         have = _load(folder, f"{kind}{bucket[lo]}")
         if not len(have):
@@ -173,12 +219,17 @@ def _lookup(folder: str, kind: str, bucket: np.ndarray, key: np.ndarray) -> Iter
 @dataclass
 class Model:
     folder: str
+    order: int
     buckets: int
+    #: Buckets whose n-grams and whose words' and contexts' sums were written.
+    written: np.ndarray
+    summed: np.ndarray
     spread: np.ndarray
     tokens: int
     words: int
     bigrams: int
     discounts: np.ndarray
+    middle_discounts: np.ndarray
     lower_discounts: np.ndarray
     lower_left: float
 
@@ -191,8 +242,15 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return np.clip([0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], 0, [0, 1, 2, 3])
 
 
-def train(docs: DataFrame) -> Model:
-    """Counts the bigrams of all rows (doc_id, text) and writes the model's arrays."""
+def _kinds(n: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """In each group, how many counts are 1, 2 and more."""
+    return [np.add.reduceat(c.astype(np.int64), starts) for c in (n == 1, n == 2, n >= 3)]
+
+
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """Counts the n-grams of all rows (doc_id, text) and writes the model's arrays."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order} is neither 2 nor 3")
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/model"
     docs = docs.select("doc_id", "text")
@@ -209,89 +267,115 @@ def train(docs: DataFrame) -> Model:
     spread = np.sort(np.array([r["word"] for r in seen if r["count"] * 4 * buckets >= total], np.int64).view(np.uint64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, word, before, _ in token_runs(batches):
-            order, starts = _grouped(word, before)
-            word, before = word[order[starts]], before[order[starts]]
-            n = np.diff(np.append(starts, len(order)))
+        for _, word, before, texts in token_runs(batches):
+            first = earlier(before, texts, order)
+            by, starts = _grouped(first, word, before)
+            n = np.diff(np.append(starts, len(by)))
+            by = by[starts]
+            first, word, before = first[by], word[by], before[by]
             bucket = bigram_bucket(before, word, spread, buckets)
             by = np.argsort(bucket, kind="stable")
-            word, before, n = word[by], before[by], n[by]
+            first, word, before, n = first[by], word[by], before[by], n[by]
             names, at = np.unique(bucket[by], return_index=True)
             edges = np.append(at, len(by))
-            blobs: list[list[bytes]] = [[], [], [], []]
+            blobs: list[list[bytes]] = [[], [], [], [], [], []]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                runs = np.flatnonzero(np.append(True, before[lo + 1 : hi] != before[lo : hi - 1]))
-                blobs[0].append(_pack48(before[lo + runs]))
-                blobs[1].append(_pack_counts(np.diff(np.append(runs, hi - lo))))
-                blobs[2].append(_pack48(word[lo:hi]))
-                blobs[3].append(_pack_counts(n[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(b, pa.binary()) for b in blobs]], names=["bucket", "before", "runs", "word", "n"])
+                v, w = before[lo:hi], word[lo:hi]
+                pairs = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
+                runs = np.flatnonzero(np.append(True, v[pairs][1:] != v[pairs][:-1]))
+                blobs[0].append(_pack48(v[pairs[runs]]))
+                blobs[1].append(_pack_counts(np.diff(np.append(runs, len(pairs)))))
+                blobs[2].append(_pack48(w[pairs]))
+                blobs[3].append(_pack_counts(np.diff(np.append(pairs, hi - lo))))
+                blobs[4].append(_pack48(first[lo:hi]) if order == 3 else b"")
+                blobs[5].append(_pack_counts(n[lo:hi]))
+            yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(b, pa.binary()) for b in blobs]], names=["bucket", *PARTS])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         about: list[np.ndarray] = []
+        contexts: list[np.ndarray] = []
         held = 0
         for b in batches:
             for k in range(b.num_rows):
-                part = b.column("parts")[k].as_py()
-                context = [_unpack48(p["before"]) for p in part]
-                before = np.concatenate([np.repeat(c, _unpack_counts(p["runs"], len(c))) for c, p in zip(context, part, strict=True)])
-                words = [_unpack48(p["word"]) for p in part]
-                n = np.concatenate([_unpack_counts(p["n"], len(w)) for w, p in zip(words, part, strict=True)])
-                word = np.concatenate(words)
-                order, starts = _grouped(word, before)
-                word, before, n = word[order[starts]], before[order[starts]], np.add.reduceat(n[order], starts)
-                name, key = int(b.column("bucket")[k].as_py()), bigram_key(before, word)
-                by = np.argsort(key)
-                sorted_n = n[by]
-                large = np.flatnonzero(sorted_n >= 255)
-                _save(folder, f"b{name}", key[by])
-                _save(folder, f"bn{name}", np.minimum(sorted_n, 255).astype(np.uint8))
-                _save(folder, f"bo{name}", np.stack([large, sorted_n[large]]))
-                # of a word: count, contexts before it; of a context: words after it once, twice, more often; of counts: 1 to 4
-                order, starts = _grouped(word)
-                about.append(_facts(word[order[starts]], (np.add.reduceat(n[order], starts), np.diff(np.append(starts, len(order))))))
-                starts = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-                about.append(_facts(before[starts], (np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), *[np.add.reduceat(c, starts) for c in ((n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))])))
-                four = _facts(np.array([0], np.uint64), [np.array([(n == c).sum()]) for c in (1, 2, 3, 4)])
-                about.append(four)
+                name = int(b.column("bucket")[k].as_py())
+                first, before, word, n = (np.concatenate(c) for c in zip(*[_ngrams_of(p) for p in b.column("parts")[k].as_py()], strict=True))
+                by, starts = _grouped(first, word, before)
+                n = np.add.reduceat(n[by], starts)
+                by = by[starts]
+                first, word, before = first[by], word[by], before[by]
+                _save_counts(folder, "t", name, trigram_key(first, before, word), n[:, None])
+                # the words before each bigram, and what these say of its two words
+                pairs = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (word[1:] != word[:-1])))
+                kinds, raw = np.diff(np.append(pairs, len(n))), np.add.reduceat(n, pairs)
+                v, w = before[pairs], word[pairs]
+                if order == 3:
+                    _save_counts(folder, "b", name, bigram_key(v, w), kinds[:, None])
+                by, starts = _grouped(w)
+                about.append(_facts(w[by[starts]], (np.add.reduceat(raw[by], starts), np.diff(np.append(starts, len(by))))))
+                starts = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+                none = np.zeros(len(starts), np.int64)
+                about.append(_facts(v[starts], (none, none, *_kinds(kinds, starts), np.add.reduceat(kinds, starts))))
+                # contexts of the n-grams: whole here unless their second word is spread
+                key = bigram_key(first, before)
+                by = np.argsort(key, kind="stable")
+                starts = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
+                found = _facts(key[by[starts]], (np.add.reduceat(n[by], starts), *_kinds(n[by], starts)))
+                partial = _is_spread(before[by[starts]], spread)
+                _save_counts(folder, "c", name, found["word"][~partial], found["f"][~partial, :4])
+                contexts.append(found[partial])
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - name]), pa.array([np.array([(x == c).sum() for x in (n, kinds) for c in (1, 2, 3, 4)], "<i8").tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["bucket", "facts", "contexts"])
                 held += len(word)
                 if held >= 2 * STEP_TOKENS:
-                    yield _dealt(about, buckets)
-                    about, held = [], 0
+                    yield _dealt(about, contexts, buckets)
+                    about, contexts, held = [], [], 0
         if about:
-            yield _dealt(about, buckets)
+            yield _dealt(about, contexts, buckets)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                facts = _summed([_facts_of(p) for p in b.column("parts")[k].as_py()])
-                counts = facts["f"][facts["word"] == 0].sum(axis=0)[:4]
-                facts = facts[facts["word"] != 0]
-                name = int(b.column("bucket")[k].as_py())
-                _save(folder, f"w{name}", facts["word"])
-                _save(folder, f"wf{name}", facts["f"].astype(np.uint32) if not len(facts) or facts["f"].max() < 1 << 32 else facts["f"])
-                real = facts[facts["f"][:, 0] > 0]
-                cont = real["f"][:, 1]
-                row = [int(real["f"][:, 0].sum()), len(real), int(cont.sum()), *map(int, counts), *[int((cont == c).sum()) for c in (1, 2, 3, 4)], int((cont >= 3).sum())]
+                name, parts = int(b.column("bucket")[k].as_py()), b.column("parts")[k].as_py()
+                if name < 0:
+                    row = [*np.frombuffer(parts[0]["facts"], "<i8").tolist(), *[0] * 8]
+                else:
+                    found = _summed([_contexts_of(p["contexts"]) for p in parts])
+                    _save_counts(folder, "p", name, found["word"], found["f"][:, :4])
+                    facts = _summed([_facts_of(p["facts"]) for p in parts])
+                    _save(folder, f"w{name}", facts["word"])
+                    _save(folder, f"wf{name}", facts["f"].astype(np.uint32) if not len(facts) or facts["f"].max() < 1 << 32 else facts["f"])
+                    real = facts[facts["f"][:, 0] > 0]
+                    cont = real["f"][:, 1]
+                    row = [*[0] * 8, int(real["f"][:, 0].sum()), len(real), int(cont.sum()), *[int((cont == c).sum()) for c in (1, 2, 3, 4)], int((cont >= 3).sum())]
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([row], pa.list_(pa.int64()))], names=["bucket", "sums"])
 
-    packed = docs.mapInArrow(count, "bucket long, before binary, runs binary, word binary, n binary")
-    merged = packed.groupBy("bucket").agg(F.collect_list(F.struct("before", "runs", "word", "n")).alias("parts")).mapInArrow(merge, "bucket long, facts binary")
-    done = merged.groupBy("bucket").agg(F.collect_list("facts").alias("parts")).mapInArrow(finish, "bucket long, sums array<long>")
-    rows = done.collect()  # one a bucket
-    sums = np.sum([r["sums"] for r in rows], axis=0) if rows else np.zeros(12, np.int64)
-    present = {r["bucket"] for r in rows}
-    for name in range(buckets):
-        if name not in present:
-            _save(folder, f"w{name}", np.zeros(0, np.uint64))
-            _save(folder, f"wf{name}", np.zeros((0, 5), np.uint32))
-    tokens, words, bigrams = int(sums[0]), int(sums[1]), int(sums[2])
-    lower = _discounts(sums[7:11])
-    left = float(lower[1] * sums[7] + lower[2] * sums[8] + lower[3] * sums[11])
-    return Model(folder, buckets, spread, tokens, words, bigrams, _discounts(sums[3:7]), lower, left)
+    packed = docs.mapInArrow(count, f"bucket long, {', '.join(f'{p} binary' for p in PARTS)}")
+    merged = packed.groupBy("bucket").agg(F.collect_list(F.struct(*PARTS)).alias("parts")).mapInArrow(merge, "bucket long, facts binary, contexts binary")
+    done = merged.groupBy("bucket").agg(F.collect_list(F.struct("facts", "contexts")).alias("parts")).mapInArrow(finish, "bucket long, sums array<long>")
+    rows = done.collect()  # two a bucket
+    sums = np.sum([r["sums"] for r in rows], axis=0) if rows else np.zeros(16, np.int64)
+    written, summed = np.zeros(buckets, bool), np.zeros(buckets, bool)
+    written[[-1 - r["bucket"] for r in rows if r["bucket"] < 0]] = True
+    summed[[r["bucket"] for r in rows if r["bucket"] >= 0]] = True
+    tokens, words, bigrams = int(sums[8]), int(sums[9]), int(sums[10])
+    lower = _discounts(sums[11:15])
+    left = float(lower[1] * sums[11] + lower[2] * sums[12] + lower[3] * sums[15])
+    return Model(folder, order, buckets, written, summed, spread, tokens, words, bigrams, _discounts(sums[:4]), _discounts(sums[4:8]), lower, left)
 
 
-_FACT = np.dtype([("word", "<u8"), ("f", "<i8", (5,))])
+#: What a task sends of a bucket: words before the last and how many bigrams begin with each, last words and how many n-grams end with each bigram, first words, counts.
+PARTS = ("before", "runs", "word", "ends", "first", "n")
+
+
+def _ngrams_of(part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First words, words before the last, last words and counts."""
+    before, word = _unpack48(part["before"]), _unpack48(part["word"])
+    runs, ends = _unpack_counts(part["runs"], len(before)), _unpack_counts(part["ends"], len(word))
+    n = _unpack_counts(part["n"], int(ends.sum()))
+    first = _unpack48(part["first"]) if part["first"] else np.zeros(len(n), np.uint64)
+    return first, np.repeat(np.repeat(before, runs), ends), np.repeat(word, ends), n
+
+
+_FACT = np.dtype([("word", "<u8"), ("f", "<i8", (6,))])
 
 
 def _facts(word: np.ndarray, columns) -> np.ndarray:  # noqa: ANN001
@@ -304,93 +388,98 @@ def _facts(word: np.ndarray, columns) -> np.ndarray:  # noqa: ANN001
 
 def _summed(parts: list[np.ndarray]) -> np.ndarray:
     x = np.concatenate(parts)
+    if not len(x):
+        return x
     order, starts = _grouped(x["word"])
     return _facts(x["word"][order[starts]], np.add.reduceat(x["f"][order], starts, axis=0).T)
 
 
-def _dealt(about: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    x = _summed(about)
-    bucket = word_bucket(x["word"], buckets)
+def _packed(x: np.ndarray, bucket: np.ndarray, buckets: int, columns: int, wide: bool) -> list[bytes]:
+    """The rows of each bucket as bytes; their names in 48 bits, or in 64 where ``wide``."""
     by = np.argsort(bucket, kind="stable")
-    names, at = np.unique(bucket[by], return_index=True)
-    blobs = []
-    for part in np.split(x[by], at[1:]):
-        n = len(part)
-        columns = [_pack_counts(part["f"][:, k]) for k in range(5)]
-        blobs.append(np.array([n, *map(len, columns)], "<u4").tobytes() + _pack48(part["word"]) + b"".join(columns))
-    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], names=["bucket", "facts"])
+    out = []
+    for part in np.split(x[by], np.searchsorted(bucket[by], np.arange(1, buckets))):
+        packed = [_pack_counts(part["f"][:, k]) for k in range(columns)]
+        out.append(np.array([len(part), *map(len, packed)], "<u4").tobytes() + (part["word"].tobytes() if wide else _pack48(part["word"])) + b"".join(packed) if len(part) else b"")
+    return out
 
 
-def _facts_of(blob: bytes) -> np.ndarray:
-    n, *sizes = np.frombuffer(blob[:24], "<u4").astype(int)
-    at, columns = 24 + 6 * n, []
+def _unpacked(blob: bytes, columns: int, wide: bool) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, _FACT)
+    at = 4 * (columns + 1)
+    n, *sizes = np.frombuffer(blob[:at], "<u4").astype(int)
+    names = blob[at : at + (8 if wide else 6) * n]
+    at += len(names)
+    found = []
     for size in sizes:
-        columns.append(_unpack_counts(blob[at : at + size], n))
+        found.append(_unpack_counts(blob[at : at + size], n))
         at += size
-    return _facts(_unpack48(blob[24 : 24 + 6 * n]), columns)
+    return _facts(np.frombuffer(names, "<u8") if wide else _unpack48(names), found)
+
+
+def _dealt(about: list[np.ndarray], contexts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    x, y = _summed(about), _summed(contexts)
+    facts = _packed(x, word_bucket(x["word"], buckets), buckets, 6, False)
+    found = _packed(y, (y["word"] % np.uint64(buckets)).astype(np.int64), buckets, 4, True)
+    names = [k for k in range(buckets) if facts[k] or found[k]]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([facts[k] for k in names], pa.binary()), pa.array([found[k] for k in names], pa.binary())], names=["bucket", "facts", "contexts"])
+
+
+def _facts_of(blob: bytes) -> np.ndarray:
+    return _unpacked(blob, 6, False)
+
+
+def _contexts_of(blob: bytes) -> np.ndarray:
+    return _unpacked(blob, 4, True)
 
 
 def _word_facts(model: Model, words: np.ndarray) -> np.ndarray:
-    """count, contexts before, followers once, twice, more often; of distinct words."""
-    out = np.zeros((len(words), 5), np.int64)
+    """count, words before, followers after one, two, more others, and all such pairs; of distinct words."""
+    out = np.zeros((len(words), 6), np.int64)
     bucket = word_bucket(words, model.buckets)
     order = np.lexsort((words, bucket))
+    order = order[model.summed[bucket[order]]]
     for name, hit, at in _lookup(model.folder, "w", bucket[order], words[order]):
         out[order[hit]] = _load(model.folder, f"wf{name}")[at]
     return out
 
 
-def _bigram_counts(model: Model, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(word), np.int64)
-    if not model.tokens:
-        return out
-    key, bucket = bigram_key(before, word), bigram_bucket(before, word, model.spread, model.buckets)
-    have = np.array([_exists(model.folder, f"b{k}") for k in range(model.buckets)])
-    order = np.lexsort((key, bucket))
-    order = order[have[bucket[order]]]
-    for name, hit, at in _lookup(model.folder, "b", bucket[order], key[order]):
-        n = _load(model.folder, f"bn{name}")[at].astype(np.int64)
-        if len(full := np.flatnonzero(n == 255)):
-            where, value = _load(model.folder, f"bo{name}")
-            n[full] = value[np.searchsorted(where, at[full])]
-        out[order[hit]] = n
+def _context_facts(model: Model, first: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """count, followers once, twice, more often; of distinct contexts."""
+    key, wide = bigram_key(first, before), _is_spread(before, model.spread)
+    out = np.zeros((len(key), 4), np.int64)
+    out[~wide] = _counts(model.folder, "c", model.written, word_bucket(before[~wide], model.buckets), key[~wide], 4)
+    out[wide] = _counts(model.folder, "p", model.summed, (key[wide] % np.uint64(model.buckets)).astype(np.int64), key[wide], 4)
     return out
 
 
-_there: dict[tuple[str, str], bool] = {}
-
-
-def _exists(folder: str, name: str) -> bool:
-    if (folder, name) not in _there:
-        try:
-            _load(folder, name)
-            _there[folder, name] = True
-        except (FileNotFoundError, OSError):
-            _there[folder, name] = False
-    return _there[folder, name]
-
-
-def log_probabilities(model: Model, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 p(word | before) of every token, and the words' training counts."""
+def log_probabilities(model: Model, word: np.ndarray, before: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 p(word | first, before) of every token, and the words' training counts."""
     names, at = np.unique(np.concatenate([word, before]), return_inverse=True)
     facts = _word_facts(model, names)
     w, v = at[: len(word)], at[len(word) :]
-    d, low = model.discounts, model.lower_discounts
+    low = model.lower_discounts
     cont = facts[:, 1]
     base = np.full(len(names), 1.0)
     if model.bigrams:
         base = np.where(cont > 0, cont - low[np.minimum(cont, 3)], 0) / model.bigrams + model.lower_left / model.bigrams / (model.words + 1)
-    ends = facts[names == END, 0]
-    total = np.where(names == START, ends[0] if len(ends) else 0, facts[:, 0]).astype(float)
-    left = facts[:, 2:] @ d[1:]
-    order, starts = _grouped(word, before)
-    group = np.empty(len(order), np.int64)
-    group[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
-    one = order[starts]
-    n = _bigram_counts(model, before[one], word[one])
-    seen = total[v[one]]
-    p = np.where(seen > 0, (np.maximum(n - d[np.minimum(n, 3)], 0) + left[v[one]] * base[w[one]]) / np.maximum(seen, 1), base[w[one]])
-    return np.log10(p)[group], facts[w, 0]
+
+    def level(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, d: np.ndarray, below: np.ndarray) -> np.ndarray:
+        return np.where(total > 0, (np.maximum(n - d[np.minimum(n, 3)], 0) + kinds @ d[1:] * below) / np.maximum(total, 1), below)
+
+    key, one, group = np.unique(trigram_key(first, before, word), return_index=True, return_inverse=True)
+    u, b, x = first[one], before[one], word[one]
+    p, bucket = base[w[one]], bigram_bucket(b, x, model.spread, model.buckets)
+    if model.order == 3:
+        pair, where, back = np.unique(bigram_key(b, x), return_index=True, return_inverse=True)
+        n = _counts(model.folder, "b", model.written, bucket[where], pair, 1)[:, 0]
+        about = facts[v[one]]
+        p = level(n[back], about[:, 5], about[:, 2:5], model.middle_discounts, p)
+    _, where, back = np.unique(bigram_key(u, b), return_index=True, return_inverse=True)
+    context = _context_facts(model, u[where], b[where])[back]
+    n = _counts(model.folder, "t", model.written, bucket, key, 1)[:, 0]
+    return np.log10(level(n, context[:, 0], context[:, 1:], model.discounts, p))[group], facts[w, 0]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -401,7 +490,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, word, before, starts in token_runs(batches):
-            logs, count = log_probabilities(model, word, before)
+            logs, count = log_probabilities(model, word, before, earlier(before, starts, model.order))
             first = starts[:-1]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -417,8 +506,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Trains on the rows outside the held-out fold and scores all."""
     held = fold(F.col("doc_id"), FOLDS) == HELD_OUT
-    model = train(small_batches(docs).where(~held))
+    model = train(small_batches(docs).where(~held), order)
     return score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
