@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wavequarry.llm import bpe, embeddings, fingerprints, jaccard, lm, mixing, quality, sharding, toxicity
+from wavequarry.llm import bpe, embeddings, fingerprints, graph, jaccard, lm, mixing, quality, scratch, sharding, toxicity
 
 DATA = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -199,6 +199,33 @@ def test_jaccard_at_the_threshold_and_in_large_groups(spark):
     assert {i: int(got.component_id[i]) for i in texts} == want
 
 
+def test_jaccard_with_lists_families_and_blocks_in_many_parts(spark, monkeypatch):
+    for where, name, value in ((jaccard, "LIST_PART", 40), (jaccard, "BLOCK", 16), (jaccard, "BLOCK_TOKENS", 3000), (graph, "HOT_ROWS", 5), (jaccard, "REMEMBERED", 7)):
+        monkeypatch.setattr(where, name, value)
+    random = np.random.default_rng(8)
+    base, texts = [f"b{k}" for k in range(150)], {}
+    for k in range(400):
+        w = list(base) if k % 4 else [*base[:110], *(f"o{x}" for x in range(40))]
+        for at in random.integers(0, 150, random.integers(0, 7)):
+            w[at] = f"e{random.integers(0, 30)}"
+        texts[k] = " ".join(w)
+    for k in range(400, 500):
+        texts[k] = texts[int(random.integers(0, 400))]
+    _, want = jaccard_roots(texts)
+    assert len(set(want.values())) > 20
+    got = by_id(jaccard.join_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)))
+    assert {i: int(got.component_id[i]) for i in texts} == want
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT_ROWS", 10)
+    random = np.random.default_rng(4)
+    links = [(0, k) for k in range(1, 60)] + [(1000 + k, 1001 + k) for k in range(40)] + [(500, k) for k in range(40, 100)] + random.integers(2000, 2300, (120, 2)).tolist()
+    got = graph.components(spark.createDataFrame(links, "a long, b long"), scratch.shared_folder(spark)).toPandas()
+    want = roots({i for link in links for i in link}, links)
+    assert dict(zip(got.node, got.root)) == {i: r for i, r in want.items() if any(i in link and link[0] != link[1] for link in links)}
+
+
 def test_cover_trees_find_all_pairs(spark):
     random = np.random.default_rng(5)
     centre = random.normal(size=(40, 16))
@@ -370,3 +397,22 @@ def test_overlaps_do_not_depend_on_ranges(monkeypatch, tokens):
         for x in both:
             reached[x] = both
     assert links and set(forest) <= links and all(b in reached[a] for a, b in links)
+
+
+def test_mixing_takes_rows_alike_one_by_one(spark):
+    rows = [(7, "a b c d e f", "s")] * 1000 + [(k, "one two three", "t") for k in range(100, 400)] + [(k, "x", "u") for k in range(500, 510)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mix_sources(docs).toPandas()
+    assert len(got) == len(rows) and (got.taken <= 3 * got["size"]).all()
+    for _, part in got.groupby("source_size"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= part["size"].max()
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    rows = [(k, f"w{k} " * (k % 7), "ab"[k % 2], *range(9)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, hash long, whole long, threshold long, _source long, _copy long, size long, times long, doc long, left long")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in rows}
+    whole = mixing.mix_sources(docs).select(F.sum("taken")).first()[0]
+    assert sum(len(r.text.split()) for r in got.collect()) == whole

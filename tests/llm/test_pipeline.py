@@ -52,6 +52,27 @@ def test_near_duplicates_equal_brute_force_at_five_words_and_four_fifths(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()) == want
 
 
+def test_near_duplicates_are_judged_row_by_row(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _rows long, _kept long, doc long, root long, _id long"
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six"
+    rows = [(1, a), (2, b), (2, a), (2, b), (3, b.upper()), (4, None), (4, " "), (4, ""), (None, a), (None, "only here and nowhere else at all"), (5, b + " \t")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 1, 2, 3, 4, 5) for i, t in rows], schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, rows[9][1]), (1, a), (2, b), (4, ""), (4, ""), (4, " ")]
+
+
+def test_stages_take_empty_tables_and_clashing_names(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, toxicity double, quality double, hash long, whole long, label int, _source string"
+    for rows in ([], [(1, "some words that stay here for good", "en", None, 9, 1.0, 2.0, 3.0, 4, 5, 6, "z"), (2, None, None, None, None, *[None] * 7), (None, "", "en", "s", 0, *[None] * 7)]):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, DATA)
+            assert got.count() <= 3 * len(rows)
+            if name != "encoding":
+                assert got.columns == docs.columns
+
+
 def test_run_returns_the_encoding_of_what_is_left(spark):
     got = corpus_pipeline.run(spark, DATA)
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(got.columns)

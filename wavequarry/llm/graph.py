@@ -1,11 +1,27 @@
-"""Connected components of an edge table, by alternating large and small stars until nothing changes."""
+"""Joins with hot keys, and connected components of an edge table by alternating large and small stars."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import discard, stored
+
+#: Keys that are joined by a broadcast, at most, and rows from which on a key may be one of them.
+HOT_KEYS, HOT_ROWS = 512, 200
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which has one row a key.
+
+    The keys with most rows (HOT_KEYS at most) get their facts by a broadcast of as many rows, so that no task has to
+    read all rows of a hot key; any other key has less than one in HOT_KEYS of the rows.
+    """
+    hot = [r[0] for r in rows.groupBy(key).count().where((F.col("count") >= HOT_ROWS) & F.col(key).isNotNull()).orderBy(F.desc("count"), key).limit(HOT_KEYS).collect()]
+    if not hot:
+        return rows.join(facts, key, how)
+    warm = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.where(~warm).join(facts.where(~warm), key, how).unionByName(rows.where(warm).join(F.broadcast(facts.where(warm)), key, how))
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -24,10 +40,11 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         turn += 1
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = stored(join_hot(both, lowest, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), folder, f"large{turn}")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = join_hot(large, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         current = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), folder, f"edges{turn}")
+        discard(current.sparkSession, folder, f"large{turn}", f"edges{turn - 1}")
         now = state(current)
         if now == before:
             break

@@ -4,13 +4,16 @@
    which bounds its overlap with any other set from above.
 2. Prefix index: shingles are ordered rare before common, then by hash; sets that reach the threshold share one of
    the first n - ceil(t n) + 1. Lists of one set are dropped where they are made.
-3. Answer skipping: each list first pairs its sets with its smallest set only. Pairs that the size, position and
-   histogram bounds allow join into families of similar sets. Lists are then cut into blocks of like size and
-   family; a pair of blocks of different families is skipped whole when even its best positions cannot reach the
-   overlap, and only the other blocks give candidate pairs, which merge families where the bounds allow.
-4. Inside a family each set is the others' common core with small differences: shingles that only one set of
-   the family has cannot add to an overlap and are left out, and the remaining columns give all overlaps of a block
-   pair at once. These counts are exact; families are dealt out in blocks, so none is gathered whole.
+3. Each list first pairs its sets with its smallest set only (a list of very many sets in parts, whose smallest sets
+   are paired in turn). Pairs that the size, position and histogram bounds allow join into families of similar sets.
+   Lists are then cut into blocks of like size and family; a pair of blocks of different families is skipped whole
+   when even its best positions cannot reach the overlap, and only the other blocks give candidate pairs, which merge
+   families where the bounds allow.
+4. Answers from a similar set: the set of a family that most others were paired with leads it. Each member's texts meet
+   the leader once, which answers whether the two link, and the member is kept as its difference from the leader. With
+   s(A) the symmetric difference, |A & B| = |A & L| + |B & L| - |L| + |s(A) & s(B)|, so every further answer follows from
+   differences. Members that link with the leader are one component and need no answers among each other; the
+   others are compared with those members whose counts allow an overlap that is large enough, in blocks of differences.
 
 Every pair that can reach the threshold is in one family, so no link is lost; no bound depends on chance.
 
@@ -25,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-from .scratch import shared_folder, small_batches, stored
+from .graph import components, join_hot
+from .scratch import discard, shared_folder, small_batches, stored
 from .shingles import set_key, shingle_sets
 from .textkernel import mix
 
@@ -37,8 +41,12 @@ SHINGLE, PERCENT = 3, 90
 CELLS = 64
 #: Members of a family that are compared in one block.
 BLOCK = 512
-#: Shingles of a family that are compared in one block, and of a block in one range of hashes, about.
+#: Shingles of a family that meet its leader in one task or are compared in one block, and of a block in one range of hashes, about.
 BLOCK_TOKENS, RANGE_TOKENS = 2_000_000, 1 << 18
+#: Documents of a counting cell from which on its lists are dealt in parts of that size, and such cells, at most (the fullest).
+LIST_PART, HOT_CELLS = 50_000, 1 << 16
+#: Sets that a task remembers having listed, at most.
+REMEMBERED = 1 << 20
 #: Sets that a list's smallest set leads from which on its family also takes in pairs with this share of the overlap.
 BUSY, EASE = 32, 0.9
 #: Records of the prefix index per bucket, about.
@@ -58,7 +66,7 @@ def _histogram(tokens: np.ndarray) -> bytes:
 
 
 def _described(docs: DataFrame, size: int, cell_bits: int, cell_block: int) -> DataFrame:
-    """One pass: a row for each document (doc_id, n, key, cells) and, for each task, how many documents have a shingle in each counting cell."""
+    """One pass: a row for each document (doc_id, text_hash, n, key, cells) and, for each task, how many documents have a shingle in each counting cell."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << cell_bits, np.uint8)
@@ -71,43 +79,57 @@ def _described(docs: DataFrame, size: int, cell_bits: int, cell_block: int) -> D
                 hit = (tokens >> np.uint64(64 - cell_bits)).astype(np.int64)
                 seen = count[hit]
                 count[hit] = seen + (seen < 255)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(keys, pa.int64()), pa.array(cells, pa.binary()), pa.nulls(len(n), pa.int32())], names=["doc_id", "n", "key", "cells", "block"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int32()), pa.array(keys, pa.int64()), pa.array(cells, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int32())], names=names)
         blocks = [k for k in range(0, len(count), cell_block) if count[k : k + cell_block].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(blocks), b_type), pa.nulls(len(blocks), pa.int32()), pa.nulls(len(blocks), pa.int64()), pa.array([count[k : k + cell_block].tobytes() for k in blocks], pa.binary()), pa.array([k // cell_block for k in blocks], pa.int32())],
-            names=["doc_id", "n", "key", "cells", "block"],
-        )
+        m = len(blocks)
+        task = pa.array(np.full(m, TaskContext.get().partitionId() >> 6, np.int32))
+        counts = pa.array([count[k : k + cell_block].astype("<u4").tobytes() for k in blocks], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, b_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), counts, pa.array([k // cell_block for k in blocks], pa.int32()), task], names=names)
 
     kind = dict(docs.dtypes)["doc_id"]
     b_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n int, key long, cells binary, block int")
+    names = ["doc_id", "text_hash", "n", "key", "cells", "block", "tasks"]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(work, f"doc_id {kind}, text_hash long, n int, key long, cells binary, block int, tasks int")
 
 
-def _common(described: DataFrame, cell_bits: int, cell_block: int, total: int) -> np.ndarray:
-    """Bits of the cells that hold common shingles: twice the mean load and 64 documents, counted over all."""
+def _common(described: DataFrame, cell_bits: int, cell_block: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of the cells that hold common shingles (twice the mean load and 64 documents, counted over all), and the fullest cells with their counts."""
     least = 64 + 2 * total // (1 << cell_bits)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                count = np.zeros(cell_block, np.int64)
+                count = np.zeros(cell_block, np.uint32)
                 for part in b.column("parts")[k].as_py():
-                    count += np.frombuffer(part, np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column("block").slice(k, 1), pa.array([np.packbits(count >= least).tobytes()], pa.binary())], names=["block", "bits"])
+                    count += np.minimum(np.frombuffer(part, "<u4"), np.uint32(0xFFFFFFFF) - count)
+                block = b.column("block").slice(k, 1)
+                if not last:
+                    yield pa.RecordBatch.from_arrays([block, pa.array([count.tobytes()], pa.binary())], names=["block", "cells"])
+                    continue
+                full = np.flatnonzero(count >= LIST_PART)
+                yield pa.RecordBatch.from_arrays([block, pa.array([np.packbits(count >= least).tobytes()], pa.binary()), pa.array([full.tolist()], pa.list_(pa.int64())), pa.array([count[full].tolist()], pa.list_(pa.int64()))], names=["block", "bits", "full", "counts"])
 
-    rows = described.where("block is not null").groupBy("block").agg(F.collect_list("cells").alias("parts")).mapInArrow(add, "block int, bits binary").collect()  # 2^cell_bits bits
+    parts = F.collect_list("cells").alias("parts")  # of 64 tasks, then of as many such groups
+    some = described.where("block is not null").groupBy("block", "tasks").agg(parts).mapInArrow(lambda b: added(b, False), "block int, cells binary")
+    whole = some.groupBy("block").agg(parts).mapInArrow(lambda b: added(b, True), "block int, bits binary, full array<long>, counts array<long>")
+    rows = whole.select("block", "bits").collect()  # 2^cell_bits bits
     bits = np.zeros((1 << cell_bits) // 8, np.uint8)
     for r in rows:
         bits[r["block"] * cell_block // 8 : (r["block"] + 1) * cell_block // 8] = np.frombuffer(r["bits"], np.uint8)
-    return bits
+    full = whole.select("block", F.explode(F.arrays_zip("full", "counts")).alias("x")).select((F.col("block").cast("long") * cell_block + F.col("x.full")).alias("cell"), F.col("x.counts").alias("count"))
+    hot = sorted((r["cell"], r["count"]) for r in full.orderBy(F.desc("count"), "cell").limit(HOT_CELLS).collect())
+    return bits, np.array([c for c, _ in hot], np.int64), np.array([-(-n // LIST_PART) for _, n in hot], np.int64)
 
 
-def _lists(docs: DataFrame, size: int, percent: int, common: np.ndarray, cell_bits: int, buckets: int) -> DataFrame:
-    """Lists of the prefix index that hold more than one set: token, key, n, pos and the list's smallest set."""
+def _lists(docs: DataFrame, size: int, percent: int, common: np.ndarray, hot: np.ndarray, parts: np.ndarray, cell_bits: int, buckets: int) -> DataFrame:
+    """Lists of the prefix index that hold more than one set: token, key, n, pos and the list's smallest set. Lists of hot cells come in parts."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in batches:
-            out, done = [], set()
+            out = []
+            if len(done) > REMEMBERED:
+                done.clear()
             for tokens in shingle_sets(b.column("text"), size):
                 n = len(tokens)
                 if not n or (key := set_key(tokens)) in done:
@@ -121,33 +143,48 @@ def _lists(docs: DataFrame, size: int, percent: int, common: np.ndarray, cell_bi
                 out.append(r)
             if out:
                 r = np.concatenate(out)
-                bucket = (mix(r["token"]) % np.uint64(buckets)).astype(np.int64)
+                bucket = (mix(r["token"] + mix(part_of(r)) * np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 names, at = np.unique(bucket[order], return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in np.split(r[order], at[1:])], pa.binary())], names=["bucket", "records"])
 
+    def part_of(r: np.ndarray) -> np.ndarray:
+        """0 for lists that are whole, else the part from 1 on."""
+        part = np.zeros(len(r), np.uint64)
+        if len(hot):
+            cell = (r["token"] >> np.uint64(64 - cell_bits)).astype(np.int64)
+            at = np.minimum(np.searchsorted(hot, cell), len(hot) - 1)
+            dealt = hot[at] == cell
+            part[dealt] = mix(r["key"][dealt].view(np.uint64)) % parts[at[dealt]].astype(np.uint64) + np.uint64(1)
+        return part
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 r = np.frombuffer(b"".join(b.column("parts")[k].as_py()), RECORD)
-                r = r[np.lexsort((r["key"], r["n"], r["token"]))]
-                r = r[np.append(True, (r["token"][1:] != r["token"][:-1]) | (r["key"][1:] != r["key"][:-1]))]
-                starts = np.flatnonzero(np.append(True, r["token"][1:] != r["token"][:-1]))
+                part = part_of(r)
+                order = np.lexsort((r["key"], r["n"], part, r["token"]))
+                r, part = r[order], part[order]
+                new = np.append(True, (r["token"][1:] != r["token"][:-1]) | (part[1:] != part[:-1]))
+                keep = new.copy()
+                keep[1:] |= r["key"][1:] != r["key"][:-1]
+                r, part = r[keep], part[keep]
+                starts = np.flatnonzero(new[keep])
                 lengths = np.diff(np.append(starts, len(r)))
                 first = np.repeat(starts, lengths)
-                many = np.repeat(lengths > 1, lengths)
-                r, lead = r[many], r[first[many]]
+                many = np.repeat(lengths > 1, lengths) | (part > 0)
+                r, lead, part = r[many], r[first[many]], part[many]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["token"].view(np.int64)), pa.array(r["key"]), pa.array(r["n"]), pa.array(r["pos"]), pa.array(lead["key"]), pa.array(lead["n"]), pa.array(lead["pos"])],
-                    names=["token", "key", "n", "pos", "lead", "lead_n", "lead_pos"],
+                    [pa.array(r["token"].view(np.int64)), pa.array(r["key"]), pa.array(r["n"]), pa.array(r["pos"]), pa.array(lead["key"]), pa.array(lead["n"]), pa.array(lead["pos"]), pa.array(part > 0)],
+                    names=["token", "key", "n", "pos", "lead", "lead_n", "lead_pos", "dealt"],
                 )
 
     packed = docs.select("text").mapInArrow(emit, "bucket long, records binary")
-    return packed.groupBy("bucket").agg(F.collect_list("records").alias("parts")).mapInArrow(gather, "token long, key long, n int, pos int, lead long, lead_n int, lead_pos int")
+    return packed.groupBy("bucket").agg(F.collect_list("records").alias("parts")).mapInArrow(gather, "token long, key long, n int, pos int, lead long, lead_n int, lead_pos int, dealt boolean")
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose histograms allow the overlap they need, or the share ``ease`` of it."""
+    """Pairs (a, b) whose histograms allow the overlap they need, or the share ``ease`` of it; pairs is a stored table."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +200,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     one = classes.select(F.col("key").alias("a"), F.col("n"), F.col("cells").alias("x"))
     two = classes.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("cells").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y", "ease").mapInArrow(work, "a long, b long")
+    return join_hot(join_hot(pairs, one, "a"), two, "b").select("a", "b", "n", "m", "x", "y", "ease").mapInArrow(work, "a long, b long")
 
 
 def _needs(n: str, m: str, percent: int):  # noqa: ANN202
@@ -195,12 +232,11 @@ def _across(lists: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _overlapping(keys: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets."""
-    n = np.array([len(s) for s in sets], np.int64)
+def _overlapping(keys: list[int], n: np.ndarray, base: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among members of n shingles; two overlap in base + base + the overlap of their differences ``sets``."""
     overlap = np.zeros((len(sets), len(sets)), np.float32)
     # one range of hashes at a time: sorting all tokens of a block at once takes ten times their own memory
-    ranges = max(1, -(-int(n.sum()) // RANGE_TOKENS))
+    ranges = max(1, -(-sum(map(len, sets)) // RANGE_TOKENS))
     edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
     cuts = np.stack([np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]) for s in sets])
     width = 2048
@@ -216,7 +252,7 @@ def _overlapping(keys: list[int], sets: list[np.ndarray], percent: int) -> list[
             part = np.zeros((len(sets), min(width, int(column[-1]) + 1 - k)), np.float32)
             part[row[lo:hi], column[lo:hi] - k] = 1
             overlap += part @ part.T
-    linked = np.stack([overlap[k] >= least_overlap(n[k], n, percent) for k in range(len(sets))])
+    linked = np.stack([overlap[k] + base[k] + base >= least_overlap(n[k], n, percent) for k in range(len(sets))])
     label, forest = np.full(len(sets), -1), []
     for start in range(len(sets)):
         if label[start] < 0:
@@ -232,7 +268,13 @@ def _overlapping(keys: list[int], sets: list[np.ndarray], percent: int) -> list[
 
 def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    folder = shared_folder(small_batches(docs).sparkSession)
+    return linked_rows(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def linked_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and the component's own key ``root`` (null for empty sets) for every row."""
+    spark = small_batches(docs).sparkSession
+    folder = shared_folder(spark)
     cell_block = 1 << 14
     characters = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     cell_bits = int(np.clip(np.ceil(np.log2(max(characters, 1) / 256)), 16, 26))
@@ -240,37 +282,76 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     rows = described.where("block is null")
     classes = stored(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("cells").alias("cells")), folder, "classes")
     total = classes.select(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    common = _common(described, cell_bits, cell_block, total)
+    common, hot, parts = _common(described, cell_bits, cell_block, total)
     buckets = max(64, total * (100 - percent) // 100 // BUCKET_RECORDS)
-    lists = stored(_lists(docs, size, percent, common, cell_bits, buckets), folder, "lists")
+    lists = stored(_lists(docs, size, percent, common, hot, parts, cell_bits, buckets), folder, "lists")
+
+    similar, edges = _families(lists, classes, folder, percent)
+    families = stored(components(edges, f"{folder}/second"), folder, "families")
+    discard(spark, folder, "lists", "first", "second")
+    links = _links(docs, classes, families, similar, folder, size, percent)
+    roots = stored(components(links, f"{folder}/third"), folder, "roots")
+    known = stored(classes.select("key", "doc_id").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")), folder, "known")
+    least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    table = stored(join_hot(known, least, "root").select("key", "root", "component_id"), folder, "table")
+    discard(spark, folder, "families", "similar", "across", "met", "links", "third", "roots", "known", "classes")
+    return join_hot(rows, table, "key", "left").select("doc_id", "text_hash", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
+
+def _families(lists: DataFrame, classes: DataFrame, folder: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of sets with their lists' smallest sets, and all edges that make families."""
     reach = F.least(F.col("n") - F.col("pos"), F.col("lead_n") - F.col("lead_pos")) >= _needs("n", "lead_n", percent)
-    stars = (
-        lists.where("key <> lead")
+    of_list = lists.where("key <> lead").select("key", "n", "pos", "lead", "lead_n", "lead_pos")
+    heads = lists.where("dealt and key = lead").select("token", F.struct("n", "key", "pos").alias("head"))  # one row a part of a hot list
+    lowest = heads.groupBy("token").agg(F.min("head").alias("low"))
+    of_parts = heads.join(lowest, "token").where("head.key <> low.key").select("head.key", "head.n", "head.pos", F.col("low.key").alias("lead"), F.col("low.n").alias("lead_n"), F.col("low.pos").alias("lead_pos"))
+    stars = stored(
+        of_list.unionByName(of_parts)
         .where(F.col("lead_n") * 100 >= F.col("n") * percent)
         .groupBy(F.col("key").alias("a"), F.col("lead").alias("b"))
-        .agg(F.bool_or(reach).alias("reach"))
+        .agg(F.bool_or(reach).alias("reach")),
+        folder,
+        "stars",
     )
     # around a set that leads many others, pairs are cheaper to count in blocks than to list: such families take in looser kin
     busy = stars.groupBy("b").agg(F.count("*").alias("kin")).where(F.col("kin") >= BUSY)
-    stars = stars.join(busy, "b", "left").where("reach or kin is not null").select("a", "b", F.when(F.col("kin").isNotNull(), EASE).otherwise(1.0).alias("ease"))
-    similar = stored(_possible(stars, classes, percent), folder, "similar")
+    eased = stored(join_hot(stars, busy, "b", "left").where("reach or kin is not null").select("a", "b", F.when(F.col("kin").isNotNull(), EASE).otherwise(1.0).alias("ease")), folder, "eased")
+    similar = stored(_possible(eased, classes, percent), folder, "similar")
     first = stored(components(similar, f"{folder}/first"), folder, "families1")
-    across = stored(_possible(_across(lists, first, percent), classes, percent), folder, "across")
-    families = stored(components(first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across), f"{folder}/second"), folder, "families")
-
-    links = stored(_verified(docs, classes, families, size, percent), folder, "links")
-    roots = components(links, f"{folder}/third")
-    known = classes.select("key", "doc_id").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
-    least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    table = known.join(least, "root").select("key", "component_id")
-    return rows.join(table, "key", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    pairs = stored(_across(lists, first, percent), folder, "pairs")
+    across = stored(_possible(pairs, classes, percent), folder, "across")
+    discard(lists.sparkSession, folder, "stars", "eased", "pairs")
+    return similar.unionByName(across), first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across)
 
 
-def _verified(docs: DataFrame, classes: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between sets of one family, counted exactly; only texts that stand for such a set are read again."""
+def _links(docs: DataFrame, classes: DataFrame, families: DataFrame, similar: DataFrame, folder: str, size: int, percent: int) -> DataFrame:
+    """Links that join the sets of each component, counted exactly."""
+    ends = similar.select(F.col("a").alias("node")).unionByName(similar.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("kin"))
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    members = families.join(classes.select(F.col("key").alias("node"), number.alias("doc"), "n"), "node")
+    members = stored(
+        families.join(classes.select(F.col("key").alias("node"), number.alias("doc"), F.col("n").cast("long").alias("n")), "node").join(ends, "node", "left").select("node", "root", "doc", "n", F.coalesce("kin", F.lit(0)).alias("kin")),
+        folder,
+        "members",
+    )
+    heads = members.groupBy("root").agg(F.max(F.struct("kin", "node")).alias("top"), F.count("*").alias("members"), F.sum("n").alias("tokens")).select("root", F.col("top.node").alias("leader"), "members", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("parts"))
+    dealt = (
+        join_hot(members, heads, "root")
+        .withColumn("leads", F.col("node") == F.col("leader"))
+        .withColumn("part", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))))
+        .select("node", "root", "members", "leads", "part")
+    )
+    met = stored(_met(docs, members, dealt, size, percent), folder, "met")
+    links = stored(met.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(_among(met, folder, percent)), folder, "links")
+    discard(docs.sparkSession, folder, "members", "among")
+    return links
+
+
+def _met(docs: DataFrame, members: DataFrame, dealt: DataFrame, size: int, percent: int) -> DataFrame:
+    """Each member against its family's leader: root, leader, node, n, shared, outside (shingles of either that the other lacks), linked, and in families of more than two the difference itself.
+
+    Only texts that stand for a member are read again; a family's members are dealt over tasks and pass through them one
+    after the other, each part behind the leader's text.
+    """
     n = members.count()
     bits = int(np.clip(np.ceil(np.log2(max(n, 1) * 16)), 10, 26))
     hashed = members.select(F.pmod(F.xxhash64("doc"), F.lit(1 << bits)).alias("h"))
@@ -279,26 +360,79 @@ def _verified(docs: DataFrame, classes: DataFrame, families: DataFrame, size: in
     wanted = np.zeros((1 << bits) // 32, np.int64)
     wanted[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in batches:
             h = b.column("h").to_numpy()
             b = b.filter(pa.array((wanted[h >> 5] >> (h & 31) & 1).astype(bool)))
-            sets = list(shingle_sets(b.column("text"), size))
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+            keys = [set_key(s) for s in shingle_sets(b.column("text"), size)]
+            new = []
+            for key in keys:
+                new.append(key not in done)
+                done.add(key)
+            if len(done) > REMEMBERED:
+                done.clear()
+            new = pa.array(new, pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()).filter(new), b.column("text").filter(new)], names=["node", "text"])
 
-    sets = docs.select("text", F.pmod(F.xxhash64(number), F.lit(1 << bits)).alias("h")).mapInArrow(sets_of, "node long, tokens binary")
-    counts = members.groupBy("root").agg(F.count("*").alias("members"), F.sum(F.col("n").cast("long")).alias("tokens"))
-    dealt = (
-        families.join(counts, "root")
-        .withColumn("parts", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("node", "root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    )
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leader, lead, before = None, 0, np.zeros(0, np.uint64), None
+        for b in batches:
+            out: dict[str, list] = {name: [] for name in names}
+            columns = [b.column(c).to_pylist() for c in ("root", "part", "node", "leads", "members")]
+            for root, part, node, leads, count, tokens in zip(*columns, shingle_sets(b.column("text"), size), strict=True):
+                if leads:
+                    at, leader, lead = (root, part), node, tokens
+                elif (root, part, node) != before:
+                    if at != (root, part):
+                        raise RuntimeError(f"the leader of family {root} is missing")
+                    place = np.minimum(np.searchsorted(lead, tokens), len(lead) - 1)
+                    hit = lead[place] == tokens
+                    missing = np.ones(len(lead), bool)
+                    missing[place[hit]] = False
+                    shared = int(hit.sum())
+                    linked = shared >= least_overlap(np.int64(len(lead)), np.int64(len(tokens)), percent)
+                    far = np.sort(np.concatenate([tokens[~hit], lead[missing]])).tobytes() if count > 2 else None
+                    for name, value in zip(names, (root, leader, node, len(tokens), shared, len(lead) - shared + len(tokens) - shared, bool(linked), len(lead), far), strict=True):
+                        out[name].append(value)
+                before = (root, part, node)
+            yield pa.RecordBatch.from_arrays([pa.array(out[name], kind) for name, kind in zip(names, kinds, strict=True)], names=names)
+
+    names = ["root", "leader", "node", "n", "shared", "outside", "linked", "lead_n", "difference"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    texts = docs.select("text", F.pmod(F.xxhash64(number), F.lit(1 << bits)).alias("h")).mapInArrow(named, "node long, text string")
+    placed = texts.join(dealt, "node").repartition("root", "part").sortWithinPartitions("root", "part", F.desc("leads"), "node")
+    return placed.select("root", "part", "node", "leads", "members", "text").mapInArrow(meet, "root long, leader long, node long, n long, shared long, outside long, linked boolean, lead_n long, difference binary")
+
+
+def _among(met: DataFrame, folder: str, percent: int) -> DataFrame:
+    """Links of members that do not link with their leader, by differences; pairs that the counts rule out are left out."""
+    own = F.col("n") - F.col("shared")
+    apart = ~F.col("linked")
+    bounds = (
+        met.where("difference is not null")
+        .groupBy("root")
+        .agg(
+            F.count_if(apart).alias("apart"), F.max("shared").alias("shared_any"), F.max(own).alias("own_any"), F.min("n").alias("n_any"),
+            F.max(F.when(apart, F.col("shared"))).alias("shared_apart"), F.max(F.when(apart, own)).alias("own_apart"), F.min(F.when(apart, F.col("n"))).alias("n_apart"),
+        )
+        .where("apart > 0")
+    )
+    most = lambda other: F.least("shared", f"shared_{other}") + F.least(own, F.col(f"own_{other}"))
+    able = F.when(apart, most("any") >= _needs("n", "n_any", percent)).otherwise(most("apart") >= _needs("n", "n_apart", percent))
+    open_ = stored(join_hot(met.where("difference is not null"), bounds, "root").where(able).select("root", "node", "n", (F.col("shared") - F.col("lead_n") / 2).alias("base"), "linked", "outside", "difference"), folder, "among")
+    parts = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(which, F.col("outside"))), F.lit(0)) / BLOCK_TOKENS)).cast("int")
+    sizes = open_.groupBy("root").agg(parts(apart).alias("p"), parts(F.col("linked")).alias("q"), F.count("*").alias("open")).where("p > 0 and open > 1")
+    placed = join_hot(open_, sizes, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.when(apart, F.col("p")).otherwise(F.col("q"))).cast("int"))
+    # blocks of members apart meet each other (right = i) and blocks of linked ones (right = -1 - i)
+    with_apart = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: F.struct(F.least("i", j).alias("left"), F.greatest("i", j).alias("right")))
+    with_linked = F.when(F.col("q") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("q"), F.lit(1)) - 1), lambda j: F.struct(F.col("i").alias("left"), (-1 - j).alias("right")))).otherwise(F.array().cast("array<struct<left:int,right:int>>"))
+    of_linked = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: F.struct(j.alias("left"), (-1 - F.col("i")).alias("right")))
     grouped = (
-        dealt.join(sets.groupBy("node").agg(F.first("tokens").alias("tokens")), "node")
-        .groupBy("root", "i", "j")  # 2 BLOCK rows and 2 BLOCK_TOKENS shingles a group, about
-        .agg(F.sort_array(F.collect_list(F.struct("node", "tokens"))).alias("m"))
+        placed.withColumn("to", F.explode(F.when(apart, F.concat(with_apart, with_linked)).otherwise(of_linked)))
+        .groupBy("root", "to")  # 2 BLOCK rows and 2 BLOCK_TOKENS shingles a group, about
+        .agg(F.sort_array(F.collect_list(F.struct("node", "n", "base", "difference"))).alias("m"))
         .select("m")
     )
 
@@ -306,8 +440,8 @@ def _verified(docs: DataFrame, classes: DataFrame, families: DataFrame, size: in
         for b in batches:
             forest: list[tuple[int, int]] = []
             for k in range(b.num_rows):
-                nodes, tokens = b.column("m")[k].values.flatten()
-                forest += _overlapping(nodes.to_pylist(), [np.frombuffer(t.as_buffer(), np.uint64) for t in tokens], percent)
+                nodes, n, base, far = b.column("m")[k].values.flatten()
+                forest += _overlapping(nodes.to_pylist(), n.to_numpy(), base.to_numpy(), [np.frombuffer(t.as_buffer(), np.uint64) for t in far], percent)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in forest], pa.int64()), pa.array([c for _, c in forest], pa.int64())], names=["a", "b"])
 
     return grouped.mapInArrow(verify, "a long, b long")

@@ -2,10 +2,11 @@
 
 Sizes are summed by source and hash bucket. In each source the buckets below its budget are taken whole; only
 the bucket in which the budget ends is split further by the next hash bits. The result is one threshold a
-source, so that taking a document is a comparison and nothing is sorted.
+source, so that taking a document is a comparison and nothing is sorted. Rows that repeat in doc_id and text share a hash;
+where the budget ends among such rows, as many of them are taken as come nearest to it.
 
 Defined results: null or empty text has size 0 and takes part; a null source is a source of its own, ordered
-last; rows that repeat in doc_id and text share a hash and are taken together; an empty table gives no rows;
+last; which of rows alike in doc_id and text are taken is open, how many is not; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -68,7 +69,7 @@ def attach(docs: DataFrame, by_source: DataFrame, n_sources: int) -> DataFrame:
 
 
 def thresholds(sized: DataFrame, folder: str, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> tuple[DataFrame, int]:
-    """One row a source: its targets and the hash below which its documents are taken once more. sized: source, size, hash."""
+    """One row a source: its targets, the hash below which its documents are taken once more, and the words left for rows of that hash. sized: source, size, hash."""
     plan = stored(targets(sized, weights, most), folder, "targets").withColumns({"prefix": F.lit(0).cast("long"), "left": F.col("rest")})
     n_sources = plan.count()
     for level in range(LEVELS):
@@ -91,17 +92,30 @@ def thresholds(sized: DataFrame, folder: str, weights: tuple[int, ...] = WEIGHTS
                 *[c for c in ("source", "source_size", "target", "whole", "rest")],
                 F.coalesce(F.col("end.bucket"), F.shiftleft("prefix", BITS)).alias("prefix"),
                 F.greatest(F.lit(0.0), F.col("left") - F.coalesce(F.col("end.before"), F.lit(0))).alias("left"),
-                F.coalesce(F.col("end.words"), F.lit(0)).alias("words"),
             ),
             folder,
             f"level{level}",
         )
-    nearer = F.when(F.col("left") * 2 >= F.col("words"), 1).otherwise(0)
-    return plan.select("source", "source_size", "target", "whole", (F.col("prefix") + F.when(F.col("words") > 0, nearer).otherwise(0)).alias("threshold")), n_sources
+    return plan.select("source", "source_size", "target", "whole", F.col("prefix").alias("threshold"), "left"), n_sources
 
 
-def copies() -> Column:
-    return (F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)).cast("int")
+def taken_times(rows: DataFrame, plan: DataFrame, n_sources: int, folder: str) -> DataFrame:
+    """Adds ``times`` and the plan's columns to rows of source, size and hash.
+
+    Rows of the hash in which a source's budget ends are written and numbered by the task that wrote them, so that none
+    has to hold all of them.
+    """
+    known = attach(rows, plan, n_sources)
+    tied = F.col("hash") == F.col("threshold")
+    plain = known.where(~tied).withColumn("times", (F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)).cast("int"))
+    ends = stored(known.where(tied).withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), folder, "tied")
+    of_part = ends.groupBy(F.col("source").alias("_source"), F.col("part").alias("_part")).agg(F.count("*").alias("n"))
+    of_part = of_part.withColumn("before", F.sum("n").over(W.partitionBy("_source").orderBy("_part")) - F.col("n")).drop("n")
+    number = F.row_number().over(W.partitionBy("source", "part").orderBy("place")) + F.col("before")
+    counted = ends.join(of_part, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part"))).withColumn("number", number)
+    nearest = F.when(F.col("size") > 0, F.floor(F.col("left") / F.col("size") + 0.5)).otherwise(0)
+    counted = counted.withColumn("times", (F.col("whole") + F.when(F.col("number") <= nearest, 1).otherwise(0)).cast("int"))
+    return plain.unionByName(counted.select(*plain.columns))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -109,14 +123,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     folder = shared_folder(docs.sparkSession)
     sized = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("hash")), folder, "sized")
     plan, n_sources = thresholds(sized, folder, weights, most)
-    return attach(sized, plan, n_sources).select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+    return taken_times(sized, plan, n_sources, folder).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The documents of the mix themselves: each row as many times as it is taken, which may be none."""
     folder = shared_folder(docs.sparkSession)
-    hashed = docs.withColumns({"_size": size_of(F.col("text")), "hash": hash_of(F.col("doc_id"), F.col("text"))})
-    sized = stored(hashed.select("source", F.col("_size").alias("size"), "hash"), folder, "sized")
-    plan, n_sources = thresholds(sized, folder, weights, most)
-    taken = attach(docs.withColumn("hash", hash_of(F.col("doc_id"), F.col("text"))), plan.select("source", "whole", "threshold"), n_sources)
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies()))).select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(whole, "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("hash"))
+    plan, n_sources = thresholds(stored(rows.select("source", "size", "hash"), folder, "sized"), folder, weights, most)
+    times = taken_times(rows, plan, n_sources, folder)
+    return times.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("doc.*")

@@ -44,6 +44,12 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for name in names:
+        _remove(spark, f"{folder}/{name}")
+
+
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes the rows once and reads them back, which ends their lineage."""
     path = f"{folder}/{name}"
