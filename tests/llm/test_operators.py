@@ -200,7 +200,7 @@ def test_jaccard_at_the_threshold_and_in_large_groups(spark):
 
 
 def test_jaccard_with_lists_families_and_blocks_in_many_parts(spark, monkeypatch):
-    for where, name, value in ((jaccard, "LIST_PART", 40), (jaccard, "BLOCK", 16), (jaccard, "BLOCK_TOKENS", 3000), (graph, "HOT_ROWS", 5), (jaccard, "REMEMBERED", 7)):
+    for where, name, value in ((jaccard, "LIST_PART", 40), (jaccard, "BLOCK", 16), (jaccard, "MEETING", 20), (jaccard, "BLOCK_TOKENS", 3000), (graph, "HOT_ROWS", 5), (jaccard, "REMEMBERED", 7)):
         monkeypatch.setattr(where, name, value)
     random = np.random.default_rng(8)
     base, texts = [f"b{k}" for k in range(150)], {}
@@ -245,6 +245,23 @@ def test_cover_trees_find_all_pairs(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_in_many_blocks_with_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 24)
+    monkeypatch.setattr(embeddings, "SHELLS", 4)
+    random = np.random.default_rng(9)
+    centre = random.normal(size=(12, 8))
+    rows = [(k, [float(v) for v in centre[k % 12] + random.normal(size=8) * random.choice([0.05, 0.2, 0.4])]) for k in range(400)]
+    rows += [(k, [float(v) for v in random.normal(size=5)]) for k in range(400, 420)] + [(7, rows[3][1]), (None, rows[5][1]), (421, None), (None, [0.0, 0.0])]
+    docs = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in rows], "vec_id long, embedding array<double>, links long, class string, home int").repartition(5)
+    got = embeddings.near_duplicates(docs).toPandas()
+    near = lambda x, y: x and y and len(x) == len(y) and any(x) and any(y) and float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)) >= 0.95
+    links = [(a, b) for a in range(len(rows)) for b in range(len(rows)) if a != b and near(rows[a][1], rows[b][1])]
+    root, count = roots(range(len(rows)), links), Counter(a for a, _ in links)
+    name = {r: min((rows[k][0] for k in root if root[k] == r and rows[k][0] is not None), default=None) for r in set(root.values())}
+    want = sorted((rows[k][0] if rows[k][0] is not None else -1, count[k], name[root[k]] if name[root[k]] is not None else -1) for k in root)
+    assert sorted(zip(got.vec_id.fillna(-1).astype(int), got.n_links, got.component_id.fillna(-1).astype(int))) == want
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 40, 1000, 4097):
         assert sorted(sharding.permute(np.arange(n), n, 17)) == list(range(n))

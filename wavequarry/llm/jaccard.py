@@ -1,14 +1,14 @@
 """N-gram Jaccard join with set-relation skipping: components of documents whose shingle sets are alike.
 
-1. Equal sets are one class. Each class keeps a 64-bit key and a histogram of its shingles over 64 hash cells,
-   which bounds its overlap with any other set from above.
-2. Prefix index: shingles are ordered rare before common, then by hash; sets that reach the threshold share one of
-   the first n - ceil(t n) + 1. Lists of one set are dropped where they are made.
-3. Each list first pairs its sets with its smallest set only (a list of very many sets in parts, whose smallest sets
-   are paired in turn). Pairs that the size, position and histogram bounds allow join into families of similar sets.
-   Lists are then cut into blocks of like size and family; a pair of blocks of different families is skipped whole
-   when even its best positions cannot reach the overlap, and only the other blocks give candidate pairs, which merge
-   families where the bounds allow.
+1. Equal sets are one class. Each class keeps a 64-bit key and a bit map of its hashed shingles, of two bits a shingle
+   about; bits that only one of two maps has bound the overlap of their sets from above.
+2. Prefix index: shingles are ordered rare before common, then by hash; the first n - ceil(t n) + 1 of a set are listed.
+   Lists of one set are dropped where they are made; lists of very many sets are made in parts.
+3. Each set is first paired with the one set that is the smallest of most of its lists (those smallest sets of a list's
+   parts with the smallest of them). Pairs that the size, position and bit map bounds allow join into families of similar
+   sets. Lists are then cut into blocks of like size and family; a pair of blocks of different families is skipped whole
+   when its best positions are too late, and only the other blocks give pairs. Of those, pairs become candidates that
+   share so many listed shingles that the rest can make up the overlap; they merge families.
 4. Answers from a similar set: the set of a family that most others were paired with leads it. Each member's texts meet
    the leader once, which answers whether the two link, and the member is kept as its difference from the leader. With
    s(A) the symmetric difference, |A & B| = |A & L| + |B & L| - |L| + |s(A) & s(B)|, so every further answer follows from
@@ -38,9 +38,10 @@ from .shingles import set_key, shingle_sets
 from .textkernel import mix
 
 SHINGLE, PERCENT = 3, 90
-CELLS = 64
-#: Members of a family that are compared in one block.
-BLOCK = 512
+#: Bytes of a set's bit map, at least and at most.
+LEAST_MAP, MOST_MAP = 8, 1 << 16
+#: Members of a family that are compared in one block, and that meet their leader in one task.
+BLOCK, MEETING = 512, 256
 #: Shingles of a family that meet its leader in one task or are compared in one block, and of a block in one range of hashes, about.
 BLOCK_TOKENS, RANGE_TOKENS = 2_000_000, 1 << 18
 #: Documents of a counting cell from which on its lists are dealt in parts of that size, and such cells, at most (the fullest).
@@ -59,10 +60,26 @@ def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _histogram(tokens: np.ndarray) -> bytes:
-    """Shingles by hash cell; empty when a count does not fit, which bounds nothing."""
-    counts = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
-    return counts.astype("<u2").tobytes() if counts.max() < 1 << 16 else b""
+def _bit_map(tokens: np.ndarray) -> bytes:
+    size = min(max(LEAST_MAP, 1 << max(len(tokens) // 4, 1).bit_length()), MOST_MAP)
+    at = (tokens >> np.uint64(20)) & np.uint64(size * 8 - 1)
+    bits = np.zeros(size, np.uint8)
+    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    return bits.tobytes()
+
+
+def _most_shared(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlaps of sets of n and m shingles: each bit that only one map has stands for a shingle that only its set has."""
+    most = np.minimum(n, m)
+    lengths = np.array([[len(a), len(b)] for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    for p, q in np.unique(lengths, axis=0):
+        at = np.flatnonzero((lengths == (p, q)).all(axis=1))
+        size = min(p, q)
+        # the bits of a larger map fold onto those of a smaller one
+        a, b = (np.bitwise_or.reduce(np.frombuffer(b"".join(v[k] for k in at), np.uint8).reshape(len(at), -1, size), axis=1) for v in (x, y))
+        only_a, only_b = (np.bitwise_count(v).sum(axis=1, dtype=np.int64) for v in (a & ~b, b & ~a))
+        most[at] = np.minimum(n[at] - only_a, m[at] - only_b)
+    return most
 
 
 def _described(docs: DataFrame, size: int, cell_bits: int, cell_block: int) -> DataFrame:
@@ -75,7 +92,7 @@ def _described(docs: DataFrame, size: int, cell_bits: int, cell_block: int) -> D
             for tokens in shingle_sets(b.column("text"), size):
                 n.append(len(tokens))
                 keys.append(set_key(tokens))
-                cells.append(_histogram(tokens))
+                cells.append(_bit_map(tokens))
                 hit = (tokens >> np.uint64(64 - cell_bits)).astype(np.int64)
                 seen = count[hit]
                 count[hit] = seen + (seen < 255)
@@ -184,17 +201,12 @@ def _lists(docs: DataFrame, size: int, percent: int, common: np.ndarray, hot: np
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose histograms allow the overlap they need, or the share ``ease`` of it; pairs is a stored table."""
+    """Pairs (a, b) whose bit maps allow the overlap they need, or the share ``ease`` of it; pairs is a stored table."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
             n, m = batch.column("n").to_numpy().astype(np.int64), batch.column("m").to_numpy().astype(np.int64)
-            known = np.array([bool(s and t) for s, t in zip(x, y, strict=True)], bool)
-            most = np.minimum(n, m)
-            if known.any():
-                s, t = (np.frombuffer(b"".join(v[k] for k in np.flatnonzero(known)), "<u2").reshape(-1, CELLS) for v in (x, y))
-                most[known] = np.minimum(s, t).sum(axis=1)
+            most = _most_shared(batch.column("x").to_pylist(), batch.column("y").to_pylist(), n, m)
             keep = pa.array(most >= least_overlap(n, m, percent) * batch.column("ease").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
@@ -208,7 +220,16 @@ def _needs(n: str, m: str, percent: int):  # noqa: ANN202
 
 
 def _across(lists: DataFrame, families: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different families, by blocks of the lists."""
+    """Candidate pairs of different families, by blocks of the lists.
+
+    With k the share t of the larger set, shared shingles at positions up to n - k and m - k are all listed. What two sets
+    share beyond the earlier end of these positions is less than k, so that sets which need an overlap of k + x have more
+    than x such shingles in common.
+    """
+
+    def own(n: str, m: str):  # noqa: ANN202
+        return F.ceil(F.lit(percent) * F.greatest(n, m) / 100 - F.lit(1e-9))
+
     rows = lists.select("token", "key", "n", "pos").join(families.select(F.col("node").alias("key"), F.col("root").alias("family")), "key", "left").withColumn("family", F.coalesce("family", "key"))
     rows = rows.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int"))
     blocks = rows.groupBy("token", "size", "family").agg(F.min("pos").alias("pos"), F.max("n").alias("most"), F.min("n").alias("least"))
@@ -217,7 +238,7 @@ def _across(lists: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     pairs = (
         blocks.join(other, ["token", "size"])
         .where("family <> f and (size < size2 or family < f)")
-        .where(F.least(F.col("most") - F.col("pos"), F.col("mo") - F.col("p")) >= _needs("least", "le", percent))
+        .where(F.least(F.col("most") - F.col("pos"), F.col("mo") - F.col("p")) >= own("least", "le"))
         .select("token", "size", "family", "size2", "f")
     )
     one = rows.select("token", "size", "family", F.col("key").alias("a"), "n", "pos")
@@ -225,10 +246,11 @@ def _across(lists: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     return (
         pairs.join(one, ["token", "size", "family"])
         .join(two, ["token", "size2", "f"])
-        .where(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("p")) >= _needs("n", "m", percent))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .withColumn("ease", F.lit(1.0))
+        .where(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("p")) >= own("n", "m"))
+        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .agg(F.count("*").alias("shared"), F.max(_needs("n", "m", percent) - own("n", "m")).alias("beyond"))
+        .where(F.col("shared") > F.col("beyond"))
+        .select("a", "b", F.lit(1.0).alias("ease"))
     )
 
 
@@ -305,14 +327,16 @@ def _families(lists: DataFrame, classes: DataFrame, folder: str, percent: int) -
     heads = lists.where("dealt and key = lead").select("token", F.struct("n", "key", "pos").alias("head"))  # one row a part of a hot list
     lowest = heads.groupBy("token").agg(F.min("head").alias("low"))
     of_parts = heads.join(lowest, "token").where("head.key <> low.key").select("head.key", "head.n", "head.pos", F.col("low.key").alias("lead"), F.col("low.n").alias("lead_n"), F.col("low.pos").alias("lead_pos"))
-    stars = stored(
+    stars = (
         of_list.unionByName(of_parts)
         .where(F.col("lead_n") * 100 >= F.col("n") * percent)
         .groupBy(F.col("key").alias("a"), F.col("lead").alias("b"))
-        .agg(F.bool_or(reach).alias("reach")),
-        folder,
-        "stars",
+        .agg(F.bool_or(reach).alias("reach"), F.count("*").alias("lists"))
+        .groupBy("a")
+        .agg(F.max_by(F.struct("b", "reach"), F.struct("lists", "b")).alias("best"))
+        .select("a", "best.b", "best.reach")
     )
+    stars = stored(stars, folder, "stars")
     # around a set that leads many others, pairs are cheaper to count in blocks than to list: such families take in looser kin
     busy = stars.groupBy("b").agg(F.count("*").alias("kin")).where(F.col("kin") >= BUSY)
     eased = stored(join_hot(stars, busy, "b", "left").where("reach or kin is not null").select("a", "b", F.when(F.col("kin").isNotNull(), EASE).otherwise(1.0).alias("ease")), folder, "eased")
@@ -333,7 +357,7 @@ def _links(docs: DataFrame, classes: DataFrame, families: DataFrame, similar: Da
         folder,
         "members",
     )
-    heads = members.groupBy("root").agg(F.max(F.struct("kin", "node")).alias("top"), F.count("*").alias("members"), F.sum("n").alias("tokens")).select("root", F.col("top.node").alias("leader"), "members", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("parts"))
+    heads = members.groupBy("root").agg(F.max(F.struct("kin", "node")).alias("top"), F.count("*").alias("members"), F.sum("n").alias("tokens")).select("root", F.col("top.node").alias("leader"), "members", F.greatest(F.ceil(F.col("tokens") / BLOCK_TOKENS), F.ceil(F.col("members") / MEETING)).cast("int").alias("parts"))
     dealt = (
         join_hot(members, heads, "root")
         .withColumn("leads", F.col("node") == F.col("leader"))
