@@ -1,14 +1,15 @@
 """Embedding near-duplicates: exact threshold pairs by dual traversal of cover trees.
 
 Vectors are scaled to length one, where cosine >= c is distance <= sqrt(2 - 2c). Equal vectors are one class.
-Classes are dealt to blocks around pivots; each block holds a cover tree, whose levels are nested and halve their
-radii. Two trees are descended together, level by level: a pair of nodes further apart than the sum of their
-covering radii and the threshold is dropped; a pair whose every members are within the threshold is linked whole;
-the others are replaced by their children. What is left at the leaves is compared in double precision.
+Classes are dealt to blocks by their nearest pivot and the distance from it; each block holds a cover tree, whose levels
+are nested and halve their radii. Two trees are descended together, level by level: a pair of nodes further apart than the
+sum of their covering radii and the threshold is dropped; a pair whose every members are within the threshold is linked
+whole; the others are replaced by their children. What is left at the leaves is compared in double precision.
 
-A block pair gives link counts and a spanning forest of its links, never all pairs; components follow from the
-forests. In data without low-dimensional structure trees cannot prune near their roots, and the comparisons
-between top nodes, done as matrix products, grow with the square of the distinct vectors.
+Pairs of blocks are dropped before any vector is sent where some pivot is further from all of one block than from all of
+the other by more than the threshold. A block pair gives link counts and a spanning forest of its links, never all pairs;
+components follow from the forests. In data without low-dimensional structure neither bound prunes near the roots, and the
+comparisons between top nodes, done as matrix products, grow with the square of the distinct vectors.
 
 Defined results: null, zero and empty vectors and those with null or non-finite components link with nothing and
 are kept; vectors of different length do not link; rows with equal vectors link with each other; a row without
@@ -25,19 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-from .scratch import shared_folder, stored
+from .graph import components, join_hot
+from .scratch import discard, shared_folder, stored
 
 COSINE = 0.95
-#: Classes of a block, about.
-BLOCK = 4096
+#: Classes of a block, about, and shells around a pivot that its blocks are made of.
+BLOCK, SHELLS = 8192, 64
 #: Vectors from which pivots are chosen, and pivots, at most.
 PIVOT_SAMPLE, PIVOTS = 1024, 64
 #: Levels end at this radius; smaller nodes are leaves.
 LEAF_RADIUS = 1 / 32
 #: Rounding of distances got from products.
 SLACK = 1e-7
-TILE = 512
+#: Nodes whose distances are taken at a time, and rows from which centres are chosen at a time.
+TILE, CHUNK = 1024, 256
 
 
 @dataclass
@@ -71,6 +73,7 @@ class Tree:
 def cover_tree(x: np.ndarray) -> Tree:
     """Each node's first child has its own centre; the others cover what that child does not, greedily by row order."""
     n = len(x)
+    single_precision = x.astype(np.float32)
     centre, label, radius = np.zeros(1, np.int64), np.zeros(n, np.int64), 2.0
     tree = ([], [], [])
     while True:
@@ -89,19 +92,37 @@ def cover_tree(x: np.ndarray) -> Tree:
         for node in np.flatnonzero(~single):
             left = order[starts[node] : starts[node + 1]]
             near = d[left] <= radius
-            at = centre[node]
-            while True:
-                next_label[left[near]] = len(below)
-                below.append(at)
-                left = left[~near]
-                if not len(left):
-                    break
-                at = left[0]
-                near = x[left] @ x[at] >= 1 - radius * radius / 2
-                near[0] = True
+            next_label[left[near]] = len(below)
+            below.append(centre[node])
+            _cover(single_precision, left[~near], radius, next_label, below)
         centre, label = np.array(below), next_label
 
 
+def _cover(x: np.ndarray, left: np.ndarray, radius: float, label: np.ndarray, centres: list) -> None:
+    """Covers rows greedily in their order: the first one that is not covered becomes the next centre."""
+    least = np.float32(1 - radius * radius / 2)
+    while len(left):
+        head, left = left[:CHUNK], left[CHUNK:]
+        near = x[head] @ x[head].T >= least
+        covered = np.zeros(len(head), bool)
+        first = len(centres)
+        chosen = []
+        for k in range(len(head)):
+            if not covered[k]:
+                new = near[k] & ~covered
+                new[k] = True
+                label[head[new]] = len(centres)
+                centres.append(head[k])
+                chosen.append(k)
+                covered |= new
+        if len(left):
+            near = x[left] @ x[head[chosen]].T >= least
+            at = near.argmax(axis=1)
+            hit = near[np.arange(len(left)), at]
+            label[left[hit]] = first + at[hit]
+            left = left[~hit]
+
+
 def linked(x: np.ndarray, tx: Tree, y: np.ndarray, ty: Tree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of row lists all of whose pairs link, each pair of rows once (for a block with itself: both ways, and each row with itself)."""
     reach = np.sqrt(2 - 2 * cosine)
@@ -137,17 +158,20 @@ def linked(x: np.ndarray, tx: Tree, y: np.ndarray, ty: Tree, cosine: float) -> I
 
 
 def _near(x: np.ndarray, y: np.ndarray, reach_x: np.ndarray, reach_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of top nodes no further apart than their reaches together (and a few more), by matrix products in single precision."""
-    x, y, reach_x, reach_y = (v.astype(np.float32) for v in (x, y, reach_x, reach_y))
+    """Pairs of top nodes no further apart than their reaches together (and a few more), by matrix products in single precision.
+
+    Nodes of like reach share a tile, so that one bound serves all pairs of two tiles.
+    """
+    p, q = np.argsort(reach_x, kind="stable"), np.argsort(reach_y, kind="stable")
+    x, y = x[p].astype(np.float32), y[q].astype(np.float32)
     a, b = [], []
     for k in range(0, len(x), TILE):
-        gap = np.add.outer(reach_x[k : k + TILE], reach_y)
-        gap *= gap
-        gap *= np.float32(0.5)
-        gap += x[k : k + TILE] @ y.T
-        p, q = np.nonzero(gap >= np.float32(1 - 1e-5))
-        a.append(p + k)
-        b.append(q)
+        for m in range(0, len(y), TILE):
+            reach = reach_x[p[min(k + TILE, len(x)) - 1]] + reach_y[q[min(m + TILE, len(y)) - 1]]
+            hit = np.flatnonzero(x[k : k + TILE] @ y[m : m + TILE].T >= np.float32(1 - reach * reach / 2 - 1e-5))
+            width = min(TILE, len(y) - m)
+            a.append(p[k + hit // width])
+            b.append(q[m + hit % width])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -212,7 +236,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            home = np.zeros(b.num_rows, np.int64)
+            home, away = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
             length = b.column("dim").to_numpy()
             values = b.column("v")
             flat, offsets = values.flatten().to_numpy(zero_copy_only=False), values.offsets.to_numpy()
@@ -220,14 +244,22 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
             for d in np.unique(length):
                 at = np.flatnonzero(length == d)
                 x = _unit(np.concatenate([flat[offsets[k] : offsets[k + 1]] for k in at]).astype(kind).tobytes(), int(d), kind)
-                home[at] = (x @ pivots[d].T).argmax(axis=1)
+                cosines = x @ pivots[d].T
+                home[at] = cosines.argmax(axis=1)
+                away[at] = np.sqrt(np.maximum(2 - 2 * cosines.max(axis=1), 0))
             blobs = [flat[offsets[k] : offsets[k + 1]].astype(kind).tobytes() for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("rep"), b.column("copies"), b.column("dim"), pa.array(home), pa.array(blobs, pa.binary())], names=["class", "rep", "copies", "dim", "home", "blob"])
+            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("rep"), b.column("copies"), b.column("dim"), pa.array(home), pa.array(away), pa.array(blobs, pa.binary())], names=["class", "rep", "copies", "dim", "home", "away", "blob"])
 
     id_type = dict(rows.dtypes)["id"]
-    homes = stored(classes.withColumn("dim", F.size("v")).select("class", "rep", "copies", "dim", "v").mapInArrow(deal, f"class string, rep {id_type}, copies long, dim int, home long, blob binary"), folder, "homes")
-    sizes = homes.groupBy("dim", "home").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))  # PIVOTS rows a length
-    dealt = homes.join(F.broadcast(sizes), ["dim", "home"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")))
+    homes = stored(classes.withColumn("dim", F.size("v")).select("class", "rep", "copies", "dim", "v").mapInArrow(deal, f"class string, rep {id_type}, copies long, dim int, home long, away double, blob binary"), folder, "homes")
+    # distances that are alike are told apart by a billionth of the row's hash
+    away = F.col("away") + F.pmod(F.xxhash64("class"), F.lit(1 << 20)) * 1e-15
+    cuts = F.percentile_approx(away, [k / SHELLS for k in range(1, SHELLS)], 2000).alias("cuts")
+    sizes = homes.groupBy("dim", "home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), cuts)  # PIVOTS rows a length
+    shell = F.size(F.filter("cuts", lambda c: c < away))
+    spread = F.greatest(F.ceil(F.col("parts") / SHELLS), F.lit(1)).cast("long")  # blocks of one shell
+    part = F.when(F.col("parts") <= SHELLS, F.floor(shell * F.col("parts") / SHELLS)).otherwise(shell * spread + F.pmod(F.xxhash64("class"), spread))
+    dealt = homes.join(F.broadcast(sizes), ["dim", "home"]).withColumn("part", part.cast("long"))
     gathered = (
         dealt.groupBy("dim", "home", "part")  # about BLOCK rows a group
         .agg(F.sort_array(F.collect_list(F.struct("class", "rep", "copies", "blob"))).alias("m"))
@@ -237,15 +269,22 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                tree = cover_tree(_unit(b"".join(b.column("blobs")[k].as_py()), b.column("dim")[k].as_py(), kind))
+                dim = b.column("dim")[k].as_py()
+                x = _unit(b"".join(b.column("blobs")[k].as_py()), dim, kind)
+                tree = cover_tree(x)
+                away = np.sqrt(np.maximum(2 - 2 * (x @ pivots[dim].T), 0))
+                ranges = [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (away.min(axis=0), away.max(axis=0))]
                 flat = [np.stack(tree.labels).astype(np.int32).tobytes(), np.concatenate(tree.centres).astype(np.int32).tobytes(), np.concatenate(tree.radii).tobytes()]
-                yield pa.RecordBatch.from_arrays([*b.slice(k, 1).columns, *[pa.array([f], pa.binary()) for f in flat]], names=[*b.schema.names, "tree", "centres", "radii"])
+                yield pa.RecordBatch.from_arrays([*b.slice(k, 1).columns, *[pa.array([f], pa.binary()) for f in flat], *ranges], names=[*b.schema.names, "tree", "centres", "radii", "nearest", "farthest"])
 
-    blocks = stored(gathered.mapInArrow(plant, f"dim int, block long, class array<string>, rep array<{id_type}>, copies array<long>, blobs array<binary>, tree binary, centres binary, radii binary"), folder, "blocks")
+    blocks = stored(gathered.mapInArrow(plant, f"dim int, block long, class array<string>, rep array<{id_type}>, copies array<long>, blobs array<binary>, tree binary, centres binary, radii binary, nearest array<double>, farthest array<double>"), folder, "blocks")
     fields = ("block", "dim", "copies", "blobs", "tree", "centres", "radii")
     side = blocks.select(*fields)
-    ids = blocks.select("dim", "block")
-    pairs = ids.alias("l").join(ids.alias("r"), (F.col("l.dim") == F.col("r.dim")) & (F.col("l.block") <= F.col("r.block"))).select(F.col("l.block").alias("left"), F.col("r.block").alias("right"))
+    ids = blocks.select("dim", "block", "nearest", "farthest")  # a row a block
+    # the distance from a pivot differs by no more than the distance between two vectors
+    gap = F.array_max(F.zip_with("l.nearest", "r.farthest", lambda p, q: p - q)), F.array_max(F.zip_with("r.nearest", "l.farthest", lambda p, q: p - q))
+    reach = float(np.sqrt(2 - 2 * cosine)) + SLACK
+    pairs = ids.alias("l").join(ids.alias("r"), (F.col("l.dim") == F.col("r.dim")) & (F.col("l.block") <= F.col("r.block")) & (F.greatest(*gap) <= reach)).select(F.col("l.block").alias("left"), F.col("r.block").alias("right"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     left = side.select(F.col("block").alias("left"), F.struct(*fields).alias("x"))
     right = side.select(F.col("block").alias("right"), F.struct(*fields).alias("y"))
@@ -268,10 +307,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     roots = components(found.where("b >= 0").select("a", "b"), folder)
     members = blocks.select("block", F.posexplode(F.arrays_zip("class", "rep")).alias("at", "m")).select((F.col("block") * (1 << 20) + F.col("at")).alias("node"), F.col("m.class").alias("class"), F.col("m.rep").alias("rep"))
     known = members.join(linked_to, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = stored(known, folder, "known")
     least = known.groupBy("root").agg(F.min("rep").alias("component"))
-    table = known.join(least, "root").select("class", "links", "component")
+    table = stored(join_hot(known, least, "root").select("class", "links", "component"), folder, "table")
+    discard(spark, folder, "classes", "homes", "blocks", "found", "known")
     # a class links with its own copies too: links counts the row itself, which is taken off
-    return rows.join(table, "class", "left").select(
+    return join_hot(rows, table, "class", "left").select(
         F.col("id").alias(id_col),
         F.greatest(F.coalesce(F.col("links"), F.lit(1)) - 1, F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "id").cast("long").alias("component_id"),
