@@ -100,7 +100,7 @@ def _described(docs: DataFrame, size: int, cell_bits: int, cell_block: int) -> D
         blocks = [k for k in range(0, len(count), cell_block) if count[k : k + cell_block].any()]
         m = len(blocks)
         task = pa.array(np.full(m, TaskContext.get().partitionId() >> 6, np.int32))
-        counts = pa.array([count[k : k + cell_block].astype("<u4").tobytes() for k in blocks], pa.binary())
+        counts = pa.array([count[k : k + cell_block].tobytes() for k in blocks], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.nulls(m, b_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), counts, pa.array([k // cell_block for k in blocks], pa.int32()), task], names=names)
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -118,7 +118,7 @@ def _common(described: DataFrame, cell_bits: int, cell_block: int, total: int) -
             for k in range(b.num_rows):
                 count = np.zeros(cell_block, np.uint32)
                 for part in b.column("parts")[k].as_py():
-                    count += np.minimum(np.frombuffer(part, "<u4"), np.uint32(0xFFFFFFFF) - count)
+                    count += np.minimum(np.frombuffer(part, "<u4" if last else np.uint8), np.uint32(0xFFFFFFFF) - count)
                 block = b.column("block").slice(k, 1)
                 if not last:
                     yield pa.RecordBatch.from_arrays([block, pa.array([count.tobytes()], pa.binary())], names=["block", "cells"])
