@@ -60,6 +60,11 @@ class Tree:
     def depth(self, level: int) -> int:
         return min(level, len(self.centres) - 1)
 
+    def start(self) -> int:
+        """The deepest level of no more than twice the nodes of the first: where radii are small and pairs are not many more."""
+        few = [k for k, c in enumerate(self.centres) if len(c) <= 2 * len(self.centres[self.depth(1)])]
+        return few[-1]
+
     def members(self, level: int, node: int) -> np.ndarray:
         return self.order[level][self.starts[level][node] : self.starts[level][node + 1]]
 
@@ -126,53 +131,54 @@ def _cover(x: np.ndarray, left: np.ndarray, radius: float, label: np.ndarray, ce
 def linked(x: np.ndarray, tx: Tree, y: np.ndarray, ty: Tree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of row lists all of whose pairs link, each pair of rows once (for a block with itself: both ways, and each row with itself)."""
     reach = np.sqrt(2 - 2 * cosine)
-    level = 1
-    i, j = tx.depth(level), ty.depth(level)
-    a, b = _near(x[tx.centres[i]], y[ty.centres[j]], tx.radii[i] + reach, ty.radii[j])
-    while len(a):
+    i, j = tx.start(), ty.start()
+    tops = _tiles(x[tx.centres[i]], y[ty.centres[j]], tx.radii[i] + reach, ty.radii[j])
+    while True:
         rx, ry = tx.radii[i], ty.radii[j]
-        keep_a, keep_b = [], []
-        for k in range(0, len(a), 1 << 15):
-            p, q = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
-            d = np.sqrt(((x[tx.centres[i][p]] - y[ty.centres[j][q]]) ** 2).sum(axis=1))
-            bound = rx[p] + ry[q]
-            whole = d + bound <= reach - SLACK
-            for s, t in zip(p[whole], q[whole], strict=True):
-                yield tx.members(i, s), ty.members(j, t)
-            open_ = ~whole & (d <= bound + reach + SLACK)
-            keep_a.append(p[open_])
-            keep_b.append(q[open_])
-        pairs = zip(np.concatenate(keep_a), np.concatenate(keep_b), strict=True)
+        left = []
+        for a, b in tops:
+            for k in range(0, len(a), 1 << 14):
+                p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+                d = np.sqrt(((x[tx.centres[i][p]] - y[ty.centres[j][q]]) ** 2).sum(axis=1))
+                bound = rx[p] + ry[q]
+                whole = d + bound <= reach - SLACK
+                for s, t in zip(p[whole], q[whole], strict=True):
+                    yield tx.members(i, s), ty.members(j, t)
+                open_ = ~whole & (d <= bound + reach + SLACK)
+                left.extend(zip(p[open_], q[open_], strict=True))
         if i == len(tx.centres) - 1 and j == len(ty.centres) - 1:
-            for s, t in pairs:
+            for s, t in left:
                 m, n = tx.members(i, s), ty.members(j, t)
                 r, c = np.nonzero(x[m] @ y[n].T >= cosine)
                 for k in np.unique(r):
                     yield m[k : k + 1], n[c[r == k]]
             return
-        down = [(tx.children(i, s), ty.children(j, t)) for s, t in pairs]
-        a = np.concatenate([np.repeat(u, len(v)) for u, v in down] or [np.zeros(0, np.int64)])
-        b = np.concatenate([np.tile(v, len(u)) for u, v in down] or [np.zeros(0, np.int64)])
-        level += 1
-        i, j = tx.depth(level), ty.depth(level)
+        down = [(tx.children(i, s), ty.children(j, t)) for s, t in left]
+        if not down:
+            return
+        tops = [(np.concatenate([np.repeat(u, len(v)) for u, v in down]), np.concatenate([np.tile(v, len(u)) for u, v in down]))]
+        i, j = tx.depth(i + 1), ty.depth(j + 1)
 
 
-def _near(x: np.ndarray, y: np.ndarray, reach_x: np.ndarray, reach_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _tiles(x: np.ndarray, y: np.ndarray, reach_x: np.ndarray, reach_y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of top nodes no further apart than their reaches together (and a few more), by matrix products in single precision.
 
     Nodes of like reach share a tile, so that one bound serves all pairs of two tiles.
     """
     p, q = np.argsort(reach_x, kind="stable"), np.argsort(reach_y, kind="stable")
     x, y = x[p].astype(np.float32), y[q].astype(np.float32)
-    a, b = [], []
-    for k in range(0, len(x), TILE):
-        for m in range(0, len(y), TILE):
-            reach = reach_x[p[min(k + TILE, len(x)) - 1]] + reach_y[q[min(m + TILE, len(y)) - 1]]
-            hit = np.flatnonzero(x[k : k + TILE] @ y[m : m + TILE].T >= np.float32(1 - reach * reach / 2 - 1e-5))
-            width = min(TILE, len(y) - m)
-            a.append(p[k + hit // width])
-            b.append(q[m + hit % width])
-    return np.concatenate(a), np.concatenate(b)
+
+    def cuts(reach: np.ndarray) -> list[int]:
+        steps = reach[0] + np.array([0.0, 0.03, 0.06, 0.12, 0.25, 0.5, 1.0])
+        return sorted({*range(0, len(reach), TILE), *np.searchsorted(reach, steps, side="right").tolist(), len(reach)})
+
+    of_x, of_y = cuts(reach_x[p]), cuts(reach_y[q])
+    for k, k_end in zip(of_x, of_x[1:], strict=False):
+        for m, m_end in zip(of_y, of_y[1:], strict=False):
+            reach = reach_x[p[k_end - 1]] + reach_y[q[m_end - 1]]
+            hit = np.flatnonzero(x[k:k_end] @ y[m:m_end].T >= np.float32(1 - reach * reach / 2 - 1e-5))
+            if len(hit):
+                yield p[k + hit // (m_end - m)], q[m + hit % (m_end - m)]
 
 
 def _unit(blob: bytes, dim: int, kind: str) -> np.ndarray:
