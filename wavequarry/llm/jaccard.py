@@ -109,7 +109,7 @@ def _described(docs: DataFrame, size: int, cell_bits: int, cell_block: int) -> D
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(work, f"doc_id {kind}, text_hash long, n int, key long, cells binary, block int, tasks int")
 
 
-def _common(described: DataFrame, cell_bits: int, cell_block: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _common(described: DataFrame, folder: str, cell_bits: int, cell_block: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bits of the cells that hold common shingles (twice the mean load and 64 documents, counted over all), and the fullest cells with their counts."""
     least = 64 + 2 * total // (1 << cell_bits)
 
@@ -128,7 +128,7 @@ def _common(described: DataFrame, cell_bits: int, cell_block: int, total: int) -
 
     parts = F.collect_list("cells").alias("parts")  # of 64 tasks, then of as many such groups
     some = described.where("block is not null").groupBy("block", "tasks").agg(parts).mapInArrow(lambda b: added(b, False), "block int, cells binary")
-    whole = some.groupBy("block").agg(parts).mapInArrow(lambda b: added(b, True), "block int, bits binary, full array<long>, counts array<long>")
+    whole = stored(some.groupBy("block").agg(parts).mapInArrow(lambda b: added(b, True), "block int, bits binary, full array<long>, counts array<long>"), folder, "cells")
     rows = whole.select("block", "bits").collect()  # 2^cell_bits bits
     bits = np.zeros((1 << cell_bits) // 8, np.uint8)
     for r in rows:
@@ -304,7 +304,7 @@ def linked_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     rows = described.where("block is null")
     classes = stored(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("cells").alias("cells")), folder, "classes")
     total = classes.select(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    common, hot, parts = _common(described, cell_bits, cell_block, total)
+    common, hot, parts = _common(described, folder, cell_bits, cell_block, total)
     buckets = max(64, total * (100 - percent) // 100 // BUCKET_RECORDS)
     lists = stored(_lists(docs, size, percent, common, hot, parts, cell_bits, buckets), folder, "lists")
 
