@@ -30,6 +30,8 @@ ORACLE_SQL: str | None = None
 
 #: Near duplicates share this percentage of their shingles of so many words; op3_jaccard has a contract of its own.
 SHINGLE, PERCENT = 5, 80
+#: Rows that near_duplicates drops, up to which their names are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +65,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = stored(rows.where("rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), folder, "repeated")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     same = F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("doc.text") == F.col("_hash"))
+    # few rows that go (16 bytes each) are sent to all tasks, so that no text has to move; more are joined by a shuffle
+    goes = F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes
     left = whole.join(goes, same, "left_anti")
     if not repeated.isEmpty():
         again = whole.join(goes, same, "left_anti").join(repeated, same, "left_semi")
