@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wavequarry.plans import contract, lookups, ordered, signal
+from wavequarry.plans import contract, lookups, network, ordered, signal
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _plan in (signal, lookups, ordered, contract):
+for _plan in (signal, lookups, ordered, contract, network):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES

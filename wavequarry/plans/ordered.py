@@ -164,9 +164,9 @@ def complete_bin_trajectory(spark, d):  # noqa: ANN001, ANN201
     hours = F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9
     b = F.rint(hours / 4) * 4
     x = table(spark, d, "events").withColumn("bin", b)
-    n_types = x.agg(F.countDistinct("event_type")).first()[0]
+    n_types = F.broadcast(x.agg(F.countDistinct("event_type").alias("n_types")))  # one row
     q = F.expr("percentile(value, array(0.25, 0.5, 0.75))")
-    return x.groupBy("bin").agg(q.alias("q"), F.countDistinct("event_type").alias("records"), F.count("*").alias("n")).where(F.col("records") == n_types).select(F.col("bin").cast("long").alias("bin"), r6(F.col("q")[0]).alias("q25"), r6(F.col("q")[1]).alias("q50"), r6(F.col("q")[2]).alias("q75"), "n")
+    return x.groupBy("bin").agg(q.alias("q"), F.countDistinct("event_type").alias("records"), F.count("*").alias("n")).join(n_types, F.col("records") == F.col("n_types")).select(F.col("bin").cast("long").alias("bin"), r6(F.col("q")[0]).alias("q25"), r6(F.col("q")[1]).alias("q50"), r6(F.col("q")[2]).alias("q75"), "n")
 
 
 def recruited_fraction(spark, d):  # noqa: ANN001, ANN201
