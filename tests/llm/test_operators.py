@@ -407,7 +407,11 @@ def test_overlaps_do_not_depend_on_ranges(monkeypatch, tokens):
         own = base if k % 2 else np.unique(rng.integers(0, 2**64, 300, np.uint64))
         sets.append(np.unique(np.concatenate([own[rng.random(len(own)) > 0.04], rng.integers(0, 2**64, int(rng.integers(0, 12)), np.uint64)])))
     links = {(a, b) for a in range(40) for b in range(40) if a != b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 90 * len(np.union1d(sets[a], sets[b]))}
-    forest = jaccard._overlapping(list(range(40)), sets, 90)
+    n = np.array([len(x) for x in sets])
+    whole = jaccard._overlapping(list(range(40)), n, np.zeros(40), sets, 90)
+    away = [np.setxor1d(x, base) for x in sets]  # the same from differences to one set
+    forest = jaccard._overlapping(list(range(40)), n, np.array([len(np.intersect1d(x, base)) for x in sets]) - len(base) / 2, away, 90)
+    assert sorted(map(sorted, whole)) == sorted(map(sorted, forest))
     reached = {a: {a} for a in range(40)}
     for a, b in forest:
         both = reached[a] | reached[b]
