@@ -9,12 +9,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wavequarry.llm import bpe, embeddings, fingerprints, graph, jaccard, lm, mixing, quality, scratch, sharding, toxicity
+from wavequarry.llm import bpe, embeddings, fingerprints, graph, jaccard, lm, mixing, quality, scratch, sharding, textkernel, toxicity
 
 DATA = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -360,6 +361,37 @@ def test_classifiers_on_held_out_labels(spark, kind, label, folds, out, least):
     assert auc(judged[label], judged.score) >= least
 
 
+def test_toxicity_grams_and_scores_by_brute_force(spark, awkward):
+    def spans(text):
+        plain = re.sub(r"[\x20\x09-\x0D]", " ", (text or "").translate(FOLD))
+        return {plain[k : k + n] for n in toxicity.SIZES for k in range(len(plain) - n + 1) if " " not in plain[k + 1 : k + n]}
+
+    def buckets(text):
+        parts = [x.encode() for x in spans(text)]
+        data, offsets = textkernel.joined(parts)
+        return {int(h) >> 64 - toxicity.BUCKET_BITS for h in textkernel.span_hash(textkernel.prefix_hash(data), offsets[:-1], offsets[1:])}
+
+    texts = ["", None, "ab", "abc", "Aé字🎉x don't\tstop  naïve", "字字字字 字字字字"] + [f"some {w} words of {w}{w}" for w in ("good", "bad", "naïve")]
+    own = [set() for _ in texts]
+    for first, row, bucket in toxicity.grams(pa.array(texts, pa.string())):
+        for r, x in zip(row, bucket):
+            assert x not in own[first + r]
+            own[first + r].add(int(x))
+    assert own == [buckets(t) for t in texts]
+    # ratios and scores of a model that was trained on them
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k in (6, 7))) for k in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, folds=1, held_out=1)
+    for b in set().union(*own):
+        with_b = [sum(b in own[k] for k in some) for some in ((0, 1, 2, 3, 4, 5, 8), (6, 7))]
+        rate = [(n + toxicity.PRIOR * t / 9) / (t + toxicity.PRIOR * t / 9) for n, t in zip(with_b, (7, 2))]
+        assert model.ratio[b] == pytest.approx(np.log(rate[1] / rate[0]))
+    for r in toxicity.score(docs, model).collect():
+        size = max(2, sum(model.ratio[b] ** 2 for b in own[r.doc_id]) ** 0.5) / 3
+        z = model.intercept + sum(float(model.weights[b]) for b in own[r.doc_id]) / size
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_mix_meets_its_targets(spark):
     random = np.random.default_rng(1)
     rows = [(k, " ".join(["w"] * int(random.integers(1, 30))), "abc"[min(2, int(random.integers(0, 9)) // 4)] if k % 50 else None) for k in range(6000)]

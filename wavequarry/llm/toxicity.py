@@ -1,12 +1,13 @@
 """Toxicity by a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-Features are the presence of byte n-grams (3 to 6 bytes, A-Z lower-cased, inside a word or with the separator
-before it), hashed to 2^18 buckets. Two passes over the labelled texts train it: one counts in how many texts of
-either class each bucket occurs, which gives the log-count ratios and the buckets that tell the classes
-apart; the second extracts those buckets, on which a logistic regression is fitted.
+Features are the presence of n-grams of 3 to 6 characters (A-Z lower-cased, inside a word or with the separator
+before it), hashed to 2^18 buckets, all of which are fitted and scored. One pass over the labelled texts counts in how
+many texts of either class each bucket occurs, which gives the log-count ratios. Then the labelled rows are dealt
+into groups of about ``GROUP_BYTES`` by hash, each group's task fits a logistic regression on the scaled features, and
+the model is the mean of the groups' weights; neither texts nor features pass through the driver.
 
-Bound: at most ``SAMPLE`` labelled rows are learned from, chosen by hash. Labels, lang, source and doc_id are
-never inputs of a score.
+Bound: at most ``SAMPLE`` labelled rows are learned from, chosen by hash, in ``MOST_GROUPS`` groups at most. Labels,
+lang, source and doc_id are never inputs of a score.
 
 Defined results: null and empty texts have no n-grams and score what the intercept says; without two classes
 to learn from, every text scores the share of positive rows (0.5 without rows); texts of any length are
@@ -33,8 +34,10 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 #: Labelled rows learned from, at most.
 SAMPLE = 20_000
-#: Buckets kept: those of the largest deviation between the classes, in standard errors.
-FEATURES, LEAST_DEVIATION = 8192, 3.0
+#: Bytes of text that a task fits at a time about, and groups at most.
+GROUP_BYTES, MOST_GROUPS = 4 << 20, 16
+#: Texts that are added to the counts of each bucket, in the classes' shares: draws the ratios of rare n-grams to zero.
+PRIOR = 10.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 STEP_BYTES = 1 << 18
@@ -43,11 +46,17 @@ STEP_BYTES = 1 << 18
 @dataclass
 class Model:
     weights: np.ndarray
+    ratio: np.ndarray
     intercept: float
 
 
-def grams(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For runs of rows: the first row, and pairs of row and bucket, each once; only buckets that are wanted."""
+def length(squares: np.ndarray) -> np.ndarray:
+    """What a text's weights are divided by, from the sum of its squared ratios; little evidence is not blown up."""
+    return np.maximum(np.sqrt(squares), 2.0) / 3
+
+
+def grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of rows: the first row, and pairs of row and bucket in order, each once."""
     data, offsets = text_buffer(column)
     folded = np.where(SEPARATOR, np.uint8(32), FOLD)
     for i, j in slices(offsets, STEP_BYTES):
@@ -60,22 +69,30 @@ def grams(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[
         stop[cuts] = cuts
         stop[local] = local
         stop = np.minimum.accumulate(stop[::-1])[::-1][1:]  # at or after the next position
+        row_of = np.repeat(np.arange(j - i), np.diff(local))
+        letters = np.append(np.flatnonzero((part & 0xC0) != 0x80), n)  # where characters begin
         found = []
         for size in SIZES:
-            starts = np.flatnonzero(stop >= np.arange(size, n + size))
-            bucket = (span_hash(running, starts, starts + size) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-            if wanted is not None:
-                hit = wanted[bucket]
-                starts, bucket = starts[hit], bucket[hit]
-            row = np.searchsorted(local, starts, side="right") - 1
-            found.append(row << BUCKET_BITS | bucket)
-        pairs = np.unique(np.concatenate(found))
+            starts, ends = letters[:-size], letters[size:]
+            inside = ends <= stop[starts]
+            starts, ends = starts[inside], ends[inside]
+            bucket = (span_hash(running, starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+            found.append(row_of[starts] << BUCKET_BITS | bucket)
+        pairs = np.sort(np.concatenate(found))
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
         yield i, pairs >> BUCKET_BITS, pairs & (BUCKETS - 1)
 
 
+def log_count_ratios(seen: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """For each bucket the log of its rate in positive to that in negative texts; ``seen`` has a row a class, ``total`` counts their texts."""
+    prior = PRIOR * total / total.sum()
+    rate = (seen + prior[:, None]) / (total + prior)[:, None]
+    return np.log(rate[1] / rate[0])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, most: int = SAMPLE) -> Model:
     chosen = sample(labels, label, fold(F.col("doc_id"), folds) != held_out, most)
-    texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, BUCKETS + 1), np.int64)  # the last column counts texts
@@ -92,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
         )
 
     summed = (
-        texts.mapInArrow(count, "label int, block long, texts array<long>")
+        texts.select("label", "text").mapInArrow(count, "label int, block long, texts array<long>")
         .select("label", "block", F.posexplode("texts").alias("at", "texts"))
         .groupBy("label", (F.col("block") + F.col("at")).alias("bucket"))
         .agg(F.sum("texts").alias("texts"))
@@ -104,68 +121,71 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     total, seen = seen[:, BUCKETS], seen[:, :BUCKETS]
     if not total.all():
         share = total[1] / total.sum() if total.sum() else 0.5
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    rate = (seen + 1) / (total[:, None] + 2)
-    ratio = np.log(rate[1] / rate[0])
-    pooled = (seen.sum(axis=0) + 1) / (total.sum() + 2)
-    deviation = np.abs(rate[1] - rate[0]) / np.sqrt(pooled * (1 - pooled) * (1 / total[0] + 1 / total[1]))
-    order = np.lexsort((np.arange(BUCKETS), -deviation))[:FEATURES]
-    order = order[deviation[order] >= LEAST_DEVIATION]
-    wanted = np.zeros(BUCKETS, bool)
-    wanted[order] = True
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own: list[np.ndarray] = [np.zeros(0, np.int32)] * b.num_rows
-            for first, row, bucket in grams(b.column("text"), wanted):
-                rows, at = np.unique(row, return_index=True)
-                for r, x in zip(rows, np.split(bucket, at)[1:], strict=True):
-                    own[first + r] = x.astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([x.tobytes() for x in own], pa.binary())], names=["label", "buckets"])
-
-    rows = texts.mapInArrow(extract, "label int, buckets binary").toPandas()  # SAMPLE rows at most
-    lists = [np.frombuffer(x, np.int32) for x in rows["buckets"]]
-    order_of_rows = sorted(range(len(lists)), key=lambda k: (rows["label"][k], lists[k].tobytes()))  # the order of arrival does not matter
-    lists = [lists[k] for k in order_of_rows]
-    y = rows["label"].to_numpy()[order_of_rows].astype(float)
-    return _fit(lists, y, ratio)
-
-
-def _fit(lists: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int = 300, penalty: float = 5e-5) -> Model:
-    """Logistic regression on ratio-scaled presence by Adam over all rows; classes weigh alike up to a factor of 4."""
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        return Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+    share = float(total[1] / total.sum())
+    ratio = log_count_ratios(seen, total)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = int(min(MOST_GROUPS, max(1, size // GROUP_BYTES)))
+
+    def fit(rows: pa.Table) -> pa.Table:
+        lists: list[np.ndarray] = [np.zeros(0, np.int32)] * rows.num_rows
+        rows = rows.combine_chunks()
+        for first, row, bucket in grams(_whole(rows.column("text"))):
+            named, at = np.unique(row, return_index=True)
+            for r, x in zip(named, np.split(bucket, at)[1:], strict=True):
+                lists[first + r] = x.astype(np.int32)
+        y = rows.column("label").to_numpy()
+        order = sorted(range(len(lists)), key=lambda k: (y[k], lists[k].tobytes()))  # the order of arrival does not matter
+        model = fit_group([lists[k] for k in order], y[order].astype(float), ratio, share)
+        return pa.table({"group": rows.column("group").slice(0, 1), "texts": pa.array([len(lists)]), "weights": pa.array([model.weights.tobytes()], pa.binary()), "intercept": pa.array([model.intercept])})
+
+    dealt = texts.withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(groups)).cast("int")).select("group", "label", "text")
+    fitted = dealt.groupBy("group").applyInArrow(fit, "group int, texts long, weights binary, intercept double").collect()  # MOST_GROUPS rows of 1 MB at most
+    fitted.sort(key=lambda r: r["group"])
+    part = np.array([r["texts"] for r in fitted]) / sum(r["texts"] for r in fitted)
+    weights = np.zeros(BUCKETS)
+    for p, r in zip(part, fitted, strict=True):
+        weights += p * np.frombuffer(r["weights"], np.float32)
+    return Model(weights.astype(np.float32), ratio, float(part @ [r["intercept"] for r in fitted]))
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays([c.cast(pa.large_string()) for c in column.chunks] or [pa.array([], pa.large_string())])
+
+
+def fit_group(lists: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, share: float, steps: int = 50, penalty: float = 1e-4) -> Model:
+    """Logistic regression on ratio-scaled presence by Adam over all rows; ``share`` is that of positive rows in all groups, and classes weigh alike up to a factor of 12."""
+    sizes = np.array([len(x) for x in lists])
+    row = np.repeat(np.arange(len(lists)), sizes)
     bucket = np.concatenate([*lists, np.zeros(0, np.int32)])
-    names, column = np.unique(bucket, return_inverse=True)
-    value = ratio[bucket] / np.sqrt(np.maximum(np.bincount(row, minlength=len(lists)), 25))[row]
-    w, b = np.zeros(len(names) + 1), float(np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)))
-    w[-1] = b
-    weight = np.where(y == 1, min(4.0, (1 - y.mean()) / y.mean()), 1.0)
+    value = ratio[bucket]
+    value /= length(np.bincount(row, value * value, len(lists)))[row]
+    w = np.zeros(BUCKETS + 1)
+    w[-1] = np.log(share / (1 - share))
+    weight = np.where(y == 1, min(12.0, (1 - share) / share), 1.0)
     weight /= weight.sum()
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        z = np.bincount(row, w[column] * value, len(lists)) + w[-1]
+        z = np.bincount(row, w[bucket] * value, len(lists)) + w[-1]
         error = (logistic(z) - y) * weight
-        g = np.append(np.bincount(column, error[row] * value, len(names)) + penalty * w[:-1], error.sum())
+        g = np.append(np.bincount(bucket, error[row] * value, BUCKETS) + penalty * w[:-1], error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[names] = w[:-1] * ratio[names]
-    return Model(weights, float(w[-1]))
+        w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    return Model((w[:-1] * ratio).astype(np.float32), ratio, float(w[-1]))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """Adds the probability of label 1 to documents."""
-    weights, intercept = model.weights, model.intercept
-    wanted = weights != 0
+    weights, squares, intercept = model.weights, np.square(model.ratio), model.intercept
     plain = small_batches(docs).select(*[c for c in docs.columns if c != name])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, n = np.zeros(b.num_rows), np.zeros(b.num_rows)
-            for first, row, bucket in grams(b.column("text"), wanted):
+            for first, row, bucket in grams(b.column("text")):
                 total += np.bincount(first + row, weights[bucket], b.num_rows)
-                n += np.bincount(first + row, minlength=b.num_rows)
-            yield b.append_column(name, pa.array(logistic(intercept + total / np.sqrt(np.maximum(n, 25)))))
+                n += np.bincount(first + row, squares[bucket], b.num_rows)
+            yield b.append_column(name, pa.array(logistic(intercept + total / length(n))))
 
     return plain.mapInArrow(work, T.StructType([*plain.schema.fields, T.StructField(name, T.DoubleType())]))
 
