@@ -89,10 +89,15 @@ def evidence(maps: DataFrame, features: list[str]) -> DataFrame:
     return centred.withColumn("evidence", F.greatest(mean, F.lit(0.0))).drop(*[f"_{f}" for f in features])
 
 
+def anomaly_track(frames: DataFrame) -> DataFrame:
+    """record, step, level: the 0.9 quantile of the channels' evidence, smoothed over three steps."""
+    track = frames.groupBy("record", "step").agg(F.percentile("evidence", 0.9).alias("level"))
+    return track.withColumn("level", robust.mean3_padded(F.col("level"), W.partitionBy("record").orderBy("step")))
+
+
 def anomaly_summaries(frames: DataFrame) -> DataFrame:
     """One row a record: largest of its smoothed trajectory, and median, 0.9 quantile and mean after the first ten frames."""
-    track = frames.groupBy("record", "step").agg(F.percentile("evidence", 0.9).alias("level"))
-    track = track.withColumn("level", robust.mean3_padded(F.col("level"), W.partitionBy("record").orderBy("step")))
+    track = anomaly_track(frames)
     later = F.when(F.col("step") >= BASELINE_FRAMES, F.col("level"))
     return track.groupBy("record").agg(F.max("level").alias("anomaly_max"), F.median(later).alias("anomaly_median"), F.percentile(later, 0.9).alias("anomaly_q90"), F.avg(later).alias("anomaly_auc"))
 
