@@ -43,8 +43,8 @@ def test_all_pairs_by_brute_force(spark, monkeypatch, block):
 def test_queries_take_whole_tables(spark):
     channels, suppliers = pd.read_parquet(f"{DATA}/embeddings.parquet"), pd.read_parquet(f"{DATA}/supplier.parquet")
     sizes = channels.groupby("label").size()
-    got = {r.record: r.pairs for r in catalogue.QUERIES["pairwise_correlation_density_whole"](spark, DATA).collect()}
+    got = {r.record: r.pairs for r in catalogue.QUERIES["pairwise_correlation_density"](spark, DATA).collect()}
     assert got == {k: n * (n - 1) // 2 for k, n in sizes.items() if n > 1}
-    got = {r.vec_id for r in catalogue.QUERIES["lagged_outflow_whole"](spark, DATA).collect()}
+    got = {r.vec_id for r in catalogue.QUERIES["lagged_outflow"](spark, DATA).collect()}
     assert got == set(channels.vec_id[channels.label.map(sizes) > 1])
     assert catalogue.QUERIES["split_column_whole"](spark, DATA).count() == len(suppliers)

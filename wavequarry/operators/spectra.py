@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from wavequarry.functions import naming
 from wavequarry.functions.arrays import TINY
@@ -17,6 +18,8 @@ BANDS = {"low": (1, 13), "beta": (13, 30), "low_gamma": (30, 80), "high_gamma":
 MAINS, GAP = 50.0, 2.0
 FEATURES = ["line_length", "rms_change", "teager_energy", "kurtosis", *(f"{b}_power" for b in BANDS if b != "low"), "high_low_ratio", "low_frequency_suppression", "spectral_centroid", "spectral_entropy_change", "rhythmicity"]
 SEGMENT, OVERLAP = 4000, 2000
+#: Decibels from which noise is severe, channels a record keeps at least, quality of the notches, and samples mirrored at either end.
+SEVERE, LEAST_LEFT, QUALITY, EDGE = 20.0, 10, 50.0, 9
 
 
 def clean(frequency: np.ndarray, highest: float) -> np.ndarray:
@@ -127,6 +130,84 @@ def line_noise(channels: DataFrame, rate: float, samples: str = "samples") -> Da
     return found.withColumns({"line50_over_10": F.col("line50") > 10, "line50_over_20": F.col("line50") > 20, "line100_over_10": F.col("line100") > 10})
 
 
+def without_severe_noise(channels: DataFrame, metrics: DataFrame) -> DataFrame:
+    """The channels whose excess at 50 Hz is at most 20 dB, before any features are taken; a record that would keep fewer than ten keeps all.
+
+    channels (sample_id, channel_id, ...) and metrics (sample_id, channel_id, line50), a row a channel; channels without a
+    figure stay. Only names pass through the window, samples are joined to the verdicts.
+    """
+    known = channels.select("sample_id", "channel_id").distinct().join(metrics.select("sample_id", "channel_id", "line50"), ["sample_id", "channel_id"], "left")
+    quiet = F.coalesce("line50", F.lit(0.0)) <= SEVERE
+    left = F.sum(quiet.cast("int")).over(W.partitionBy("sample_id"))
+    goes = known.withColumn("left", left).where(~quiet & (F.col("left") >= LEAST_LEFT)).select("sample_id", "channel_id")
+    return channels.join(goes, ["sample_id", "channel_id"], "left_anti")
+
+
+def noise_summary(metrics: DataFrame, by: list[str]) -> DataFrame:
+    """channels, median and mean excess at 50 Hz and the shares of flagged channels for each group, noisiest first."""
+    rate = lambda c: F.avg(F.col(c).cast("double"))
+    g = metrics.groupBy(*by).agg(
+        F.count("*").alias("channels"), F.median("line50").alias("median_50hz_excess_db"), F.avg("line50").alias("mean_50hz_excess_db"),
+        rate("line50_over_10").alias("candidate_rate"), rate("line50_over_20").alias("severe_rate"), rate("line100_over_10").alias("harmonic_100hz_rate"),
+    )
+    return g.orderBy(F.desc("median_50hz_excess_db"), F.desc("channels"), *by)
+
+
+def notch(line: float, rate: float, quality: float = QUALITY) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of a second-order filter that takes out one frequency; its width at half power is line / quality."""
+    angle = 2 * np.pi * line / rate
+    gain = 1 / (1 + np.tan(angle / quality / 2))
+    return gain * np.array([1, -2 * np.cos(angle), 1]), np.array([1, -2 * gain * np.cos(angle), 2 * gain - 1])
+
+
+def forward(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The filter along one signal, begun as if its first value had always been there; blocks of 256 samples as matrix products."""
+    size = 256
+    step, into = np.array([[-a[1], 1.0], [-a[2], 0.0]]), b[1:] - a[1:] * b[0]
+    powers = [np.eye(2)]
+    for _ in range(size):
+        powers.append(step @ powers[-1])
+    answer = np.array([b[0], *(powers[k][0] @ into for k in range(size - 1))])  # to a single one
+    lag = np.subtract.outer(np.arange(size), np.arange(size))
+    within = np.where(lag >= 0, answer[np.abs(lag)], 0.0)
+    seen = np.array([p[0] for p in powers[:size]])
+    left = np.array([p @ into for p in powers[:size]]).T  # what a sample leaves in the state, so many samples later
+    state, out = np.linalg.solve(np.eye(2) - step, into) * x[0], np.empty(len(x))
+    for at in range(0, len(x), size):
+        part = x[at : at + size]
+        n = len(part)
+        out[at : at + n] = within[:n, :n] @ part + seen[:n] @ state
+        state = powers[n] @ state + left[:, :n] @ part[::-1]
+    return out
+
+
+def notched(x: np.ndarray, rate: float, lines: tuple[float, ...] = (50.0, 100.0, 150.0)) -> np.ndarray:
+    """The signal without the mains and its multiples, filtered to and fro so that no phase moves; ends are mirrored about their last value."""
+    for line in lines:
+        b, a = notch(line, rate)
+        wide = np.concatenate([2 * x[0] - x[EDGE:0:-1], x, 2 * x[-1] - x[-2 : -EDGE - 2 : -1]])
+        x = forward(b, a, forward(b, a, wide)[::-1])[::-1][EDGE:-EDGE]
+    return x
+
+
+def notch_filtered(channels: DataFrame, rate: float, samples: str = "samples") -> DataFrame:
+    """Channels with their samples notched, as doubles; signals of fewer than ten samples, and null ones, stay as they are."""
+    if not rate > 300:
+        raise ValueError("the rate must be above 300 Hz")
+    kept = [f for f in channels.schema.fields if f.name != samples]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for v in b.column(samples):
+                x = None if v.values is None else v.values.to_numpy(zero_copy_only=False).astype(float)
+                found.append(x if x is None or len(x) <= EDGE else notched(x, rate))
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], pa.array(found, pa.list_(pa.float64()))], names=[*[f.name for f in kept], samples])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{samples}` array<double>"])
+    return channels.select(*[f.name for f in kept], samples).mapInArrow(work, schema)
+
+
 def eligible(channels: DataFrame, record: str = "sample_id", label: str = "channel_id", index: str = "channel_index") -> DataFrame:
     """record, channels: the labels of each record that name a contact, in the order of their index."""
     own = channels.where(naming.role(F.col(label)) == "seeg_candidate")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from wavequarry.functions import arrays
 from wavequarry.operators import onset, pairs
@@ -73,46 +72,22 @@ def frame_quantile_features(spark, d):  # noqa: ANN001, ANN201
     return a.join(b, "record").select("record", *[r6(F.col("q")[i]).alias(n) for i, n in enumerate(("q10", "q50", "q90", "q99"))], r6("fm").alias("frame_max"), r6("fs").alias("frame_std"), r6("lb").alias("late_minus_base"))
 
 
-def _channel_pairs(spark, d, lag):  # noqa: ANN001, ANN202
-    """Of the channels with vec_id below 60 only, as in the SQL of its two queries (the _whole queries take all): correlation of the channels of a record over the last twelve samples, the second one ``lag`` samples later; constant rows give 0."""
-    e = table(spark, d, "embeddings").where("vec_id < 60").select(F.col("label").alias("record"), "vec_id", F.posexplode(F.slice("embedding", 53, 12)).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    a = e.select("record", F.col("vec_id").alias("src"), F.col("i").alias("i"), F.col("x").alias("a"))
-    b = e.select("record", F.col("vec_id").alias("dst"), (F.col("i") - lag).alias("i"), F.col("x").alias("b"))
-    on = a.join(b, ["record", "i"]).where("src < dst" if not lag else "src <> dst")
-    return on.groupBy("record", "src", "dst").agg(F.coalesce(F.nanvl(F.corr("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("r"))
-
-
-def pairwise_correlation_density(spark, d):  # noqa: ANN001, ANN201
-    return _channel_pairs(spark, d, 0).groupBy("record").agg(F.count("*").alias("pairs"), r6(F.avg((F.col("r") > 0.3).cast("double"))).alias("density"))
-
-
-def lagged_outflow(spark, d):  # noqa: ANN001, ANN201
-    """Mean of the three largest positive lag-one correlations out of and into each channel."""
-    x = _channel_pairs(spark, d, 1).withColumn("r", F.greatest("r", F.lit(0.0)))
-
-    def strongest(side, name):  # noqa: ANN001, ANN202
-        w = W.partitionBy("record", side).orderBy(F.desc("r"))
-        return x.withColumn("k", F.row_number().over(w)).where("k <= 3").groupBy("record", F.col(side).alias("vec_id")).agg(F.avg("r").alias(name))
-
-    return strongest("src", "out").join(strongest("dst", "into"), ["record", "vec_id"]).select("record", "vec_id", r6("out").alias("outflow"), r6("into").alias("inflow"), r6(F.col("out") - F.col("into")).alias("net"))
-
-
 def _last_samples(spark, d):  # noqa: ANN001, ANN202
     return table(spark, d, "embeddings").select(F.col("label").alias("record"), "vec_id", arrays.doubles(F.slice("embedding", 53, 12)).alias("x"))
 
 
-def pairwise_correlation_density_whole(spark, d):  # noqa: ANN001, ANN201
+def pairwise_correlation_density(spark, d):  # noqa: ANN001, ANN201
     """Share of correlations above 0.3 over the last twelve samples, all channel pairs of each record."""
     return pairs.pair_density(_last_samples(spark, d), 0.3).select("record", "pairs", r6(F.col("over") / F.col("pairs")).alias("density"))
 
 
-def lagged_outflow_whole(spark, d):  # noqa: ANN001, ANN201
-    """lagged_outflow of all channels of each record."""
+def lagged_outflow(spark, d):  # noqa: ANN001, ANN201
+    """Mean of the three largest positive lag-one correlations out of and into each channel, all channels of each record."""
     x = pairs.strongest(_last_samples(spark, d), 1, 3)
     return x.select("record", "vec_id", r6("out").alias("outflow"), r6("into").alias("inflow"), r6(F.col("out") - F.col("into")).alias("net"))
 
 
-QUERIES = {f.__name__: f for f in (flagship_onset_alignment, window_kernels, composite_scores, dft_band_power, frame_quantile_features, pairwise_correlation_density, lagged_outflow, pairwise_correlation_density_whole, lagged_outflow_whole)}
+QUERIES = {f.__name__: f for f in (flagship_onset_alignment, window_kernels, composite_scores, dft_band_power, frame_quantile_features, pairwise_correlation_density, lagged_outflow)}
 
 
 def _window_sql(length: int, step: int) -> str:
@@ -132,7 +107,6 @@ def _spectrum_sql() -> str:
 
 _SUM = " + ".join(f"p{k}" for k in range(1, 9))
 _LAGGED = """(SELECT a.record, a.vec_id AS src, b.vec_id AS dst, greatest(coalesce(CASE WHEN isnan(corr(a.x, b.x)) THEN 0 ELSE corr(a.x, b.x) END, 0), 0) AS r FROM e a JOIN e b ON a.record = b.record AND a.vec_id <> b.vec_id AND b.i - 1 = a.i GROUP BY 1, 2, 3)"""
-_SAMPLES = "e AS (SELECT label AS record, vec_id, i, CAST(embedding[52 + i] AS DOUBLE) AS x FROM embeddings, range(1, 13) r(i) WHERE vec_id < 60)"
 _ALL_SAMPLES = "e AS (SELECT label AS record, vec_id, i, CAST(embedding[52 + i] AS DOUBLE) AS x FROM embeddings, range(1, 13) r(i))"
 
 ORACLES = {
@@ -162,15 +136,9 @@ ORACLES = {
         g AS (SELECT record, w, quantile_cont(v, 0.9) AS f, median(v) AS m FROM f GROUP BY 1, 2),
         b AS (SELECT record, max(f) AS fm, stddev_pop(f) AS fs, median(m) FILTER (w >= 4) - median(m) FILTER (w < 4) AS lb FROM g GROUP BY record)
         SELECT record, round(q10, 6) AS q10, round(q50, 6) AS q50, round(q90, 6) AS q90, round(q99, 6) AS q99, round(fm, 6) AS frame_max, round(fs, 6) AS frame_std, round(lb, 6) AS late_minus_base FROM a JOIN b USING (record)""",
-    "pairwise_correlation_density": f"""WITH {_SAMPLES}, p AS (SELECT a.record, a.vec_id, b.vec_id AS other, corr(a.x, b.x) AS r FROM e a JOIN e b ON a.record = b.record AND a.i = b.i AND a.vec_id < b.vec_id GROUP BY 1, 2, 3)
-        SELECT record, count(*) AS pairs, round(avg(CAST(coalesce(r, 0) > 0.3 AS DOUBLE)), 6) AS density FROM p GROUP BY record""",
-    "lagged_outflow": f"""WITH {_SAMPLES}, l AS {_LAGGED},
-        o AS (SELECT record, src AS vec_id, avg(r) AS o FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY record, src ORDER BY r DESC) <= 3) GROUP BY 1, 2),
-        n AS (SELECT record, dst AS vec_id, avg(r) AS n FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY record, dst ORDER BY r DESC) <= 3) GROUP BY 1, 2)
-        SELECT record, vec_id, round(o, 6) AS outflow, round(n, 6) AS inflow, round(o - n, 6) AS net FROM o JOIN n USING (record, vec_id)""",
-    "pairwise_correlation_density_whole": f"""WITH {_ALL_SAMPLES}, p AS (SELECT a.record, a.vec_id, b.vec_id AS other, corr(a.x, b.x) AS r FROM e a JOIN e b ON a.record = b.record AND a.i = b.i AND a.vec_id < b.vec_id GROUP BY 1, 2, 3)
+    "pairwise_correlation_density": f"""WITH {_ALL_SAMPLES}, p AS (SELECT a.record, a.vec_id, b.vec_id AS other, corr(a.x, b.x) AS r FROM e a JOIN e b ON a.record = b.record AND a.i = b.i AND a.vec_id < b.vec_id GROUP BY 1, 2, 3)
         SELECT record, count(*) AS pairs, round(avg(CAST(coalesce(r, 0) > 0.3 AS DOUBLE)), 6) AS density FROM p GROUP BY record""",
-    "lagged_outflow_whole": f"""WITH {_ALL_SAMPLES}, l AS {_LAGGED},
+    "lagged_outflow": f"""WITH {_ALL_SAMPLES}, l AS {_LAGGED},
         o AS (SELECT record, src AS vec_id, avg(r) AS o FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY record, src ORDER BY r DESC) <= 3) GROUP BY 1, 2),
         n AS (SELECT record, dst AS vec_id, avg(r) AS n FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY record, dst ORDER BY r DESC) <= 3) GROUP BY 1, 2)
         SELECT record, vec_id, round(o, 6) AS outflow, round(n, 6) AS inflow, round(o - n, 6) AS net FROM o JOIN n USING (record, vec_id)""",
