@@ -6,13 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality, toxicity
+from .bands import judge_documents
 from .bpe import count_tokens, encode_digests
 from .embeddings import near_duplicates
 from .fingerprints import compare_edits
 from .jaccard import join_components
 from .lm import score_documents
 from .mixing import mix_sources
+from .search import search
 from .sharding import shard_rows
+from .variants import spelling_variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +62,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op4_token_counts": op4_token_counts, "op5_quality": op5_quality, "op6_embeddings": op6_embeddings, "op7_sharding": op7_sharding, "op8_lm": op8_lm, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_fingerprints, op2_bpe, op3_jaccard, op4_token_counts, op5_quality, op6_embeddings, op7_sharding, op8_lm, op9_toxicity, op10_mixing, op11_search, op12_variants, op13_bands)
+}
+
 
 def _components(links: str) -> str:
     """The smallest node reachable from each node, as two further parts of a recursive WITH; links: a part with a, b both ways."""
@@ -89,4 +108,41 @@ ORACLES: dict[str, str] = {
         ), {_components("links")}
         SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
         FROM embeddings LEFT JOIN degrees ON a = vec_id LEFT JOIN lowest ON node = vec_id""",
+    "op11_search": r"""
+        WITH terms AS (
+            SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+        ), asked AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), times AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY 1, 2
+        ), whole AS (SELECT count(*) AS docs, sum(len(t)) AS length FROM terms WHERE len(t) > 0
+        ), tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(t) AS n, unnest(t) AS term FROM terms) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+        ), w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term
+        ), scores AS (
+            SELECT item_id, row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (CAST(75 * n * docs AS BIGINT) // CAST(length AS BIGINT)))))) AS BIGINT) AS score FROM tf JOIN w USING (term) JOIN times USING (term), whole GROUP BY 1, 2, 3
+        )
+        SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10""",
+    "op12_variants": r"""
+        WITH RECURSIVE runs AS (
+            SELECT id, run, count(*) AS times FROM (
+                SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+            ) WHERE length(run) >= 5 GROUP BY 1, 2
+        ), spelled AS (SELECT run, times, hex(encode(id || ':' || run)) AS x FROM runs
+        ), hashed AS (
+            SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda k: CAST('0x' || x[k:k + 1] AS BIGINT))), lambda c, b:
+                list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda e, z: xor(e >> 1, 3988292384 * (e & 1)))), 4294967295::BIGINT) AS h FROM spelled
+        ), words AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed
+        ), v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+        ), d AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+        ), pairs AS (
+            SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word
+            UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word
+        ), best AS (
+            SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word
+        ), forms AS (
+            SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)
+        ), walk AS (SELECT word, word AS stop, 0 AS step FROM forms UNION ALL SELECT walk.word, f.form, step + 1 FROM walk JOIN forms f ON walk.stop = f.word AND f.form IS NOT NULL
+        )
+        SELECT word, form, arg_max(stop, step) AS root, n, n_near, form_n FROM walk JOIN forms USING (word) GROUP BY word, form, n, n_near, form_n""",
 }

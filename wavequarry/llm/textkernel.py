@@ -105,3 +105,18 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 def hash_words(texts: list[str]) -> np.ndarray:
     """Hashes of single words given as text, as :func:`word_hashes` has them."""
     return np.concatenate([h for _, h, _ in word_hashes(pa.array(texts, pa.string()))] or [np.zeros(0, np.uint64)])
+
+
+def text_hashes(data: np.ndarray, limit: int = SLICE_BYTES) -> np.ndarray:
+    """Hashes of the words of one text, letters as they are; taken in pieces that end at a separator, so that only 8 bytes a word last."""
+    found, at, n = [], 0, len(data)
+    while at < n:
+        end = min(at + limit, n)
+        while end < n and not SEPARATOR[data[end - 1]]:
+            tail = np.flatnonzero(SEPARATOR[data[end : end + limit]])
+            end = end + int(tail[0]) + 1 if len(tail) else min(end + limit, n)
+        part = data[at:end]
+        starts, ends, _ = words(part, np.array([0, len(part)]))
+        found.append(span_hash(prefix_hash(part), starts, ends))
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
