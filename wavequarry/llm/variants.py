@@ -90,35 +90,36 @@ class Trie:
     def near(self, word: bytes) -> Iterator[tuple[bytes, int]]:
         """Words exactly one edit away, with their n, depth-first.
 
-        The automaton's state are two sets of positions of the word, as bits: those reached without an edit, and with one.
+        A state of the automaton is a position of the word and whether its edit is spent. With the edit left only the node that
+        spells the word so far is reached; from there each edit opens a branch, and a spent branch has one way on. Of equal
+        results of an edit in a run of one letter the last is taken, so that each word comes once.
         """
-        labels, first, n = self.labels, self.first, self.n
-        where: dict[int, int] = {}
-        for k, letter in enumerate(word):
-            where[letter] = where.get(letter, 0) | 1 << k
-        full, end = (2 << len(word)) - 1, 1 << len(word)
-        stack = [(0, b"", 1, 2 & full)]
-        while stack:
-            node, spelled, exact, edited = stack.pop()
-            if n[node] and edited & end and spelled != word:
-                yield spelled, n[node]
+        labels, first, n, size, node = self.labels, self.first, self.n, len(word), 0
+        find = labels.find
+        for k in range(size + 1):
             low, high = first[node], first[node + 1]
-            if low == high:
-                continue
-            if exact:
-                for child in range(low, high):
-                    letter = labels[child]
-                    mask = where.get(letter, 0)
-                    on = (exact & mask) << 1
-                    over = ((edited & mask) << 1 | exact | exact << 1 | on << 1) & full
-                    stack.append((child, spelled + labels[child : child + 1], on, over))
-            else:
-                for letter, mask in where.items():
-                    if edited & mask:
-                        child = labels.find(letter, low, high)
-                        if child >= 0:
-                            stack.append((child, spelled + labels[child : child + 1], 0, (edited & mask) << 1))
-
+            own = word[k] if k < size else -1
+            branches = [(node, k + 1, b"")] if k < size and word[k + 1 : k + 2] != word[k : k + 1] else []  # without letter k
+            after = word[k + 1] if k + 1 < size else -1
+            for child in range(low, high):
+                if labels[child] == own:
+                    continue
+                start, end = first[child], first[child + 1]
+                # another letter in place of letter k, and one in front of it; looked one letter ahead
+                if own >= 0 and (n[child] if after < 0 else find(after, start, end) >= 0):
+                    branches.append((child, k + 1, labels[child : child + 1]))
+                if n[child] if own < 0 else find(own, start, end) >= 0:
+                    branches.append((child, k, labels[child : child + 1]))
+            for at, position, other in branches:
+                for letter in word[position:]:
+                    at = find(letter, first[at], first[at + 1])
+                    if at < 0:
+                        break
+                if at >= 0 and n[at]:
+                    yield word[:k] + other + word[position:], n[at]
+            node = find(own, low, high) if own >= 0 else -1
+            if node < 0:
+                return
 
 def shards(words: DataFrame, count: int, folder: str) -> DataFrame:
     """Stored tries (size, trie) of ranges of the words, SHARD_WORDS in each at most."""
