@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wavequarry.plans import contract, evaluation, lookups, network, ordered, signal
+from wavequarry.plans import chunked, contract, evaluation, lookups, network, ordered, signal
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _plan in (signal, lookups, ordered, contract, network, evaluation):
+for _plan in (signal, lookups, ordered, contract, network, evaluation, chunked):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES

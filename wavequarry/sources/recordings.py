@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -51,18 +52,21 @@ def _member(archive: zipfile.ZipFile, name: str) -> np.ndarray:
         return np.lib.format.read_array(io.BytesIO(f.read()), allow_pickle=False)
 
 
+def array_header(f: BinaryIO, name: str) -> tuple[tuple[int, ...], bool, np.dtype]:
+    """Shape, whether the first index runs fastest, and type of an array; reads its header only."""
+    version = np.lib.format.read_magic(f)
+    if version not in ((1, 0), (2, 0)):
+        raise ValueError(f"{name}: array format {version} is not supported")
+    return (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+
+
 def _header(archive: zipfile.ZipFile, name: str) -> tuple[tuple[int, ...], np.dtype]:
-    """Shape and type of a member; reads its header only."""
     with archive.open(f"{name}.npy") as f:
-        version = np.lib.format.read_magic(f)
-        if version not in ((1, 0), (2, 0)):
-            raise ValueError(f"{name}: array format {version} is not supported")
-        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
-        shape, _, dtype = read(f)
+        shape, _, dtype = array_header(f, name)
     return shape, dtype
 
 
-def _metadata(path: str, archive: zipfile.ZipFile) -> dict:
+def metadata(path: str, archive: zipfile.ZipFile) -> dict:
     """Everything but the samples, checked."""
     missing = [m for m in MEMBERS if f"{m}.npy" not in archive.namelist()]
     if missing:
@@ -97,7 +101,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record, without decoding samples."""
 
     def row(path: str, content: bytes, archive: zipfile.ZipFile) -> list[tuple]:
-        m = _metadata(path, archive)
+        m = metadata(path, archive)
         return [(m["name"], path, m["rate"], m["valid"], m["shape"][1], m["shape"][0], m["dtype"])]
 
     return _decoded(_files(spark, path), row, RECORDS)
@@ -107,7 +111,7 @@ def channels(spark: SparkSession, path: str, signal: bool = True) -> DataFrame:
     """One row for each channel of each record; ``signal`` holds the valid samples."""
 
     def row(path: str, content: bytes, archive: zipfile.ZipFile) -> list[tuple]:
-        m = _metadata(path, archive)
+        m = metadata(path, archive)
         rows = [(m["name"], k, int(m["raw"][k]), str(m["ids"][k]), m["rate"]) for k in range(len(m["ids"]))]
         if not signal:
             return rows
