@@ -23,7 +23,7 @@ def test_channels(spark):
     # names of the current family also parse as contacts
     assert [r.position for r in evaluation.neural_channels(x).collect()] == [0, 2, 3]
     assert sorted(r.position for r in evaluation.auxiliary_channels(x).collect()) == [1, 3]
-    samples = [0.0, 366.3, 732.6, 100.0]
+    samples = [0.0, 366.3, 732.6, 100.0, 0.0, 0.0]  # the share is one of levels, not of samples
     y = spark.createDataFrame([(samples,), ([],)], "v array<double>").select(*[c.alias(k) for k, c in evaluation.auxiliary_metrics(F.col("v")).items()]).collect()
     assert (y[0].levels, y[0].least, y[0].most, y[0].step_rate) == (4, 0.0, 732.6, 0.75)
     assert y[0].deviation == pytest.approx(np.std(samples))

@@ -45,16 +45,17 @@ def auxiliary_channels(channels: DataFrame) -> DataFrame:
 
 
 def auxiliary_metrics(samples: Column) -> dict[str, Column]:
-    """Levels, range, deviation and the share of whole steps of one auxiliary channel's array of samples; null where it is empty."""
+    """Levels, range, deviation and the share of levels that are whole steps, of one auxiliary channel's array of samples; null where it is empty."""
     n = F.nullif(F.size(samples), F.lit(0))
     mean = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x) / n
-    whole = F.filter(samples, lambda x: F.abs(x / INPUT_STEP - F.rint(x / INPUT_STEP)) <= 2e-3 + 1e-5 * F.abs(F.rint(x / INPUT_STEP)))
+    levels = F.array_distinct(samples)
+    whole = F.filter(levels, lambda x: F.abs(x / INPUT_STEP - F.rint(x / INPUT_STEP)) <= 2e-3 + 1e-5 * F.abs(F.rint(x / INPUT_STEP)))
     return {
-        "levels": F.size(F.array_distinct(samples)),
+        "levels": F.size(levels),
         "least": F.array_min(samples),
         "most": F.array_max(samples),
         "deviation": F.sqrt(F.aggregate(samples, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n),
-        "step_rate": F.size(whole) / n,
+        "step_rate": F.size(whole) / F.nullif(F.size(levels), F.lit(0)),
     }
 
 
