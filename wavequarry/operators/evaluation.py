@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wavequarry.functions import naming, robust
+from wavequarry.operators import ranks
 
 #: Names of features that describe a whole recording's spread, and of those that rank its channels.
 GLOBAL_PROPAGATION = ("recruited_fraction_2z", "recruited_fraction_3z", "recruitment_fraction_slope", "recruitment_dispersion", "propagation_front", "network_density", "largest_component_fraction", "mean_lagged_connectivity")
@@ -132,7 +133,7 @@ def competition_metrics(rows: DataFrame, threshold: float) -> DataFrame:
     A missed recording counts as an error of 60 seconds and no channel. AUC takes average ranks over distinct
     probabilities; without either class the measures that need it are null.
     """
-    p, positive, hit = F.col("probability"), F.col("label") == 1, F.col("probability") >= threshold
+    positive, hit = F.col("label") == 1, F.col("probability") >= threshold
     found = positive & hit
     share = F.size(F.array_intersect("predicted_channels", "channels")) / 10.0
     per_value = rows.groupBy("probability").agg(
@@ -144,8 +145,7 @@ def competition_metrics(rows: DataFrame, threshold: float) -> DataFrame:
         F.sum(F.when(found, share)).alias("overlap"),
         F.sum(F.when(found, rank_score(F.col("channels"), F.col("predicted_channels")))).alias("rank"),
     )
-    below = F.coalesce(F.sum("n").over(W.orderBy(p).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    t = per_value.withColumn("at", below + (F.col("n") + 1) / 2).agg(
+    t = ranks.sums_before(per_value, "probability", ["n"]).withColumn("at", F.col("n_before") + (F.col("n") + 1) / 2).agg(
         F.sum(F.col("p") * F.col("at")).alias("r"), *[F.sum(c).cast("double").alias(c) for c in ("p", "n", "tp", "fp")], *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("error", "overlap", "rank")]
     )
     n1, n0 = F.nullif(F.col("p"), F.lit(0.0)), F.nullif(F.col("n") - F.col("p"), F.lit(0.0))

@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavequarry.functions import robust
+from wavequarry.operators import ranks
 from wavequarry.plans.lookups import r6, share, table
+from wavequarry.sources import shared
 
 
 def _hourly(spark, d):  # noqa: ANN001, ANN202
@@ -145,8 +147,9 @@ def rank_composite(spark, d):  # noqa: ANN001, ANN201
         F.round(F.avg("l_discount"), 4).alias("b"),
         F.nullif(F.countDistinct("l_shipdate") % 5, F.lit(0)).cast("double").alias("c"),
     )
-    rank = lambda c: robust.mid_rank(F.col(c), W.orderBy(F.col(c).asc_nulls_last()), W.partitionBy(c))
-    x = m.withColumns({"ra": rank("a"), "rb": rank("b"), "rc": rank("c")})  # one row a supplier
+    x = shared.stored(m, shared.folder(spark), "measures")
+    for c in "abc":
+        x = ranks.mid_ranks(x, c, f"r{c}")
     return x.select("l_suppkey", "ra", "rb", "rc", r6(robust.mean_present(F.col("ra"), F.col("rb"), F.col("rc"))).alias("score"))
 
 
@@ -194,8 +197,7 @@ def binary_metrics(spark, d):  # noqa: ANN001, ANN201
     """AUC by average ranks, F1, sensitivity and specificity of a length score against the quality labels."""
     x = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").alias("y"), F.col("n_chars").cast("double").alias("s"))
     g = x.groupBy("s").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    below = W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    ranked = g.withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = ranks.sums_before(g, "s", ["n"]).withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2)
     t = ranked.agg(
         F.sum(F.col("p") * F.col("rank")).cast("double").alias("r"), F.sum("p").cast("double").alias("n1"), F.sum(F.col("n") - F.col("p")).cast("double").alias("n0"),
         F.sum(F.when(F.col("s") >= 800, F.col("p")).otherwise(0)).cast("double").alias("tp"), F.sum(F.when(F.col("s") >= 800, F.col("n") - F.col("p")).otherwise(0)).cast("double").alias("fp"),
