@@ -105,3 +105,19 @@ def test_round_trip(spark, tmp_path):
     got = {(r.sample_id, r.channel_index): (r.channel_id, r.sampling_rate, str(r.signal)) for r in ranged.read(spark, str(tmp_path / "out")).collect()}
     assert got == {("a", 0): ("POL A1", 4.0, "[0.5, nan, 3.0]"), ("b", 0): ("é", 4.0, "[4.0, 5.0, 6.0]"), ("b", 1): ("x", 4.0, "[1.0, 2.0, nan]")}
     assert ranged.write(channels.where("false"), str(tmp_path / "none"), 4.0).count() == 0
+
+
+def test_a_large_record_stays_whole(spark, tmp_path):
+    """Settings under which Spark splits the partitions of joins."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(4000).selectExpr("if(id < 3500, 'big', concat('s', id % 5)) sample_id", "cast(id as int) channel_index", "concat('c', id) channel_id", "transform(sequence(1, 40), x -> cast(hash(id, x) as float)) signal").repartition(30)
+        found = {r.sample_id: r.n_channels for r in ranged.write(rows, str(tmp_path / "w"), 1.0).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert found == {"big": 3500} | {f"s{k}": 100 for k in range(5)}
+    assert ranged.read(spark, str(tmp_path / "w")).where("sample_id = 'big'").count() == 3500

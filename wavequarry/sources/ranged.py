@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
@@ -215,9 +216,10 @@ def write(channels: DataFrame, folder: str, rate: float) -> DataFrame:
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     channels = channels.withColumn("signal", F.coalesce("signal", F.array().cast("array<float>")))
-    size = channels.groupBy("sample_id").agg(F.count("*").cast("int").alias("n"), F.max(F.size("signal")).alias("width"))
-    rows = channels.select("sample_id", "channel_index", "channel_id", F.col("signal").cast("array<float>").alias("signal")).join(size, "sample_id")
-    rows = rows.repartition("sample_id").sortWithinPartitions("sample_id", "channel_index")
+    # the window brings a record's rows together in order and, unlike a join, is never split where a record is large
+    whole = W.partitionBy("sample_id").orderBy("channel_index").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = channels.select("sample_id", "channel_index", "channel_id", F.col("signal").cast("array<float>").alias("signal"))
+    rows = rows.withColumns({"n": F.count("*").over(whole).cast("int"), "width": F.max(F.size("signal")).over(whole)})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, at = fs.FileSystem.from_uri(folder)
