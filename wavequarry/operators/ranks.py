@@ -26,13 +26,8 @@ def sums_before(values: DataFrame, order: str, sums: list[str], keys: list[str]
     ranged = values.repartitionByRange(*keys, F.col(order).asc_nulls_last()).withColumn("_part", F.spark_partition_id())
     dealt = shared.stored(ranged, folder, "ranged")
     totals = dealt.groupBy(*keys, "_part").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-    earlier = totals.select(*keys, F.col("_part").alias("_earlier"), *[F.col(f"_{s}").alias(f"_{s}_earlier") for s in sums])
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"t.{k}").eqNullSafe(F.col(f"e.{k}"))
-    # a key has no more rows here than the ranges that it lies in
-    pairs = totals.alias("t").join(F.broadcast(earlier.alias("e")), same & (F.col("e._earlier") < F.col("t._part")), "left")
-    offsets = pairs.groupBy(*[F.col(f"t.{k}").alias(f"_key_{k}") for k in keys], F.col("t._part").alias("_at")).agg(*[F.coalesce(F.sum(f"_{s}_earlier"), F.lit(0)).alias(f"_{s}_offset") for s in sums])
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    offsets = totals.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_at"), *[F.coalesce(F.sum(f"_{s}").over(before), F.lit(0)).alias(f"_{s}_offset") for s in sums])
     within = W.partitionBy(*keys, "_part").orderBy(F.col(order).asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     x = dealt.withColumns({f"_{s}_within": F.coalesce(F.sum(s).over(within), F.lit(0)) for s in sums})
     met = F.col("_part") == F.col("_at")

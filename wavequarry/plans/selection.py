@@ -31,7 +31,19 @@ def global_mid_rank(spark, d):  # noqa: ANN001, ANN201
     return x.select("l_orderkey", "l_linenumber", "quantity_rank", "price_rank")
 
 
-QUERIES = {f.__name__: f for f in (hot_group_quantiles, hot_group_robust_scale, global_mid_rank)}
+def source_length_quantiles(spark, d):  # noqa: ANN001, ANN201
+    """Five exact quantiles of the lengths of each source's documents; one source may hold a third of them."""
+    x = quantiles.quantiles(table(spark, d, "documents"), ["source"], "n_chars", list(PROBS.values()), hot=0)
+    return x.select("source", *[r6(F.col("q")[k]).alias(n) for k, n in enumerate(PROBS)])
+
+
+def document_mid_rank(spark, d):  # noqa: ANN001, ANN201
+    """Average-tie ranks of every document by length, among all and among those of its source."""
+    x = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    return ranks.mid_ranks(ranks.mid_ranks(x, "n_chars", "length_rank"), "n_chars", "source_rank", ["source"]).select("doc_id", "length_rank", "source_rank")
+
+
+QUERIES = {f.__name__: f for f in (hot_group_quantiles, hot_group_robust_scale, global_mid_rank, source_length_quantiles, document_mid_rank)}
 
 
 def _stats(keys: str, value: str, of: str) -> str:
@@ -45,4 +57,7 @@ ORACLES = {
         SELECT name, round(center, 6) AS center, round(mad, 6) AS mad, round(spread, 6) AS spread, round(greatest(CASE WHEN 1.4826::DOUBLE * mad > 1e-6 THEN 1.4826::DOUBLE * mad ELSE spread END, 1e-6), 6) AS scale FROM s""",
     "global_mid_rank": """SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS quantity_rank,
         rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0::DOUBLE AS price_rank FROM lineitem""",
+    "source_length_quantiles": f"SELECT source, {', '.join(f'round(quantile_cont(CAST(n_chars AS DOUBLE), {p}), 6) AS {n}' for n, p in PROBS.items())} FROM documents WHERE n_chars IS NOT NULL GROUP BY 1",
+    "document_mid_rank": """SELECT doc_id, CASE WHEN n_chars IS NOT NULL THEN rank() OVER (ORDER BY n_chars NULLS LAST) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0::DOUBLE END AS length_rank,
+        CASE WHEN n_chars IS NOT NULL THEN rank() OVER (PARTITION BY source ORDER BY n_chars NULLS LAST) + (count(*) OVER (PARTITION BY source, n_chars) - 1) / 2.0::DOUBLE END AS source_rank FROM documents""",
 }
