@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wavequarry.plans import chunked, contract, evaluation, lookups, network, ordered, selection, signal
+from wavequarry.plans import analysis, chunked, contract, evaluation, lookups, network, ordered, selection, signal
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _plan in (signal, lookups, ordered, contract, network, evaluation, chunked, selection):
+for _plan in (signal, lookups, ordered, contract, network, evaluation, chunked, selection, analysis):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
