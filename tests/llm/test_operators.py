@@ -218,6 +218,26 @@ def test_jaccard_with_lists_families_and_blocks_in_many_parts(spark, monkeypatch
     assert {i: int(got.component_id[i]) for i in texts} == want
 
 
+@pytest.mark.parametrize("tasks", [2, 40])
+def test_jaccard_finds_hot_lists_whatever_the_tasks(spark, tmp_path, monkeypatch, tasks):
+    monkeypatch.setattr(jaccard, "LIST_PART", 1000)  # above what a byte counts
+    texts = [(k, f"one two three a{k} b{k} c{k}") for k in range(3000)] + [(k, f"x{k} y{k} z{k}") for k in range(3000, 3300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(tasks)
+    folder, bits, block = scratch.shared_folder(spark), 16, 1 << 14
+    described = scratch.stored(jaccard._described(docs, 3, bits, block), folder, "described")
+    common, hot, parts = jaccard._common(described, folder, bits, block, 12_300)
+    counts = np.zeros(1 << bits, np.int64)
+    for tokens in jaccard.shingle_sets(pa.array([t for _, t in texts]), 3):
+        counts[np.unique(tokens >> np.uint64(64 - bits)).astype(int)] += 1
+    assert counts.max() >= 3000
+    assert hot.tolist() == np.flatnonzero(counts >= 1000).tolist()
+    assert parts.tolist() == [-(-n // 1000) for n in counts[hot].tolist()]
+    assert np.flatnonzero(np.unpackbits(common)).tolist() == np.flatnonzero(counts >= 64).tolist()
+    lists = jaccard._lists(docs, 3, 20, common, hot, parts, bits, 64)
+    dealt = lists.where("dealt").groupBy("token").agg(F.countDistinct("lead").alias("parts"), F.count("*").alias("sets")).collect()
+    assert {(r.parts, r.sets) for r in dealt} <= {(int(parts.max()), 3000), (1, 1)}
+
+
 def test_components_with_hot_nodes(spark, monkeypatch):
     monkeypatch.setattr(graph, "HOT_ROWS", 10)
     random = np.random.default_rng(4)

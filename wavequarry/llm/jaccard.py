@@ -24,7 +24,9 @@ are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -83,10 +85,11 @@ def _most_shared(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray) -
 
 
 def _described(docs: DataFrame, size: int, cell_bits: int, cell_block: int) -> DataFrame:
-    """One pass: a row for each document (doc_id, text_hash, n, key, cells) and, for each task, how many documents have a shingle in each counting cell."""
+    """One pass: a row for each document (doc_id, text_hash, n, key, cells) and, for each task, how many documents have a shingle in each counting cell (a byte a cell, and how often it began anew)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << cell_bits, np.uint8)
+        turns: Counter[int] = Counter()  # how often a cell's byte has begun anew
         for b in batches:
             n, keys, cells = [], [], []
             for tokens in shingle_sets(b.column("text"), size):
@@ -95,40 +98,54 @@ def _described(docs: DataFrame, size: int, cell_bits: int, cell_block: int) -> D
                 cells.append(_bit_map(tokens))
                 hit = (tokens >> np.uint64(64 - cell_bits)).astype(np.int64)
                 seen = count[hit]
-                count[hit] = seen + (seen < 255)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int32()), pa.array(keys, pa.int64()), pa.array(cells, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int32())], names=names)
-        blocks = [k for k in range(0, len(count), cell_block) if count[k : k + cell_block].any()]
+                count[hit] = seen + np.uint8(1)
+                if (seen == 255).any():
+                    turns.update(np.unique(hit[seen == 255]).tolist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int32()), pa.array(keys, pa.int64()), pa.array(cells, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+        of_block: dict[int, list[tuple[int, int]]] = {}
+        for cell, times in sorted(turns.items()):
+            of_block.setdefault(cell // cell_block, []).append((cell % cell_block, times))
+        blocks = [k for k in range(len(count) // cell_block) if k in of_block or count[k * cell_block : (k + 1) * cell_block].any()]
         m = len(blocks)
-        task = pa.array(np.full(m, TaskContext.get().partitionId() >> 6, np.int32))
-        counts = pa.array([count[k : k + cell_block].tobytes() for k in blocks], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, b_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), counts, pa.array([k // cell_block for k in blocks], pa.int32()), task], names=names)
+        task = pa.array(np.full(m, TaskContext.get().partitionId(), np.int32))
+        counts = pa.array([count[k * cell_block : (k + 1) * cell_block].tobytes() for k in blocks], pa.binary())
+        carried = pa.array([np.array(of_block.get(k, []), "<u4").tobytes() for k in blocks], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, b_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), counts, pa.array(blocks, pa.int32()), task, carried], names=names)
 
     kind = dict(docs.dtypes)["doc_id"]
     b_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    names = ["doc_id", "text_hash", "n", "key", "cells", "block", "tasks"]
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(work, f"doc_id {kind}, text_hash long, n int, key long, cells binary, block int, tasks int")
+    names = ["doc_id", "text_hash", "n", "key", "cells", "block", "task", "turns"]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(work, f"doc_id {kind}, text_hash long, n int, key long, cells binary, block int, task int, turns binary")
 
 
 def _common(described: DataFrame, folder: str, cell_bits: int, cell_block: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bits of the cells that hold common shingles (twice the mean load and 64 documents, counted over all), and the fullest cells with their counts."""
     least = 64 + 2 * total // (1 << cell_bits)
 
-    def added(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+    def added(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 count = np.zeros(cell_block, np.uint32)
                 for part in b.column("parts")[k].as_py():
-                    count += np.minimum(np.frombuffer(part, "<u4" if last else np.uint8), np.uint32(0xFFFFFFFF) - count)
+                    one = np.frombuffer(part["cells"], "<u4" if level else np.uint8).astype(np.uint32)
+                    if not level:
+                        cell, times = np.frombuffer(part["turns"], "<u4").reshape(-1, 2).T
+                        one[cell] += times * np.uint32(256)
+                    count += np.minimum(one, np.uint32(0xFFFFFFFF) - count)
                 block = b.column("block").slice(k, 1)
-                if not last:
-                    yield pa.RecordBatch.from_arrays([block, pa.array([count.tobytes()], pa.binary())], names=["block", "cells"])
+                if level < 2:
+                    yield pa.RecordBatch.from_arrays([block, b.column("task").slice(k, 1), pa.array([count.tobytes()], pa.binary())], names=["block", "task", "cells"])
                     continue
                 full = np.flatnonzero(count >= LIST_PART)
                 yield pa.RecordBatch.from_arrays([block, pa.array([np.packbits(count >= least).tobytes()], pa.binary()), pa.array([full.tolist()], pa.list_(pa.int64())), pa.array([count[full].tolist()], pa.list_(pa.int64()))], names=["block", "bits", "full", "counts"])
 
-    parts = F.collect_list("cells").alias("parts")  # of 64 tasks, then of as many such groups
-    some = described.where("block is not null").groupBy("block", "tasks").agg(parts).mapInArrow(lambda b: added(b, False), "block int, cells binary")
-    whole = stored(some.groupBy("block").agg(parts).mapInArrow(lambda b: added(b, True), "block int, bits binary, full array<long>, counts array<long>"), folder, "cells")
+    # counts of 64 tasks are added, then those of 64 such groups, then what is left: 200 rows of 64 KB for 800,000 tasks
+    some = described.where("block is not null").select("block", "task", F.struct("cells", "turns").alias("part"))
+    for level in (0, 1):
+        summed = some.groupBy("block", F.shiftright("task", 6).alias("task")).agg(F.collect_list("part").alias("parts"))
+        some = summed.mapInArrow(partial(added, level=level), "block int, task int, cells binary").select("block", "task", F.struct("cells").alias("part"))
+    last = some.groupBy("block").agg(F.collect_list("part").alias("parts"))
+    whole = stored(last.mapInArrow(partial(added, level=2), "block int, bits binary, full array<long>, counts array<long>"), folder, "cells")
     rows = whole.select("block", "bits").collect()  # 2^cell_bits bits
     bits = np.zeros((1 << cell_bits) // 8, np.uint8)
     for r in rows:
