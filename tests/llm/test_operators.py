@@ -412,6 +412,30 @@ def test_toxicity_grams_and_scores_by_brute_force(spark, awkward):
         assert r.score == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+def test_toxicity_fits_one_model_however_its_rows_are_dealt(spark):
+    random = np.random.default_rng(6)
+    words = [f"{a}{b}{c}" for a in "bdkst" for b in "aeiou" for c in "lmnr"]
+    rows = [(k, int(k % 5 == 0), " ".join([*random.choice(words, 12), *(["vile", "scum"] if k % 5 == 0 and k % 3 else [])])) for k in range(240)] + [(300, 1, "x" * 2_000_000), (301, 0, None), (302, 0, "")]
+    docs = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, y, _ in rows], "doc_id long, toxic int")
+    one, many = (toxicity.train(docs.repartition(n), labels, folds=1, held_out=1) for n in (1, 7))
+    assert np.array_equal(one.ratio, many.ratio) and one.intercept == pytest.approx(many.intercept, abs=1e-3)
+    np.testing.assert_allclose(one.weights, many.weights, atol=1e-3)
+    # the fit is where the weighted penalised loss has no slope
+    own = np.zeros((len(rows), toxicity.BUCKETS), np.float32)
+    for first, row, bucket in toxicity.grams(pa.array([t for *_, t in rows], pa.string())):
+        own[first + row, bucket] = 1
+    used = np.flatnonzero(own.any(axis=0) & (np.abs(one.ratio) > 1e-9))
+    x = own[:, used] * one.ratio[used]
+    x /= toxicity.length((x * x).sum(axis=1))[:, None]
+    y = np.array([v for _, v, _ in rows])
+    weight = np.where(y == 1, min(toxicity.MOST_WEIGHT, (y == 0).sum() / y.sum()), 1.0)
+    weight /= weight.sum()
+    w = one.weights[used] / one.ratio[used]
+    error = weight * (1 / (1 + np.exp(-(x @ w + one.intercept))) - y)
+    assert abs(error.sum()) < 1e-4 and np.abs(x.T @ error + toxicity.PENALTY * w).max() < 1e-4
+
+
 def test_mix_meets_its_targets(spark):
     random = np.random.default_rng(1)
     rows = [(k, " ".join(["w"] * int(random.integers(1, 30))), "abc"[min(2, int(random.integers(0, 9)) // 4)] if k % 50 else None) for k in range(6000)]
