@@ -24,6 +24,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,10 +158,14 @@ def class_counts(learned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def fit(learned: DataFrame, ratio: np.ndarray, weight: float, penalty: float = PENALTY) -> Model:
     """One logistic regression on ratio-scaled presence over all rows; positive rows count ``weight`` times.
 
-    A step is a job: tasks sum the slope over their rows, the driver adds TASKS such sums and moves the weights.
+    A step is a job: tasks sum the slope over their rows, the driver adds TASKS such sums and moves the weights. Weights
+    are sent in single precision and their copies deleted after the step.
     """
+    send = learned.sparkSession.sparkContext.broadcast
+    ratios = send(ratio)
 
-    def slopes(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def slopes(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
+        ratio, w = ratios.value, sent.value.astype(float)
         loss, slope = 0.0, np.zeros(BUCKETS + 2)  # the last are the intercept's and the rows' weights
         for b in batches:
             lists, n, y = b.column("buckets"), b.num_rows, b.column("label").to_numpy()
@@ -176,12 +181,17 @@ def fit(learned: DataFrame, ratio: np.ndarray, weight: float, penalty: float = P
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([loss]), pa.array([slope.tobytes()], pa.binary())], names=["task", "loss", "slope"])
 
     def at(w: np.ndarray) -> tuple[float, np.ndarray]:
-        parts = sorted(learned.coalesce(TASKS).mapInArrow(partial(slopes, w=w), "task long, loss double, slope binary").collect())  # TASKS rows of 2 MB at most
+        w = w.astype(np.float32)
+        sent = send(w)
+        parts = sorted(learned.coalesce(TASKS).mapInArrow(partial(slopes, sent=sent), "task long, loss double, slope binary").collect())  # TASKS rows of 2 MB at most
+        sent.destroy(blocking=True)
+        w = w.astype(float)
         slope = np.sum([np.frombuffer(r["slope"]) for r in parts], axis=0)
         rows = slope[-1]
         return sum(r["loss"] for r in parts) / rows + penalty / 2 * float(w[:-1] @ w[:-1]), slope[:-1] / rows + penalty * np.append(w[:-1], 0.0)
 
     w = descend(at, np.zeros(BUCKETS + 1))
+    ratios.destroy()
     return Model((w[:-1] * ratio).astype(np.float32), ratio, float(w[-1]))
 
 
