@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wavequarry.operators import chunks, spectra
 
@@ -88,7 +89,34 @@ def test_auxiliary_metrics(spark, signals):
     assert (got[6].levels, got[6].step_rate) == (5, 1.0) and got[2].median_run == 40 and set(got[0].asDict()) == {*KEYS, "levels", "step_rate", "least", "most", "std", "median_run", "transition_rate"}
 
 
+@pytest.mark.parametrize("size", (10, 16, 91, 1000))
+def test_notches(spark, size):
+    rng = np.random.default_rng(6)
+    hum = np.sin(np.arange(3005) * 2 * np.pi * 50 / 400)
+    signals = [rng.normal(size=3005) + 5 * hum, rng.normal(size=91) + 3, np.arange(10.0), rng.normal(size=9), np.array([2.0]), np.array([*rng.normal(size=40), np.nan]), rng.normal(size=20), rng.normal(size=23).cumsum(), None]
+    got = {}
+    for r in chunks.notched(table(spark, signals, size), KEYS, size, 400.0).orderBy("channel", "chunk").collect():
+        assert r.start == r.chunk * size == len(got.setdefault(r.channel, [])) and 1 <= len(r.samples) <= size
+        got[r.channel] += r.samples
+    assert set(got) == set(range(8))
+    for k, x in enumerate(signals[:8]):
+        want = x if len(x) < 10 else spectra.notched(x, 400.0)
+        np.testing.assert_allclose(got[k], want, rtol=1e-9, atol=1e-9)
+    assert np.abs(np.array(got[0])[1000:2000] @ hum[1000:2000]) < 0.05 * np.abs(signals[0][1000:2000] @ hum[1000:2000])
+
+
+def test_notches_of_null_keys_and_bad_sizes(spark):
+    x = np.random.default_rng(1).normal(size=50)
+    rows = chunks.cut(spark.createDataFrame([(None, 1, x.tolist()), (1, None, x[::-1].tolist())], "record int, channel int, samples array<double>"), 16)
+    got = {r.record: r.x for r in chunks.notched(rows, KEYS, 16, 400.0).groupBy("record").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "samples"))), lambda s: s["samples"])).alias("x")).collect()}
+    np.testing.assert_allclose(got[None], spectra.notched(x, 400.0), atol=1e-9)
+    np.testing.assert_allclose(got[1], spectra.notched(x[::-1], 400.0), atol=1e-9)
+    for size, rate in ((9, 400.0), (16, 300.0)):
+        with pytest.raises(ValueError, match="samples|rate"):
+            chunks.notched(rows, KEYS, size, rate)
+
+
 def test_empty_table(spark, signals):
     none = table(spark, signals, 8).where("false")
-    for found in (chunks.windows(none, KEYS, 8, 4, 2), chunks.auxiliary_metrics(none, KEYS), chunks.density(none, KEYS, 8, 100.0, 16, 8)):
+    for found in (chunks.windows(none, KEYS, 8, 4, 2), chunks.auxiliary_metrics(none, KEYS), chunks.density(none, KEYS, 8, 100.0, 16, 8), chunks.notched(table(spark, signals, 16).where("false"), KEYS, 16, 400.0)):
         assert found.count() == 0

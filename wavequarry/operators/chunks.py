@@ -10,6 +10,7 @@ A null or empty signal has no chunks and no results; null samples count as NaN.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -258,3 +259,112 @@ def auxiliary_metrics(chunks: DataFrame, keys: list[str], step: float = INPUT_ST
     """keys, levels, step_rate, least, most, std, median_run, transition_rate of each auxiliary channel."""
     moments = profile(chunks, keys, keys).select(*keys, "least", "most", "std")
     return levels(chunks, keys, step).join(moments, keys).join(run_summary(chunks, keys).drop("runs"), keys)
+
+
+# notches --------------------------------------------------------------------------------------------------------------
+
+
+class _Notches:
+    """The cascade of notches on one chunk. A pass (to, then fro, for each line) is an affine map of the state that comes in from the neighbour:
+    what it leaves for the next neighbour is a part of the chunk's samples and a matrix, which depends on the chunk's length and place only.
+    """
+
+    def __init__(self, rate: float, lines: tuple[float, ...]) -> None:
+        self.filters = [spectra.notch(line, rate) for line in lines]
+        self.width = 4 * len(lines)  # two numbers a pass
+        self.matrix = lru_cache(64)(self._matrix)
+
+    def apply(self, x: np.ndarray, first: bool, last: bool, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Filtered columns of x and the states they leave, given those that come in (a column each); ends of a signal are mirrored and begin at rest."""
+        left = np.empty_like(states)
+        edge = spectra.EDGE
+        for k, (b, a) in enumerate(self.filters):
+            head = [2 * x[:1] - x[edge:0:-1]] if first else []
+            tail = [2 * x[-1:] - x[-2 : -edge - 2 : -1]] if last else []
+            x = np.concatenate([*head, x, *tail])
+            at = 4 * k
+            x, left[at : at + 2] = spectra.run(b, a, x, spectra.rest(b, a)[:, None] * x[0] if first else states[at : at + 2])
+            x = x[::-1]
+            x, left[at + 2 : at + 4] = spectra.run(b, a, x, spectra.rest(b, a)[:, None] * x[0] if last else states[at + 2 : at + 4])
+            x = x[::-1][edge if first else 0 : -edge if last else None]
+        return x, left
+
+    def _matrix(self, n: int, first: bool, last: bool) -> np.ndarray:
+        return self.apply(np.zeros((n, self.width)), first, last, np.eye(self.width))[1]
+
+    def incoming(self, own: np.ndarray, lengths: list[int]) -> np.ndarray:
+        """The states that come into each chunk of a channel (a row each), from those that the chunks' samples leave alone."""
+        count = len(own)
+        maps = [self.matrix(n, c == 0, c == count - 1) for c, n in enumerate(lengths)]
+        into = np.zeros_like(own)
+        for at in range(0, self.width, 2):
+            to = at % 4 == 0
+            for c in range(count - 1) if to else range(count - 1, 0, -1):
+                into[c + 1 if to else c - 1, at : at + 2] = own[c, at : at + 2] + maps[c][at : at + 2, : at + 2] @ into[c, : at + 2]
+        return into
+
+
+def notched(chunks: DataFrame, keys: list[str], size: int, rate: float, lines: tuple[float, ...] = (50.0, 100.0, 150.0)) -> DataFrame:
+    """keys, chunk, start, samples without the mains and its multiples: :func:`spectra.notched` of whole signals, whatever the chunks' size (10 or more).
+
+    Samples are read twice, once for the states that they leave (four numbers a line and chunk) and once with the states that come in; only these states
+    pass from chunk to chunk, all of a channel's in one task. A last chunk of fewer than ten samples is filtered with the one before it. Signals of
+    fewer than ten samples stay as they are; a sample that is not finite makes its whole channel NaN.
+    """
+    edge = spectra.EDGE
+    if not rate > 2 * max(lines):
+        raise ValueError(f"the rate must be above {2 * max(lines):g} Hz")
+    if size <= edge:
+        raise ValueError(f"a chunk needs more than {edge} samples")
+    # a row knows from what follows it whether it is the last one that is long enough
+    rows = with_halo(chunks, keys, size, edge + 1).where((F.col("chunk") == 0) | (F.size("samples") > edge))
+    rows = rows.withColumn("last", F.size("ahead") <= edge).withColumn("x", F.when(F.col("last"), F.concat("samples", "ahead")).otherwise(F.col("samples")))
+    rows = rows.select(*keys, "chunk", "last", "x")
+    long = F.size("x") > edge
+    kinds = _schema(chunks, keys)
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        notches = _Notches(rate, lines)
+        for b in batches:
+            found = [notches.apply(_column(b, "x", k)[:, None], b.column("chunk")[k].as_py() == 0, b.column("last")[k].as_py(), np.zeros((notches.width, 1)))[1][:, 0].tolist() for k in range(b.num_rows)]
+            lengths = [len(v) for v in b.column("x")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*keys, "chunk"]), pa.array(lengths, pa.int32()), pa.array(found, pa.list_(pa.float64()))], names=[*keys, "chunk", "n", "state"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        notches, names = _Notches(rate, lines), [*keys, "chunk"]
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            own = np.array(whole.column("state").to_pylist())
+            into = notches.incoming(own, whole.column("n").to_pylist())
+            return pa.RecordBatch.from_arrays([*(whole.column(c) for c in names), pa.array(into.tolist(), pa.list_(pa.float64()))], names=[*names, "into"])
+
+        for b in batches:
+            begins = [k for k, c in enumerate(b.column("chunk").to_pylist()) if c == 0]
+            for start, stop in zip([0, *begins], [*begins, b.num_rows], strict=True):
+                if start in begins and held:
+                    yield out()
+                    held = []
+                if stop > start:
+                    held.append(b.slice(start, stop - start))
+        if held:
+            yield out()
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        notches = _Notches(rate, lines)
+        for b in batches:
+            for k in range(b.num_rows):
+                chunk, x = b.column("chunk")[k].as_py(), _column(b, "x", k)
+                if len(x) > edge:
+                    x = notches.apply(x[:, None], chunk == 0, b.column("last")[k].as_py(), _column(b, "into", k)[:, None])[0][:, 0]
+                parts = [x[i : i + size].tolist() for i in range(0, len(x), size)]
+                at = np.arange(chunk, chunk + len(parts), dtype=np.int32)
+                same = [pa.concat_arrays([b.column(c).slice(k, 1)] * len(parts)) for c in keys]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(at), pa.array(at.astype(np.int64) * size), pa.array(parts, pa.list_(pa.float64()))], names=[*keys, "chunk", "start", "samples"])
+
+    states_left = rows.where(long).mapInArrow(left, f"{kinds}, chunk int, n int, state array<double>")
+    into = states_left.repartition(*keys).sortWithinPartitions(*keys, "chunk").mapInArrow(scan, f"{kinds}, chunk int, into array<double>")
+    same = [rows[k].eqNullSafe(into[k]) for k in keys]
+    met = rows.join(into, [rows["chunk"] == into["chunk"], *same], "left").select(*[rows[c] for c in rows.columns], into["into"])
+    return met.mapInArrow(filtered, f"{kinds}, chunk int, start bigint, samples array<double>")

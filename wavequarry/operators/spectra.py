@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -160,10 +161,11 @@ def notch(line: float, rate: float, quality: float = QUALITY) -> tuple[np.ndarra
     return gain * np.array([1, -2 * np.cos(angle), 1]), np.array([1, -2 * gain * np.cos(angle), 2 * gain - 1])
 
 
-def forward(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The filter along one signal, begun as if its first value had always been there; blocks of 256 samples as matrix products."""
+@lru_cache(16)
+def _steps(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[list[np.ndarray], ...]:
+    """Powers of the filter's state, what a block of 256 samples answers to itself and to the state, and what its samples leave in the state."""
     size = 256
-    step, into = np.array([[-a[1], 1.0], [-a[2], 0.0]]), b[1:] - a[1:] * b[0]
+    step, into = np.array([[-a[1], 1.0], [-a[2], 0.0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
     powers = [np.eye(2)]
     for _ in range(size):
         powers.append(step @ powers[-1])
@@ -172,13 +174,30 @@ def forward(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     within = np.where(lag >= 0, answer[np.abs(lag)], 0.0)
     seen = np.array([p[0] for p in powers[:size]])
     left = np.array([p @ into for p in powers[:size]]).T  # what a sample leaves in the state, so many samples later
-    state, out = np.linalg.solve(np.eye(2) - step, into) * x[0], np.empty(len(x))
+    return powers, within, seen, left
+
+
+def rest(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The state of the filter after a one has always been there."""
+    step, into = np.array([[-a[1], 1.0], [-a[2], 0.0]]), b[1:] - a[1:] * b[0]
+    return np.linalg.solve(np.eye(2) - step, into)
+
+
+def run(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The filter along the columns of x from a state (a column each), and the state that it leaves; blocks of 256 samples as matrix products."""
+    powers, within, seen, left = _steps(tuple(b), tuple(a))
+    out, size = np.empty_like(x), len(within)
     for at in range(0, len(x), size):
         part = x[at : at + size]
         n = len(part)
         out[at : at + n] = within[:n, :n] @ part + seen[:n] @ state
         state = powers[n] @ state + left[:, :n] @ part[::-1]
-    return out
+    return out, state
+
+
+def forward(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The filter along one signal, begun as if its first value had always been there."""
+    return run(b, a, x[:, None], rest(b, a)[:, None] * x[0])[0][:, 0]
 
 
 def notched(x: np.ndarray, rate: float, lines: tuple[float, ...] = (50.0, 100.0, 150.0)) -> np.ndarray:

@@ -42,6 +42,13 @@ def auxiliary_channel_metrics(spark, d):  # noqa: ANN001, ANN201
     return x.select("record", "channel", "levels", "least", "most", "median_run", *[r6(c).alias(c) for c in ("step_rate", "std", "transition_rate")])
 
 
+def chunked_notches(spark, d):  # noqa: ANN001, ANN201
+    """Signals at 400 Hz without 50, 100 and 150 Hz, filtered to and fro across chunks: samples, level and ends of every chunk."""
+    x = chunks.notched(chunks.cut(_channels(spark, d), SIZE), KEYS, SIZE, 400.0)
+    level = F.sqrt(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v * v) / F.size("samples"))
+    return x.select("record", "channel", "chunk", F.size("samples").alias("n"), r6(level).alias("rms"), r6(F.col("samples")[0]).alias("first"), r6(F.element_at("samples", -1)).alias("last"))
+
+
 def container_round_trip(spark, d):  # noqa: ANN001, ANN201
     """Every record written as a container, and its channels from the third on read back in chunks of 24 samples."""
     folder = shared.folder(spark)
@@ -54,13 +61,26 @@ def container_round_trip(spark, d):  # noqa: ANN001, ANN201
     return own.join(written.select("sample_id", "n_channels"), "sample_id").select("sample_id", "channel_id", "position", "raw", "n_channels", "chunks", "samples", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (chunked_window_kernels, chunked_density, chunked_profile, auxiliary_channel_metrics, container_round_trip)}
+QUERIES = {f.__name__: f for f in (chunked_window_kernels, chunked_density, chunked_profile, chunked_notches, auxiliary_channel_metrics, container_round_trip)}
 
 _E = "e AS (SELECT label AS record, vec_id AS channel, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
 _L = "l AS (SELECT record, channel, i, x[i] AS v FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM e))"
 _PART = "list_sum(list_transform(range(16), lambda i: (s[i + 1] - list_sum(s) / 16) * (0.5 - 0.5 * cos(2 * pi() * i / 16)) * {f}(2 * pi() * bin * i / 16)))"
 
+# a filter begun at rest answers x as the sum of h[k] * x[n - k], the first value standing for all that were before
+_TO = "list_transform(range(1, len(x) + 1), lambda n: list_sum(list_transform(range(n), lambda k: h[k + 1] * x[n - k])) + (1 - list_sum(h[1:n])) * x[1])"
+_NOTCHED = ", ".join(
+    f"""w{k} AS (SELECT record, channel, h, list_concat(list_transform(range(9), lambda i: 2 * x[1] - x[10 - i]), x, list_transform(range(9), lambda i: 2 * x[len(x)] - x[len(x) - 1 - i])) AS x FROM {source}, h WHERE line = {50 * k}),
+    t{k} AS (SELECT record, channel, h, list_reverse({_TO}) AS x FROM w{k}), b{k} AS (SELECT record, channel, list_reverse({_TO}) AS x FROM t{k}), n{k} AS (SELECT record, channel, x[10 : len(x) - 9] AS x FROM b{k})"""
+    for k, source in ((1, "e"), (2, "n1"), (3, "n2"))
+)
+
 ORACLES = {
+    "chunked_notches": f"""WITH RECURSIVE {_E}, f AS (SELECT line, 1 / (1 + tan(pi() * line / 400 / 50)) AS g, cos(2 * pi() * line / 400) AS c FROM (VALUES (50), (100), (150)) v(line)),
+        s(line, g, c, k, h, before) AS (SELECT line, g, c, 0, g, 0.0::DOUBLE FROM f UNION ALL
+        SELECT line, g, c, k + 1, 2 * g * c * h - (2 * g - 1) * before + (CASE k WHEN 0 THEN -2 * g * c WHEN 1 THEN g ELSE 0 END), h FROM s WHERE k < (SELECT max(len(x)) + 18 FROM e)),
+        h AS (SELECT line, list(h ORDER BY k) AS h FROM s GROUP BY line), {_NOTCHED}, c AS (SELECT record, channel, chunk, x[12 * chunk + 1 : 12 * chunk + 12] AS x FROM (SELECT *, unnest(range(CAST(ceil(len(x) / 12.0) AS BIGINT))) AS chunk FROM n3))
+        SELECT record, channel, CAST(chunk AS INT) AS chunk, CAST(len(x) AS INT) AS n, round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)), 6) AS rms, round(x[1], 6) AS first, round(x[len(x)], 6) AS last FROM c""",
     "chunked_window_kernels": f"""WITH {_E}, w AS (SELECT record, channel, w, x[6 * w + 1 : 6 * w + 20] AS x FROM e, range(11) r(w) WHERE 6 * w + 20 <= len(x)),
         c AS (SELECT record, channel, w, list_transform(x, lambda v: v - list_sum(x) / 20) AS c FROM w)
         SELECT record, channel, CAST(w AS INT) AS w, round(list_sum(list_transform(range(1, 20), lambda i: abs(c[i + 1] - c[i]))) / 19, 6) AS line_length, round(sqrt(list_sum(list_transform(c, lambda v: v * v)) / 20), 6) AS rms,
