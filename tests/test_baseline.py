@@ -5,7 +5,8 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from wavequarry.operators import baseline, evaluation, predictions
+from wavequarry.operators import baseline, evaluation, predictions, runs
+from wavequarry.plans import evaluation as evaluation_plans
 
 RATE, SECONDS = 400.0, 24
 SCHEMA = "sample_id string, channel_index int, channel_id string, sampling_rate double, signal array<float>"
@@ -133,6 +134,35 @@ def test_model_solves_the_penalised_problem(spark, tmp_path):
         baseline.out_of_fold(df.where("group = 'A'"), ["a"])
 
 
+def test_folds_fitted_together(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.column_stack([rng.normal(size=(300, 3)) * [1, 50, 0.2] + [3, 1e6, 0], np.full(300, 7.0)])
+    y = (x[:, 0] + 0.02 * (x[:, 1] - 1e6) + rng.normal(size=300) > 3.6).astype(int)
+    group = [None if k % 10 == 9 else "hot" if k % 3 else "ABC"[k % 4 % 3] for k in range(300)]  # one group with most rows
+    unknown = set(range(0, 300, 37))
+    df = spark.createDataFrame([(k, group[k], None if k in unknown else int(y[k]), *map(float, x[k])) for k in range(300)], "record long, `group` string, label int, a double, b double, c double, d double").repartition(5)
+    passes = []
+    monkeypatch.setattr(baseline, "Summarizer", type("Counted", (), {"sum": staticmethod(lambda c, real=baseline.Summarizer.sum: passes.append(1) or real(c))}))
+    got = {r.record: r for r in baseline.out_of_fold(df, ["a", "b", "c", "d"]).collect()}
+    assert len(got) == 300 and len(passes) <= 12  # as many as iterations, five folds at once
+    order = [None, "A", "B", "C", "hot"]
+    for f, g in enumerate(order):
+        used = np.array([k not in unknown and group[k] != g for k in range(300)])
+        v, t = x[used], y[used]
+        deviation = np.where(v.std(0) > 0, v.std(0), 1)
+        z = np.column_stack([(x - v.mean(0)) / deviation, np.ones(300)])
+        weight = np.where(t == 1, len(t) / (2 * t.sum()), len(t) / (2 * (1 - t).sum()))
+        w, ridge = np.zeros(5), np.diag([1.0, 1, 1, 1, 0])
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-z[used] @ w))
+            w -= np.linalg.solve(0.1 * z[used].T @ (z[used] * (weight * p * (1 - p))[:, None]) + ridge, 0.1 * z[used].T @ (weight * (p - t)) + ridge @ w)
+        for k in range(300):
+            if group[k] == g:
+                assert got[k].fold == f + 1 and got[k].label == (None if k in unknown else y[k]) and abs(got[k].probability - 1 / (1 + np.exp(-z[k] @ w))) < 1e-7
+    with pytest.raises(ValueError, match="both labels outside group A"):
+        baseline.out_of_fold(df.where("`group` in ('A', 'B')").withColumn("label", F.expr("int(`group` = 'A')")), ["a"])
+
+
 def test_predictions_keep_the_contract(spark, maps, labels, cases):
     frames = evaluation.evidence(maps, baseline.EVIDENCE)
     features = baseline.record_features(maps)
@@ -145,6 +175,59 @@ def test_predictions_keep_the_contract(spark, maps, labels, cases):
     assert all(abs(r.onset_time - 14) <= 2 for r in got.values() if r.channels)
 
 
+def test_runs_are_published_whole(spark, maps, labels, tmp_path, monkeypatch):
+    root, frames = f"file://{tmp_path}/kept", evaluation.evidence(maps, baseline.EVIDENCE)
+    features, track, ranked = baseline.record_features(maps).cache(), evaluation.anomaly_track(frames).cache(), baseline.ranked_channels(frames).cache()
+    true = labels.withColumn("channels", F.when(F.col("label") == 1, F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.concat(F.lit("POL "), "group", k.cast("string")))).otherwise(F.array().cast("array<string>")))
+    assert runs.latest(spark, root) is None
+    with pytest.raises(ValueError, match="no run"):
+        runs.predictions(features, track, ranked, root)
+    columns = baseline.FEATURES[:6]
+    assert runs.save(features, true, track, ranked, root, columns, "one") == 1
+    kept = {r.sample_id: r for r in spark.read.parquet(f"{root}/runs/one/predictions").collect()}
+    own = {r.record: r for r in baseline.out_of_fold(features.join(labels, "record"), columns).collect()}
+    limit = {r.group: r.threshold for r in baseline.fold_thresholds(track, labels).collect()}
+    found = {r.record: r.onsets for r in baseline.onsets(track, baseline.THRESHOLDS).collect()}
+    names = {r.record: r.channels for r in ranked.collect()}
+    assert set(kept) == set(own)
+    for n, r in kept.items():
+        assert (r.fold, r.schema_group, r.label, r.predicted_label) == (own[n].fold, own[n].group, own[n].label, int(r.prob >= 0.5)) and abs(r.prob - own[n].probability) < 1e-9
+        assert r.predicted_onset == found[n][baseline.THRESHOLDS.index(limit[r.schema_group])] and [r[f"pred_ch{k}"] for k in range(1, 11)] == names[n]
+    metrics = spark.read.json(f"{root}/runs/one/metrics").first()
+    assert (metrics.train_samples, metrics.positive_samples, metrics.groups) == (8, 4, 2) and 0 <= metrics.score_overlap_proxy <= 1
+    assert spark.read.parquet(f"{root}/runs/one/folds").count() == 2
+    before = runs.predictions(features, track, ranked, root).collect()
+    assert len(before) == 8
+    with monkeypatch.context() as m:  # a writer that dies when all but its manifest is written
+        m.setattr(runs, "_publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            runs.save(features, true, track, ranked, root, columns[:2], "two")
+    assert runs.latest(spark, root).run == "one" and runs.predictions(features, track, ranked, root).collect() == before
+    assert runs.save(features, true, track, ranked, root, columns[:2], "two") == 2 and runs.latest(spark, root).features == columns[:2]
+    assert runs.save(features, true, track, ranked, root, columns, "two") == 2 and runs.manifests(spark, root).count() == 2
+
+
+def test_query_of_folds(spark):
+    d = "/root/testdata/sf0.001"
+    got = {r.channel: r for r in evaluation_plans.out_of_fold_rise(spark, d).collect()}
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").where("embedding is not null").orderBy("vec_id").collect()
+    e = np.array([r.embedding for r in rows], dtype=float)
+    x = np.column_stack([e[:, :48].mean(1), np.sqrt((e[:, :48] ** 2).mean(1)), np.abs(np.diff(e[:, :48])).mean(1), e[:, :48].min(1), e[:, :48].max(1), e[:, 47]])
+    rms = lambda v: np.sqrt((v**2).mean(1))
+    y, group = (rms(e[:, 48:]) > rms(e[:, :16])).astype(int), np.array([r.label for r in rows])
+    assert len(got) == len(rows)
+    for f, g in enumerate(sorted(set(group)), 1):
+        v, t = x[group != g], y[group != g]
+        z = np.column_stack([(x - v.mean(0)) / v.std(0), np.ones(len(x))])
+        used, weight, w, ridge = z[group != g], np.where(t == 1, len(t) / (2 * t.sum()), len(t) / (2 * (1 - t).sum())), np.zeros(7), np.diag([1.0] * 6 + [0])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-used @ w))
+            w -= np.linalg.solve(0.1 * used.T @ (used * (weight * p * (1 - p))[:, None]) + ridge, 0.1 * used.T @ (weight * (p - t)) + ridge @ w)
+        for k in np.flatnonzero(group == g):
+            r = got[rows[k].vec_id]
+            assert (r.fold, r.label) == (f, y[k]) and abs(r.probability - 1 / (1 + np.exp(-z[k] @ w))) < 2e-6
+
+
 def test_records_that_do_not_suffice(spark):
     few = spark.createDataFrame(rows("train_few", recording(1, count=9)), SCHEMA)
     with pytest.raises(Exception, match="fewer than 10 contacts: train_few"):

@@ -1,7 +1,7 @@
 """The linear baseline: maps of one-second frames, 76 summaries a record, a logistic model and its folds.
 
 Samples become maps in Arrow batches, channel by channel; all that follows is grouped by record, whose channels and frames
-are bounded by one recording. Folds are fitted one after another, on a row of summaries a record.
+are bounded by one recording. All folds are fitted together, on a row of summaries a record.
 """
 
 from __future__ import annotations
@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wavequarry.functions import naming, robust
 from wavequarry.operators import evaluation
+from wavequarry.sources import shared
 
 #: Bands in hertz (lower end included), the rate that frames are reduced to, where scaled samples are cut, and what is added before logarithms.
 BANDS = {"delta": (1, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "gamma": (30, 70), "high": (70, 95)}
@@ -159,19 +161,106 @@ def probabilities(rows: DataFrame, model: PipelineModel) -> DataFrame:
     return model.transform(rows).withColumn("probability", vector_to_array("both")[1]).drop("gathered", "scaled", "raw", "both", "decided")
 
 
-def out_of_fold(rows: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
-    """record, group, fold, label, probability: each group (a channel layout) scored by a model of all others, folds numbered in the groups' order."""
+def _fold_scales(rows: DataFrame, columns: list[str]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups in order and, for each group's fold, the means and deviations of all rows outside it and the weight of either label there.
+
+    Moments are taken once by group; those of a fold are merged from the other groups' own, never from differences of totals.
+    """
+    moments = [e for c in columns for e in (F.avg(c), F.var_pop(c))]
+    found = rows.where("label is not null").groupBy("group").agg(F.count("*"), F.sum("label"), F.array(*moments)).collect()  # a row a group
+    known = {r[0]: (r[1], r[2], np.array(r[3], dtype=float).reshape(-1, 2)) for r in found}
     groups = [r["group"] for r in rows.select("group").distinct().orderBy("group").collect()]
     if len(groups) < 2:
         raise ValueError("needs two groups")
-    parts = [
-        probabilities(rows.where(F.col("group") == g), fit(rows.where(F.col("group") != g), columns)).select("record", "group", F.lit(k).alias("fold"), "label", "probability")
-        for k, g in enumerate(groups, 1)
-    ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    centre, scale, weight = np.zeros((len(groups), len(columns))), np.zeros((len(groups), len(columns))), np.zeros((len(groups), 2))
+    for f, g in enumerate(groups):
+        others = [v for k, v in known.items() if k != g]
+        n, positive = sum(v[0] for v in others), sum(v[1] for v in others)
+        if not 0 < positive < n:
+            raise ValueError(f"needs rows of both labels outside group {g}, has {positive} of {n}")
+        centre[f] = sum(v[0] * v[2][:, 0] for v in others) / n
+        deviation = np.sqrt(sum(v[0] * (v[2][:, 1] + (v[2][:, 0] - centre[f]) ** 2) for v in others) / n)
+        scale[f] = np.divide(1, deviation, out=np.zeros_like(deviation), where=deviation > 1e-13 * np.abs(centre[f]))  # all alike but for rounding: no part
+        weight[f] = n / (2 * (n - positive)), n / (2 * positive)
+    return groups, centre, scale, weight
+
+
+def _features_of(b: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    return np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])
+
+
+def fit_folds(rows: DataFrame, columns: list[str], groups: list, centre: np.ndarray, scale: np.ndarray, weight: np.ndarray, most: int = 60) -> np.ndarray:
+    """Coefficients (a row a fold, the constant last) of the models of :func:`fit` that each leave one group out, by Newton's method on all folds at once.
+
+    An iteration is one pass over the rows, whatever the number of folds: a task adds up loss, slope and curvature of every fold that is not done, and
+    these small sums are added by fold in Spark. A step that does not lower the loss is halved. The driver holds one matrix of the features' square a fold.
+    """
+    size, folds = len(columns) + 1, len(groups)
+    place = {g: k for k, g in enumerate(groups)}
+    taught = rows.where("label is not null").select("group", F.col("label").cast("int").alias("label"), *columns)
+
+    def sums(at: np.ndarray, active: list[int]) -> dict[int, np.ndarray]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {f: np.zeros(1 + size + size * size) for f in active}
+            for b in batches:
+                x, y = _features_of(b, columns), b.column("label").to_numpy(zero_copy_only=False).astype(int)
+                own = np.array([place[g] for g in b.column("group").to_pylist()], dtype=int)
+                for f in active:
+                    used = own != f
+                    z = np.column_stack([(x[used] - centre[f]) * scale[f], np.ones(used.sum())])
+                    m, v = z @ at[f], weight[f][y[used]]
+                    p = 0.5 + 0.5 * np.tanh(m / 2)
+                    total[f][0] += (v * (np.logaddexp(0, m) - y[used] * m)).sum()
+                    total[f][1 : 1 + size] += z.T @ (v * (p - y[used]))
+                    total[f][1 + size :] += (z.T @ (z * (v * p * (1 - p))[:, None])).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(active, pa.int32()), pa.array([total[f].tolist() for f in active], pa.list_(pa.float64()))], names=["fold", "sums"])
+
+        parts = taught.mapInArrow(work, "fold int, sums array<double>").select("fold", array_to_vector("sums").alias("sums"))
+        return {r["fold"]: r["sums"].toArray() for r in parts.groupBy("fold").agg(Summarizer.sum(F.col("sums")).alias("sums")).collect()}
+
+    ridge = np.append(np.ones(size - 1), 0.0)  # the constant bears no penalty
+    base, step, share, best = np.zeros((folds, size)), np.zeros((folds, size)), np.ones(folds), np.full(folds, np.inf)
+    active = list(range(folds))
+    for _ in range(most):
+        tried = base - share[:, None] * step
+        found = sums(tried, active)
+        left = []
+        for f in active:
+            total, w = found[f], tried[f]
+            loss = STRENGTH * total[0] + 0.5 * (ridge * w * w).sum()
+            if loss > best[f] + 1e-10 * max(1.0, abs(best[f])):
+                share[f] /= 2
+                left.append(f)
+                continue
+            base[f], best[f], share[f] = w, loss, 1.0
+            step[f] = np.linalg.solve(STRENGTH * total[1 + size :].reshape(size, size) + np.diag(ridge), STRENGTH * total[1 : 1 + size] + ridge * w)
+            if np.abs(step[f]).max() > 1e-8:
+                left.append(f)
+        active = left
+        if not active:
+            return base
+    raise RuntimeError(f"folds without a solution after {most} passes: {[groups[f] for f in active]}")
+
+
+def out_of_fold(rows: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
+    """record, group, fold, label, probability: each group (a channel layout) scored by a model of all others, folds numbered in the groups' order.
+
+    All folds are fitted together, from rows that are stored once in the shared folder. Rows without a label are scored and teach nothing;
+    null is a group of its own, the first. Fewer than two groups, or a fold whose other groups lack a label, are an error.
+    """
+    rows = shared.stored(rows.select("record", "group", "label", *columns), shared.folder(rows.sparkSession), "fold_rows")
+    groups, centre, scale, weight = _fold_scales(rows, columns)
+    model = fit_folds(rows, columns, groups, centre, scale, weight)
+    place = {g: k for k, g in enumerate(groups)}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = np.array([place[g] for g in b.column("group").to_pylist()], dtype=int)
+            m = ((_features_of(b, columns) - centre[own]) * scale[own] * model[own, :-1]).sum(axis=1) + model[own, -1]
+            yield pa.RecordBatch.from_arrays([b.column("record"), b.column("group"), pa.array(own + 1, pa.int32()), b.column("label"), pa.array(0.5 + 0.5 * np.tanh(m / 2))], names=["record", "group", "fold", "label", "probability"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(work, f"record {kinds['record']}, `group` {kinds['group']}, fold int, label {kinds['label']}, probability double")
 
 
 def layouts(channels: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavequarry.operators import evaluation
+from wavequarry.functions import arrays
+from wavequarry.operators import baseline, evaluation
 from wavequarry.plans.lookups import r6, table
 
 
@@ -28,6 +29,20 @@ def fold_counts(spark, d):  # noqa: ANN001, ANN201
     return evaluation.fold_counts(x.select("lang", "quality"), "lang", "quality")
 
 
+def out_of_fold_rise(spark, d):  # noqa: ANN001, ANN201
+    """Whether a signal's last quarter is louder than its first, from measures of its first three quarters, by models that each leave one record's channels out."""
+    e = table(spark, d, "embeddings").where("embedding is not null").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
+    n = F.size("x")
+    quarter = (n / 4).cast("int")
+    early, last = F.slice("x", F.lit(1), (n * 3 / 4).cast("int")), F.slice("x", n - quarter + 1, quarter)
+    louder = arrays.rms(last) > arrays.rms(F.slice("x", F.lit(1), quarter))
+    rows = e.select(F.col("vec_id").alias("record"), F.col("label").alias("group"), louder.cast("int").alias("label"), early.alias("x"))
+    x = F.col("x")
+    measures = {"mean": arrays.mean(x), "rms": arrays.rms(x), "line": arrays.line_length(x), "least": F.array_min(x), "most": F.array_max(x), "last": F.element_at(x, -1)}
+    found = baseline.out_of_fold(rows.select("record", "group", "label", *[c.alias(k) for k, c in measures.items()]), list(measures))
+    return found.select(F.col("record").alias("channel"), F.col("group").alias("record"), "fold", "label", r6("probability").alias("probability"))
+
+
 def competition_metrics(spark, d):  # noqa: ANN001, ANN201
     """Quality predicted by length, onsets made from doc_id and length, and two lists of letters."""
     x = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
@@ -41,7 +56,7 @@ def competition_metrics(spark, d):  # noqa: ANN001, ANN201
     return m.select(*[r6(c).alias(c) for c in m.columns])
 
 
-QUERIES = {f.__name__: f for f in (anomaly_summaries, anomaly_channels, fold_counts, competition_metrics)}
+QUERIES = {f.__name__: f for f in (anomaly_summaries, anomaly_channels, fold_counts, out_of_fold_rise, competition_metrics)}
 
 _FRAMES = """e AS (SELECT label AS record, vec_id AS channel, i - 1 AS step, CAST(embedding[i] AS DOUBLE) AS a, abs(CAST(embedding[i] AS DOUBLE)) AS b FROM embeddings, range(1, len(embedding) + 1) r(i)),
     c AS (SELECT record, channel, step, a - median(a) FILTER (step < 10) OVER w AS a, b - median(b) FILTER (step < 10) OVER w AS b FROM e WINDOW w AS (PARTITION BY record, channel)),
