@@ -102,6 +102,13 @@ def test_notches(spark, size):
     for k, x in enumerate(signals[:8]):
         want = x if len(x) < 10 else spectra.notched(x, 400.0)
         np.testing.assert_allclose(got[k], want, rtol=1e-9, atol=1e-9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # channels that begin and end anywhere in a batch
+    try:
+        again = chunks.notched(table(spark, signals, size), KEYS, size, 400.0).orderBy("channel", "chunk").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in got:
+        np.testing.assert_allclose([v for r in again if r.channel == k for v in r.samples], got[k], rtol=1e-9, atol=1e-9)
     assert np.abs(np.array(got[0])[1000:2000] @ hum[1000:2000]) < 0.05 * np.abs(signals[0][1000:2000] @ hum[1000:2000])
 
 

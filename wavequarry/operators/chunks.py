@@ -289,6 +289,21 @@ class _Notches:
             x = x[::-1][edge if first else 0 : -edge if last else None]
         return x, left
 
+    def each(self, xs: list[np.ndarray], first: list[bool], last: list[bool], states: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """:meth:`apply` to many chunks (a row of states each), those of one length and place together, about a million samples at a time."""
+        filtered, left = list(xs), np.zeros((len(xs), self.width))
+        alike: dict[tuple, list[int]] = {}
+        for k, x in enumerate(xs):
+            alike.setdefault((len(x), first[k], last[k]), []).append(k)
+        for (n, head, tail), rows in alike.items():
+            step = max(1, (1 << 20) // n)
+            for part in (rows[i : i + step] for i in range(0, len(rows), step)):
+                y, out = self.apply(np.stack([xs[k] for k in part], axis=1), head, tail, states[part].T)
+                left[part] = out.T
+                for c, k in enumerate(part):
+                    filtered[k] = y[:, c]
+        return filtered, left
+
     def _matrix(self, n: int, first: bool, last: bool) -> np.ndarray:
         return self.apply(np.zeros((n, self.width)), first, last, np.eye(self.width))[1]
 
@@ -304,6 +319,10 @@ class _Notches:
         return into
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
 def notched(chunks: DataFrame, keys: list[str], size: int, rate: float, lines: tuple[float, ...] = (50.0, 100.0, 150.0)) -> DataFrame:
     """keys, chunk, start, samples without the mains and its multiples: :func:`spectra.notched` of whole signals, whatever the chunks' size (10 or more).
 
@@ -326,42 +345,48 @@ def notched(chunks: DataFrame, keys: list[str], size: int, rate: float, lines: t
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         notches = _Notches(rate, lines)
         for b in batches:
-            found = [notches.apply(_column(b, "x", k)[:, None], b.column("chunk")[k].as_py() == 0, b.column("last")[k].as_py(), np.zeros((notches.width, 1)))[1][:, 0].tolist() for k in range(b.num_rows)]
-            lengths = [len(v) for v in b.column("x")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*keys, "chunk"]), pa.array(lengths, pa.int32()), pa.array(found, pa.list_(pa.float64()))], names=[*keys, "chunk", "n", "state"])
+            xs = [_column(b, "x", k) for k in range(b.num_rows)]
+            found = notches.each(xs, [c == 0 for c in b.column("chunk").to_pylist()], b.column("last").to_pylist(), np.zeros((len(xs), notches.width)))[1]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*keys, "chunk"]), pa.array([len(x) for x in xs], pa.int32()), _lists(found)], names=[*keys, "chunk", "n", "state"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         notches, names = _Notches(rate, lines), [*keys, "chunk"]
         held: list[pa.RecordBatch] = []
-
-        def out() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            own = np.array(whole.column("state").to_pylist())
-            into = notches.incoming(own, whole.column("n").to_pylist())
-            return pa.RecordBatch.from_arrays([*(whole.column(c) for c in names), pa.array(into.tolist(), pa.list_(pa.float64()))], names=[*names, "into"])
-
         for b in batches:
-            begins = [k for k, c in enumerate(b.column("chunk").to_pylist()) if c == 0]
-            for start, stop in zip([0, *begins], [*begins, b.num_rows], strict=True):
-                if start in begins and held:
-                    yield out()
-                    held = []
-                if stop > start:
-                    held.append(b.slice(start, stop - start))
+            # what is held ends where the last channel of this batch begins, which may go on in the next one
+            begins = np.flatnonzero(b.column("chunk").to_numpy() == 0)
+            if len(begins):
+                if held or begins[-1]:
+                    yield resolved(notches, names, [*held, b.slice(0, begins[-1])])
+                held = [b.slice(begins[-1])]
+            else:
+                held.append(b)
         if held:
-            yield out()
+            yield resolved(notches, names, held)
+
+    def resolved(notches: _Notches, names: list[str], parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        own = np.array(whole.column("state").to_pylist()).reshape(-1, notches.width)
+        begins, lengths = np.flatnonzero(whole.column("chunk").to_numpy() == 0), whole.column("n").to_pylist()
+        into = np.zeros_like(own)
+        for a, e in zip(begins, [*begins[1:], len(own)], strict=True):
+            into[a:e] = notches.incoming(own[a:e], lengths[a:e])
+        return pa.RecordBatch.from_arrays([*(whole.column(c).combine_chunks() for c in names), _lists(into)], names=[*names, "into"])
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         notches = _Notches(rate, lines)
         for b in batches:
-            for k in range(b.num_rows):
-                chunk, x = b.column("chunk")[k].as_py(), _column(b, "x", k)
-                if len(x) > edge:
-                    x = notches.apply(x[:, None], chunk == 0, b.column("last")[k].as_py(), _column(b, "into", k)[:, None])[0][:, 0]
-                parts = [x[i : i + size].tolist() for i in range(0, len(x), size)]
-                at = np.arange(chunk, chunk + len(parts), dtype=np.int32)
-                same = [pa.concat_arrays([b.column(c).slice(k, 1)] * len(parts)) for c in keys]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(at), pa.array(at.astype(np.int64) * size), pa.array(parts, pa.list_(pa.float64()))], names=[*keys, "chunk", "start", "samples"])
+            xs, at, last = [_column(b, "x", k) for k in range(b.num_rows)], b.column("chunk").to_pylist(), b.column("last").to_pylist()
+            rows = [k for k, x in enumerate(xs) if len(x) > edge]
+            into = np.array([_column(b, "into", k) for k in rows]).reshape(len(rows), notches.width)
+            for k, y in zip(rows, notches.each([xs[k] for k in rows], [at[k] == 0 for k in rows], [last[k] for k in rows], into)[0], strict=True):
+                xs[k] = y
+            pieces = [(k, at[k] + i // size, x[i : i + size]) for k, x in enumerate(xs) for i in range(0, len(x), size)]
+            chunk = np.array([c for _, c, _ in pieces], dtype=np.int32)
+            ends = np.cumsum([0, *(len(x) for _, _, x in pieces)])
+            values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x for _, _, x in pieces])))
+            same = [b.column(c).take(pa.array([k for k, _, _ in pieces])) for c in keys]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(chunk), pa.array(chunk.astype(np.int64) * size), values], names=[*keys, "chunk", "start", "samples"])
 
     states_left = rows.where(long).mapInArrow(left, f"{kinds}, chunk int, n int, state array<double>")
     into = states_left.repartition(*keys).sortWithinPartitions(*keys, "chunk").mapInArrow(scan, f"{kinds}, chunk int, into array<double>")
