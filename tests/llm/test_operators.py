@@ -513,3 +513,27 @@ def test_mixed_documents_keep_columns_of_any_name(spark):
     assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in rows}
     whole = mixing.mix_sources(docs).select(F.sum("taken")).first()[0]
     assert sum(len(r.text.split()) for r in got.collect()) == whole
+
+
+def test_toxicity_features_come_in_small_batches(spark, monkeypatch):
+    """A batch of many texts does not turn into one batch of all their buckets, and nothing is lost; counts come without a shuffle."""
+    texts = [f"w{k} " * 40 + "lorem ipsum" * (k % 7) for k in range(60)]
+    docs = spark.createDataFrame([(k % 2, t) for k, t in enumerate(texts)], "label int, text string").coalesce(1)
+    monkeypatch.setattr(toxicity, "FEATURE_BYTES", 1 << 10)
+    found = toxicity.features(docs)
+    rows = found.toPandas()
+    got = [sorted(b) for b in rows["buckets"]]
+    want = [[] for _ in texts]
+    for first, row, bucket in toxicity.grams(pa.array(texts, pa.string())):
+        for r, b in zip(row, bucket):
+            want[first + r].append(int(b))
+    assert got == want and rows["label"].tolist() == [k % 2 for k in range(60)]
+    sizes = found.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").toPandas()["n"]
+    assert sizes.sum() == 60
+    total, seen = toxicity.class_counts(found)
+    assert total.tolist() == [30, 30] and all(seen[c].sum() == sum(len(w) for w in want[c::2]) for c in (0, 1))
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counts", "counts")
+    toxicity.class_counts(found)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [len(jobs.getJobInfo(j).stageIds) for j in jobs.getJobIdsForGroup("counts")] == [1]

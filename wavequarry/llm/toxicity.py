@@ -46,7 +46,8 @@ TASKS = 8
 PRIOR = 100.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
-STEP_BYTES = 1 << 18
+#: Bytes of text that are turned into pairs of row and bucket at a time, that make a batch of features, and rows whose slopes are summed at a time.
+STEP_BYTES, FEATURE_BYTES, SLOPE_ROWS = 1 << 18, 1 << 20, 256
 
 
 @dataclass
@@ -114,13 +115,16 @@ def features(rows: DataFrame) -> DataFrame:
     """label and the buckets of text in ascending order, at most BUCKETS a row however long the text is."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            count, found = np.zeros(b.num_rows + 1, np.int64), []
-            for first, row, bucket in grams(b.column("text")):
-                count[1:] += np.bincount(first + row, minlength=b.num_rows)
-                found.append(bucket.astype(np.int32))
-            values = np.concatenate([*found, np.zeros(0, np.int32)])
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.ListArray.from_arrays(pa.array(np.cumsum(count).astype(np.int32)), pa.array(values))], names=["label", "buckets"])
+        for whole in batches:
+            # buckets take several times the bytes of their texts: batches of few texts keep the worker and the JVM small
+            for i, j in slices(text_buffer(whole.column("text"))[1], FEATURE_BYTES):
+                b = whole.slice(i, j - i)
+                count, found = np.zeros(b.num_rows + 1, np.int64), []
+                for first, row, bucket in grams(b.column("text")):
+                    count[1:] += np.bincount(first + row, minlength=b.num_rows)
+                    found.append(bucket.astype(np.int32))
+                values = np.concatenate([*found, np.zeros(0, np.int32)])
+                yield pa.RecordBatch.from_arrays([b.column("label"), pa.ListArray.from_arrays(pa.array(np.cumsum(count).astype(np.int32)), pa.array(values))], names=["label", "buckets"])
 
     return rows.select("label", "text").mapInArrow(work, "label int, buckets array<int>")
 
@@ -129,29 +133,18 @@ def class_counts(learned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """How many texts each class has, and in how many of them each bucket occurs (a row a class)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, BUCKETS + 1), np.int64)  # the last column counts texts
+        seen = np.zeros((2, BUCKETS + 1), np.int32)  # the last column counts texts, of which there are SAMPLE at most
         for b in batches:
             label_of, lists = b.column("label").to_numpy(), b.column("buckets")
             label_at = np.repeat(label_of, np.diff(lists.offsets.to_numpy()))
             for c in (0, 1):
-                seen[c, :BUCKETS] += np.bincount(lists.flatten().to_numpy()[label_at == c], minlength=BUCKETS)
+                seen[c, :BUCKETS] += np.bincount(lists.flatten().to_numpy()[label_at == c], minlength=BUCKETS).astype(np.int32)
                 seen[c, BUCKETS] += (label_of == c).sum()
-        block = np.arange(0, BUCKETS + 1, 4096)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat([0, 1], len(block)).astype(np.int32)), pa.array(np.tile(block, 2)), pa.array([seen[c, k : k + 4096] for c in (0, 1) for k in block], pa.list_(pa.int64()))],
-            names=["label", "block", "texts"],
-        )
-
-    summed = (
-        learned.mapInArrow(count, "label int, block long, texts array<long>")
-        .select("label", "block", F.posexplode("texts").alias("at", "texts"))
-        .groupBy("label", (F.col("block") + F.col("at")).alias("bucket"))
-        .agg(F.sum("texts").alias("texts"))
-        .where("texts > 0")
-        .toPandas()
-    )  # a row a class and bucket at most
+        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["texts"])
+
     seen = np.zeros((2, BUCKETS + 1))
-    seen[summed["label"], summed["bucket"]] = summed["texts"]
+    for r in learned.coalesce(TASKS).mapInArrow(count, "texts binary").collect():  # TASKS rows of 2 MB at most
+        seen += np.frombuffer(r["texts"], np.int32).reshape(2, -1)
     return seen[:, BUCKETS], seen[:, :BUCKETS]
 
 
@@ -167,7 +160,7 @@ def fit(learned: DataFrame, ratio: np.ndarray, weight: float, penalty: float = P
     def slopes(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
         ratio, w = ratios.value, sent.value.astype(float)
         loss, slope = 0.0, np.zeros(BUCKETS + 2)  # the last are the intercept's and the rows' weights
-        for b in batches:
+        for b in (whole.slice(k, SLOPE_ROWS) for whole in batches for k in range(0, whole.num_rows, SLOPE_ROWS)):
             lists, n, y = b.column("buckets"), b.num_rows, b.column("label").to_numpy()
             row, bucket = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
             value = ratio[bucket]
