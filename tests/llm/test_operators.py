@@ -365,6 +365,43 @@ def test_lm_read_errors_fail(spark, tmp_path):
         lm.score(docs, model).collect()
 
 
+def test_lm_stored_buckets(tmp_path):
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 5000, 70_000):
+        key = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        if n == 5000:
+            key = np.unique(np.concatenate([key >> np.uint64(30), key]))  # one cell holds half of the keys
+        counts = rng.geometric(0.02, (len(key), 3))
+        mixed = rng.permutation(len(key))
+        lm._save_counts(str(tmp_path), "x", n, key[mixed], counts[mixed])
+        asked = np.unique(np.concatenate([key, rng.integers(0, 1 << 64, 1000, np.uint64)]))
+        hit, at = (have := lm._Bucket(str(tmp_path), "x", n, 3)).find(asked)
+        if n == 5000:  # keys that differ in their last bits only are one
+            assert set(key.tolist()) - set(asked[hit].tolist()) == set()
+            continue
+        assert np.array_equal(asked[hit], key) and np.array_equal(have.read(at), counts)
+        alike = np.repeat([[1, 1, 0], [7, 3, 300]], [len(key) - len(key) // 3, len(key) // 3], axis=0)
+        lm._save_counts(str(tmp_path), "y", n, key, alike)
+        assert np.array_equal(lm._Bucket(str(tmp_path), "y", n, 3).read(np.arange(len(key))), alike)
+        assert os.path.getsize(tmp_path / f"y{n}.npy") <= 400 + len(key) * 6.6
+
+
+def test_lm_packed_ngrams():
+    rng = np.random.default_rng(6)
+    often, rare = (rng.integers(3, 1 << 48, n, np.uint64) for n in (3000, 500))
+    number = lm._numbers(often)
+    before = np.repeat(np.append(often[:30], rare[:10]), 5)
+    word, first = rng.permutation(np.append(often[:180], rare[:20])), rng.choice(np.append(often, rare), 600)
+    n = np.where(rng.random(600) < 0.9, 1, rng.integers(1, 1 << 20, 600))
+    blob = lm._pack_ngrams([before[::5], word, first], [np.full(40, 5), np.full(200, 3), n], number)
+    for got, want in zip(lm._ngrams_of(blob, often), (first, np.repeat(before, 3), np.repeat(word, 3), n)):
+        assert np.array_equal(got, want)
+    assert len(blob) < 3 * (40 + 200 + 600) + 6 * 250
+    facts = lm._facts(rare, rng.geometric(0.01, (6, len(rare))))
+    bucket = np.arange(len(rare)) % 3
+    assert all(np.array_equal(lm._facts_of(b), facts[bucket == k]) for k, b in enumerate(lm._packed(facts, bucket, 4, 6, False)[:3]))
+
+
 def auc(label, score):
     rank, n = pd.Series(score).rank(), label.sum()
     return (rank[label == 1].sum() - n * (n + 1) / 2) / (n * (len(label) - n))

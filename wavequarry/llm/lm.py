@@ -17,18 +17,23 @@ order two the first word of every trigram is the same one, and the bigram level
 
 Defined results: words have A-Z lower-cased; every text, null and empty ones too, ends with an end token; unknown words
 share what is left of the continuation probabilities; without any training text every token has probability one.
-Words are known by 48 bits of their hash.
+Words are known by 48 bits of their hash. A stored bucket keeps 41 to 56 bits of a key, the more the more keys it has, so that a
+key that is not there is taken for one that is with a probability of some 10^-11.
+
+On their way to the merging tasks the words that occur most in a few tasks' first texts are numbers of two bytes, all others
+their hashes; which words have numbers changes no result.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +43,19 @@ from .textkernel import mix, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
 ORDER = 3
-#: Tokens that a task counts or scores at a time, tokens per bucket about, and the least number of buckets.
-STEP_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS = 1_500_000, 500_000, 64
+#: Tokens that a task counts and that it scores at a time, tokens per bucket about, and the least number of buckets.
+STEP_TOKENS, SCORED_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS = 1_500_000, 1_000_000, 500_000, 64
+#: Parts of what is known of words that a merging task holds before it adds them up.
+HELD_PARTS = 6
+#: Words that have a number (65,535 stands for all others), tasks whose words are counted for that, and the bits of a word that choose its place among them.
+NUMBERED, NUMBERING_TASKS, PLACE_BITS = 65_535, 16, 19
 _BITS48 = np.uint64((1 << 48) - 1)
+_BITS40 = np.uint64((1 << 40) - 1)
 START, END = np.uint64(1), np.uint64(2)
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
-def token_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+def token_runs(batches: Iterator[pa.RecordBatch], step: int = STEP_TOKENS) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
     """doc_ids of some texts, their tokens and the tokens before each, and where each text begins."""
     ids, parts, sizes, held = [], [], [0], 0
     for b in batches:
@@ -60,7 +70,7 @@ def token_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.nda
             sizes.extend(np.diff(counts) + 1)
             ids += names[first : first + n]
             held += len(tokens)
-            if held >= STEP_TOKENS:
+            if held >= step:
                 yield ids, *_with_context(parts, sizes)
                 ids, parts, sizes, held = [], [], [0], 0
     if ids:
@@ -178,14 +188,91 @@ def _load(folder: str, name: str) -> np.ndarray:
     return np.load(_fetched[folder, name], mmap_mode="r")
 
 
+def _even(cell: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Where cells of n keys would begin if all were alike."""
+    return cell * n >> bits
+
+
 def _save_counts(folder: str, kind: str, name: int, key: np.ndarray, counts: np.ndarray) -> None:
-    """Keys in order, their counts (one row a key) in bytes, and the rows that do not fit."""
+    """One array of bytes: sizes, where each cell of keys with the same leading bits begins, 40 further bits of the keys in order, for each key the number of its row of counts among the 255 most usual rows, these, and all other rows."""
     by = np.argsort(key)
-    counts = counts[by]
-    large = np.flatnonzero((counts >= 255).any(axis=1))
-    _save(folder, f"{kind}{name}", key[by])
-    _save(folder, f"{kind}n{name}", np.minimum(counts, 255).astype(np.uint8))
-    _save(folder, f"{kind}o{name}", np.column_stack([large, counts[large]]))
+    key, counts = key[by], counts[by]
+    n = len(key)
+    bits = min(max(n.bit_length() - 4, 1), 16)
+    cells = np.arange((1 << bits) + 1)
+    starts = np.searchsorted(key >> np.uint64(64 - bits), cells.astype(np.uint64)) - _even(cells, n, bits)
+    starts = starts.astype("<i2" if np.abs(starts).max() < 1 << 15 else "<i8")
+    rest = key >> np.uint64(24 - bits)
+    codes, usual = _coded(counts)
+    large = np.flatnonzero(codes == 255)
+    rows = np.column_stack([large, counts[large]])
+    rows = rows.astype("<u4" if rows.max(initial=0) < 1 << 32 else "<i8")
+    parts = [np.array([n, bits, starts.itemsize, len(usual), len(large), rows.itemsize]), starts, (rest >> np.uint64(8)).astype("<u4"), rest.astype(np.uint8), codes, usual, rows]
+    raw = [x.tobytes() for x in parts]
+    _save(folder, f"{kind}{name}", np.frombuffer(b"".join(x + bytes(-len(x) % 8) for x in raw), np.uint8))
+
+
+def _coded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row its number among the most usual rows, 255 for any other, and these rows."""
+    width = counts.shape[1]
+    if width == 1:
+        return np.minimum(counts[:, 0], 255).astype(np.uint8), np.arange(255)[:, None]
+    bits = 64 // width
+    fits = np.flatnonzero((counts < 1 << bits).all(axis=1))
+    packed = np.zeros(len(fits), np.uint64)
+    for k in range(width):
+        packed |= counts[fits, k].astype(np.uint64) << np.uint64(bits * k)
+    _, one, group, times = np.unique(packed, return_index=True, return_inverse=True, return_counts=True)
+    most = np.argsort(-times, kind="stable")[:255]
+    number = np.full(len(one), 255, np.uint8)
+    number[most] = np.arange(len(most))
+    codes = np.full(len(counts), 255, np.uint8)
+    codes[fits] = number[group]
+    return codes, counts[fits[one[most]]].astype(np.int64)
+
+
+class _Bucket:
+    """A stored bucket, mapped into memory."""
+
+    def __init__(self, folder: str, kind: str, name: int, width: int) -> None:
+        self.raw, self.at = _load(folder, f"{kind}{name}").view(np.ndarray), 0
+        self.n, self.bits, item, usual, rows, size = self._next("<i8", 6).tolist()
+        self.starts = self._next(f"<i{item}", (1 << self.bits) + 1)
+        self.middle, self.last = self._next("<u4", self.n), self._next("u1", self.n)
+        self.codes, self.usual = self._next("u1", self.n), np.zeros((256, width), np.int64)
+        self.usual[:usual] = self._next("<i8", usual * width).reshape(-1, width)
+        self.large = self._next("<u4" if size == 4 else "<i8", rows * (width + 1)).reshape(-1, width + 1)
+
+    def _next(self, kind: str, n: int) -> np.ndarray:
+        size = n * np.dtype(kind).itemsize
+        part = self.raw[self.at : self.at + size].view(kind)
+        self.at += size + -size % 8
+        return part
+
+    def _rest(self, at: np.ndarray) -> np.ndarray:
+        return self.middle[at].astype(np.uint64) << np.uint64(8) | self.last[at]
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are here, and where."""
+        if not self.n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cell = (key >> np.uint64(64 - self.bits)).astype(np.int64)
+        want = key >> np.uint64(24 - self.bits) & _BITS40
+        lo, end = (self.starts[c] + _even(c, self.n, self.bits) for c in (cell, cell + 1))
+        hi, last = end, self.n - 1
+        while (open_ := lo < hi).any():
+            middle = (lo + hi) >> 1
+            below = self._rest(np.minimum(middle, last)) < want
+            lo, hi = np.where(open_ & below, middle + 1, lo), np.where(open_ & ~below, middle, hi)
+        hit = np.flatnonzero((lo < end) & (self._rest(np.minimum(lo, last)) == want))
+        return hit, lo[hit]
+
+    def read(self, at: np.ndarray) -> np.ndarray:
+        codes = self.codes[at]
+        out = self.usual[codes]
+        if len(full := np.flatnonzero(codes == 255)):
+            out[full] = self.large[np.searchsorted(self.large[:, 0], at[full]), 1:]
+        return out
 
 
 def _counts(folder: str, kind: str, present: np.ndarray, bucket: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
@@ -193,27 +280,15 @@ def _counts(folder: str, kind: str, present: np.ndarray, bucket: np.ndarray, key
     out = np.zeros((len(key), width), np.int64)
     order = np.lexsort((key, bucket))
     order = order[present[bucket[order]]]
-    for name, hit, at in _lookup(folder, kind, bucket[order], key[order]):
-        n = np.asarray(_load(folder, f"{kind}n{name}")[at]).astype(np.int64)
-        if len(full := np.flatnonzero((n == 255).any(axis=1))):
-            rows = _load(folder, f"{kind}o{name}")
-            n[full] = rows[np.searchsorted(rows[:, 0], at[full]), 1:]
-        out[order[hit]] = n
-    return out
-
-
-def _lookup(folder: str, kind: str, bucket: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each bucket: which asked keys are there, and where. Keys are sorted by bucket, then by value."""
-    if not len(bucket):
-        return
+    if not len(order):
+        return out
+    bucket, key = bucket[order], key[order]
     edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     for lo, hi in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
-        have = _load(folder, f"{kind}{bucket[lo]}")
-        if not len(have):
-            continue
-        at = np.minimum(np.searchsorted(have, key[lo:hi]), len(have) - 1)
-        hit = np.flatnonzero(have[at] == key[lo:hi])
-        yield int(bucket[lo]), lo + hit, at[hit]
+        have = _Bucket(folder, kind, int(bucket[lo]), width)
+        hit, at = have.find(key[lo:hi])
+        out[order[lo + hit]] = have.read(at)
+    return out
 
 
 @dataclass
@@ -256,17 +331,23 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     docs = docs.select("doc_id", "text")
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbering = TaskContext.get().partitionId() < NUMBERING_TASKS
         for _, tokens, _, starts in token_runs(batches):
             word, count = np.unique(tokens, return_counts=True)
             most = count >= max(2, len(tokens) // (8 * LEAST_BUCKETS))
+            if numbering:
+                most[np.argsort(-count, kind="stable")[:NUMBERED]] = True
+                numbering = False
             yield pa.RecordBatch.from_arrays([pa.array(np.append(word[most], START).view(np.int64)), pa.array(np.append(count[most], len(starts) - 1)), pa.array(np.append(np.zeros(most.sum(), np.int64), len(tokens)))], names=["word", "count", "tokens"])
 
-    seen = docs.mapInArrow(frequent, "word long, count long, tokens long").groupBy("word").agg(F.sum("count").alias("count"), F.sum("tokens").alias("tokens")).collect()  # a few hundred words a task
-    total = sum(r["tokens"] for r in seen)
+    seen = docs.mapInArrow(frequent, "word long, count long, tokens long").groupBy("word").agg(F.sum("count").alias("count"), F.sum("tokens").alias("tokens"))
+    seen = seen.orderBy(F.col("word") != int(START), F.desc("count"), "word").limit(NUMBERED).toPandas()  # START has the tokens
+    total, often = int(seen["tokens"].sum()), seen["word"].to_numpy(np.int64).view(np.uint64)
     buckets = max(LEAST_BUCKETS, total // BUCKET_TOKENS)
-    spread = np.sort(np.array([r["word"] for r in seen if r["count"] * 4 * buckets >= total], np.int64).view(np.uint64))
+    spread = np.sort(often[seen["count"].to_numpy(np.int64) * 4 * buckets >= total])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _numbers(often)
         for _, word, before, texts in token_runs(batches):
             first = earlier(before, texts, order)
             by, starts = _grouped(first, word, before)
@@ -278,18 +359,15 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
             first, word, before, n = first[by], word[by], before[by], n[by]
             names, at = np.unique(bucket[by], return_index=True)
             edges = np.append(at, len(by))
-            blobs: list[list[bytes]] = [[], [], [], [], [], []]
+            blobs: list[bytes] = []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 v, w = before[lo:hi], word[lo:hi]
                 pairs = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
                 runs = np.flatnonzero(np.append(True, v[pairs][1:] != v[pairs][:-1]))
-                blobs[0].append(_pack48(v[pairs[runs]]))
-                blobs[1].append(_pack_counts(np.diff(np.append(runs, len(pairs)))))
-                blobs[2].append(_pack48(w[pairs]))
-                blobs[3].append(_pack_counts(np.diff(np.append(pairs, hi - lo))))
-                blobs[4].append(_pack48(first[lo:hi]) if order == 3 else b"")
-                blobs[5].append(_pack_counts(n[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(b, pa.binary()) for b in blobs]], names=["bucket", *PARTS])
+                words = [v[pairs[runs]], w[pairs], first[lo:hi] if order == 3 else first[:0]]
+                counts = [np.diff(np.append(runs, len(pairs))), np.diff(np.append(pairs, hi - lo)), n[lo:hi]]
+                blobs.append(_pack_ngrams(words, counts, number))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], names=["bucket", "ngrams"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         about: list[np.ndarray] = []
@@ -298,7 +376,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         for b in batches:
             for k in range(b.num_rows):
                 name = int(b.column("bucket")[k].as_py())
-                first, before, word, n = (np.concatenate(c) for c in zip(*[_ngrams_of(p) for p in b.column("parts")[k].as_py()], strict=True))
+                first, before, word, n = (np.concatenate(c) for c in zip(*[_ngrams_of(p, often) for p in b.column("parts")[k].as_py()], strict=True))
                 by, starts = _grouped(first, word, before)
                 n = np.add.reduceat(n[by], starts)
                 by = by[starts]
@@ -324,6 +402,8 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
                 _save_counts(folder, "c", name, found["word"][~partial], found["f"][~partial, :4])
                 contexts.append(found[partial])
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - name]), pa.array([np.array([(x == c).sum() for x in (n, kinds) for c in (1, 2, 3, 4)], "<i8").tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["bucket", "facts", "contexts"])
+                if len(about) >= HELD_PARTS:
+                    about = [_summed(about)]
                 held += len(word)
                 if held >= 2 * STEP_TOKENS:
                     yield _dealt(about, contexts, buckets)
@@ -341,15 +421,14 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
                     found = _summed([_contexts_of(p["contexts"]) for p in parts])
                     _save_counts(folder, "p", name, found["word"], found["f"][:, :4])
                     facts = _summed([_facts_of(p["facts"]) for p in parts])
-                    _save(folder, f"w{name}", facts["word"])
-                    _save(folder, f"wf{name}", facts["f"].astype(np.uint32) if not len(facts) or facts["f"].max() < 1 << 32 else facts["f"])
+                    _save_counts(folder, "w", name, _word_key(facts["word"]), facts["f"])
                     real = facts[facts["f"][:, 0] > 0]
                     cont = real["f"][:, 1]
                     row = [*[0] * 8, int(real["f"][:, 0].sum()), len(real), int(cont.sum()), *[int((cont == c).sum()) for c in (1, 2, 3, 4)], int((cont >= 3).sum())]
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([row], pa.list_(pa.int64()))], names=["bucket", "sums"])
 
-    packed = docs.mapInArrow(count, f"bucket long, {', '.join(f'{p} binary' for p in PARTS)}")
-    merged = packed.groupBy("bucket").agg(F.collect_list(F.struct(*PARTS)).alias("parts")).mapInArrow(merge, "bucket long, facts binary, contexts binary")
+    packed = docs.mapInArrow(count, "bucket long, ngrams binary")
+    merged = packed.groupBy("bucket").agg(F.collect_list("ngrams").alias("parts")).mapInArrow(merge, "bucket long, facts binary, contexts binary")
     done = merged.groupBy("bucket").agg(F.collect_list(F.struct("facts", "contexts")).alias("parts")).mapInArrow(finish, "bucket long, sums array<long>")
     rows = done.collect()  # two a bucket
     sums = np.sum([r["sums"] for r in rows], axis=0) if rows else np.zeros(16, np.int64)
@@ -362,17 +441,64 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     return Model(folder, order, buckets, written, summed, spread, tokens, words, bigrams, _discounts(sums[:4]), _discounts(sums[4:8]), lower, left)
 
 
-#: What a task sends of a bucket: words before the last and how many bigrams begin with each, last words and how many n-grams end with each bigram, first words, counts.
-PARTS = ("before", "runs", "word", "ends", "first", "n")
+def _numbers(often: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that gives words their numbers; of words that share a place the more frequent has one."""
+    place = lambda x: (x & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    at = place(often)[::-1]
+    words, numbers = np.zeros(1 << PLACE_BITS, np.uint64), np.full(1 << PLACE_BITS, NUMBERED, "<u2")
+    words[at], numbers[at] = often[::-1], np.arange(len(often))[::-1]
+
+    def number(x: np.ndarray) -> np.ndarray:
+        at = place(x)
+        return np.where(words[at] == x, numbers[at], np.uint16(NUMBERED))
+
+    return number
+
+
+def _framed(parts: list[bytes]) -> bytes:
+    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
 
 
-def _ngrams_of(part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unframed(blob: bytes) -> list[bytes]:
+    sizes = np.frombuffer(blob, "<u4", int(np.frombuffer(blob, "<u4", 1)[0]), 4).tolist()
+    at = np.cumsum([4 + 4 * len(sizes), *sizes]).tolist()
+    return [blob[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def _squeezed(b: bytes) -> bytes:
+    """Compressed, or as it is where that is shorter, behind its length."""
+    small = pa.compress(b, codec="zstd", asbytes=True) if b else b
+    return len(b).to_bytes(4, "little") + (small if len(small) < len(b) else b)
+
+
+def _whole(b: bytes) -> bytes:
+    n = int.from_bytes(b[:4], "little")
+    return b[4:] if len(b) - 4 == n else pa.decompress(b[4:], decompressed_size=n, codec="zstd", asbytes=True)
+
+
+def _pack_ngrams(words: list[np.ndarray], counts: list[np.ndarray], number: Callable[[np.ndarray], np.ndarray]) -> bytes:
+    """What a task sends of a bucket: words before the last, last words of their bigrams and first words of n-grams; how many bigrams begin with each of the first, how many n-grams end with each bigram, and counts."""
+    numbers = [number(w) for w in words]
+    low, high = ([(x >> shift).astype(np.uint8).tobytes() for x in numbers] for shift in (np.uint16(0), np.uint16(8)))
+    rest = [_pack48(w[x == NUMBERED]) for w, x in zip(words, numbers, strict=True)]
+    return _framed([*low, *rest, _squeezed(b"".join(high)), *[_squeezed(_pack_counts(c)) for c in counts]])
+
+
+def _ngrams_of(blob: bytes, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First words, words before the last, last words and counts."""
-    before, word = _unpack48(part["before"]), _unpack48(part["word"])
-    runs, ends = _unpack_counts(part["runs"], len(before)), _unpack_counts(part["ends"], len(word))
-    n = _unpack_counts(part["n"], int(ends.sum()))
-    first = _unpack48(part["first"]) if part["first"] else np.zeros(len(n), np.uint64)
-    return first, np.repeat(np.repeat(before, runs), ends), np.repeat(word, ends), n
+    parts = _unframed(blob)
+    high, at, words = np.frombuffer(_whole(parts[6]), np.uint8), 0, []
+    for low, rest in zip(parts[:3], parts[3:6], strict=True):
+        low = np.frombuffer(low, np.uint8)
+        number = high[at : at + len(low)].astype(np.int64) << 8 | low
+        at += len(low)
+        word = often[np.minimum(number, len(often) - 1)]
+        word[number == NUMBERED] = _unpack48(rest)
+        words.append(word)
+    before, word, first = words
+    runs, ends = _unpack_counts(_whole(parts[7]), len(before)), _unpack_counts(_whole(parts[8]), len(word))
+    n = _unpack_counts(_whole(parts[9]), int(ends.sum()))
+    return first if len(first) else np.zeros(len(n), np.uint64), np.repeat(np.repeat(before, runs), ends), np.repeat(word, ends), n
 
 
 _FACT = np.dtype([("word", "<u8"), ("f", "<i8", (6,))])
@@ -399,23 +525,17 @@ def _packed(x: np.ndarray, bucket: np.ndarray, buckets: int, columns: int, wide:
     by = np.argsort(bucket, kind="stable")
     out = []
     for part in np.split(x[by], np.searchsorted(bucket[by], np.arange(1, buckets))):
-        packed = [_pack_counts(part["f"][:, k]) for k in range(columns)]
-        out.append(np.array([len(part), *map(len, packed)], "<u4").tobytes() + (part["word"].tobytes() if wide else _pack48(part["word"])) + b"".join(packed) if len(part) else b"")
+        packed = _framed([_pack_counts(part["f"][:, k]) for k in range(columns)])
+        out.append(_framed([part["word"].tobytes() if wide else _pack48(part["word"]), _squeezed(packed)]) if len(part) else b"")
     return out
 
 
-def _unpacked(blob: bytes, columns: int, wide: bool) -> np.ndarray:
+def _unpacked(blob: bytes, wide: bool) -> np.ndarray:
     if not blob:
         return np.zeros(0, _FACT)
-    at = 4 * (columns + 1)
-    n, *sizes = np.frombuffer(blob[:at], "<u4").astype(int)
-    names = blob[at : at + (8 if wide else 6) * n]
-    at += len(names)
-    found = []
-    for size in sizes:
-        found.append(_unpack_counts(blob[at : at + size], n))
-        at += size
-    return _facts(np.frombuffer(names, "<u8") if wide else _unpack48(names), found)
+    names, packed = _unframed(blob)
+    word = np.frombuffer(names, "<u8") if wide else _unpack48(names)
+    return _facts(word, [_unpack_counts(c, len(word)) for c in _unframed(_whole(packed))])
 
 
 def _dealt(about: list[np.ndarray], contexts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
@@ -427,22 +547,20 @@ def _dealt(about: list[np.ndarray], contexts: list[np.ndarray], buckets: int) ->
 
 
 def _facts_of(blob: bytes) -> np.ndarray:
-    return _unpacked(blob, 6, False)
+    return _unpacked(blob, False)
 
 
 def _contexts_of(blob: bytes) -> np.ndarray:
-    return _unpacked(blob, 4, True)
+    return _unpacked(blob, True)
+
+
+def _word_key(words: np.ndarray) -> np.ndarray:
+    return words << np.uint64(16)
 
 
 def _word_facts(model: Model, words: np.ndarray) -> np.ndarray:
     """count, words before, followers after one, two, more others, and all such pairs; of distinct words."""
-    out = np.zeros((len(words), 6), np.int64)
-    bucket = word_bucket(words, model.buckets)
-    order = np.lexsort((words, bucket))
-    order = order[model.summed[bucket[order]]]
-    for name, hit, at in _lookup(model.folder, "w", bucket[order], words[order]):
-        out[order[hit]] = _load(model.folder, f"wf{name}")[at]
-    return out
+    return _counts(model.folder, "w", model.summed, word_bucket(words, model.buckets), _word_key(words), 6)
 
 
 def _context_facts(model: Model, first: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -455,18 +573,21 @@ def _context_facts(model: Model, first: np.ndarray, before: np.ndarray) -> np.nd
 
 
 def log_probabilities(model: Model, word: np.ndarray, before: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 p(word | first, before) of every token, and the words' training counts."""
-    names, at = np.unique(np.concatenate([word, before]), return_inverse=True)
+    """log10 p(word | first, before) of every token of some whole texts, and the words' training counts."""
+    # words before are the words one place on, or START
+    names, w = np.unique(np.append(word, START), return_inverse=True)
+    v = np.append(w[-1:], w[:-2])
+    v[before == START] = w[-1]
+    w = w[:-1]
     facts = _word_facts(model, names)
-    w, v = at[: len(word)], at[len(word) :]
     low = model.lower_discounts
     cont = facts[:, 1]
     base = np.full(len(names), 1.0)
     if model.bigrams:
         base = np.where(cont > 0, cont - low[np.minimum(cont, 3)], 0) / model.bigrams + model.lower_left / model.bigrams / (model.words + 1)
 
-    def level(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, d: np.ndarray, below: np.ndarray) -> np.ndarray:
-        return np.where(total > 0, (np.maximum(n - d[np.minimum(n, 3)], 0) + kinds @ d[1:] * below) / np.maximum(total, 1), below)
+    def level(n: np.ndarray, total: np.ndarray, left: np.ndarray, d: np.ndarray, below: np.ndarray) -> np.ndarray:
+        return np.where(total > 0, (np.maximum(n - d[np.minimum(n, 3)], 0) + left * below) / np.maximum(total, 1), below)
 
     key, one, group = np.unique(trigram_key(first, before, word), return_index=True, return_inverse=True)
     u, b, x = first[one], before[one], word[one]
@@ -474,12 +595,14 @@ def log_probabilities(model: Model, word: np.ndarray, before: np.ndarray, first:
     if model.order == 3:
         pair, where, back = np.unique(bigram_key(b, x), return_index=True, return_inverse=True)
         n = _counts(model.folder, "b", model.written, bucket[where], pair, 1)[:, 0]
-        about = facts[v[one]]
-        p = level(n[back], about[:, 5], about[:, 2:5], model.middle_discounts, p)
+        left = facts[:, 2:5] @ model.middle_discounts[1:]
+        p = level(n[back], facts[v[one], 5], left[v[one]], model.middle_discounts, p)
+        del pair, where, back, left
     _, where, back = np.unique(bigram_key(u, b), return_index=True, return_inverse=True)
-    context = _context_facts(model, u[where], b[where])[back]
+    context = _context_facts(model, u[where], b[where])
+    total, left = context[:, 0][back], (context[:, 1:] @ model.discounts[1:])[back]
     n = _counts(model.folder, "t", model.written, bucket, key, 1)[:, 0]
-    return np.log10(level(n, context[:, 0], context[:, 1:], model.discounts, p))[group], facts[w, 0]
+    return np.log10(level(n, total, left, model.discounts, p))[group], facts[w, 0]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -489,7 +612,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     scale = np.log10(model.tokens + model.words + 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, word, before, starts in token_runs(batches):
+        for ids, word, before, starts in token_runs(batches, SCORED_TOKENS):
             logs, count = log_probabilities(model, word, before, earlier(before, starts, model.order))
             first = starts[:-1]
             yield pa.RecordBatch.from_arrays(
