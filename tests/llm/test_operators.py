@@ -365,6 +365,25 @@ def test_lm_read_errors_fail(spark, tmp_path):
         lm.score(docs, model).collect()
 
 
+def test_jaccard_lists_move_once_for_their_families(spark, tmp_path):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(t, k, 20 + k % 3, p, 1) for t in range(6) for p, k in enumerate(range(t, t + 8))]
+        lists = spark.createDataFrame(rows, "token long, key long, n int, pos int, lead long")
+        families = spark.createDataFrame([(2, 1), (1, 1)], "node long, root long")
+        found = jaccard._across(lists, families, str(tmp_path), 50)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["a"], r["b"]) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    # four sides of joins among blocks, of which three are one, two sides of both joins with the lists, and the candidates
+    assert plan.count("Exchange hashpartitioning") <= 9 and "Generate" not in plan
+    shared = Counter((a, b) for t in range(6) for a in range(t, t + 8) for b in range(a + 1, t + 8))
+    own = lambda n, m: -(-50 * max(n, m) // 100)
+    assert got and got == {(a, b) for (a, b), c in shared.items() if {a, b} != {1, 2} and c > -(-50 * (40 + a % 3 + b % 3) // 150) - own(20 + a % 3, 20 + b % 3)}
+
+
 def test_lm_stored_buckets(tmp_path):
     rng = np.random.default_rng(5)
     for n in (0, 1, 7, 5000, 70_000):

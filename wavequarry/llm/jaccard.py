@@ -236,33 +236,36 @@ def _needs(n: str, m: str, percent: int):  # noqa: ANN202
     return F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / (100 + percent) - F.lit(1e-9))
 
 
-def _across(lists: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+def _across(lists: DataFrame, families: DataFrame, folder: str, percent: int) -> DataFrame:
     """Candidate pairs of different families, by blocks of the lists.
 
     With k the share t of the larger set, shared shingles at positions up to n - k and m - k are all listed. What two sets
     share beyond the earlier end of these positions is less than k, so that sets which need an overlap of k + x have more
-    than x such shingles in common.
+    than x such shingles in common. Blocks go by a hash of their token, size and family; should two share one, that adds candidates.
     """
 
     def own(n: str, m: str):  # noqa: ANN202
         return F.ceil(F.lit(percent) * F.greatest(n, m) / 100 - F.lit(1e-9))
 
     rows = lists.select("token", "key", "n", "pos").join(families.select(F.col("node").alias("key"), F.col("root").alias("family")), "key", "left").withColumn("family", F.coalesce("family", "key"))
-    rows = rows.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int"))
-    blocks = rows.groupBy("token", "size", "family").agg(F.min("pos").alias("pos"), F.max("n").alias("most"), F.min("n").alias("least"))
-    near = blocks.select("token", "size", F.col("family").alias("f"), F.col("pos").alias("p"), F.col("most").alias("mo"), F.col("least").alias("le"))
-    other = near.withColumn("size2", F.col("size")).withColumn("size", F.explode(F.array(F.col("size"), F.col("size") - 1)))
-    pairs = (
-        blocks.join(other, ["token", "size"])
-        .where("family <> f and (size < size2 or family < f)")
-        .where(F.least(F.col("most") - F.col("pos"), F.col("mo") - F.col("p")) >= own("least", "le"))
-        .select("token", "size", "family", "size2", "f")
-    )
-    one = rows.select("token", "size", "family", F.col("key").alias("a"), "n", "pos")
-    two = rows.select("token", F.col("size").alias("size2"), F.col("family").alias("f"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("p"))
+    # stored, so that the lists are joined with their families once and not for each of their three uses
+    rows = stored(rows.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")), folder, "rows")
+    blocks = stored(rows.groupBy("token", "size", "family").agg(F.min("pos").alias("pos"), F.max("n").alias("most"), F.min("n").alias("least")), folder, "blocks")
+    x, y = blocks.alias("x"), blocks.alias("y")
+    token = F.col("x.token") == F.col("y.token")
+    late = F.least(F.col("x.most") - F.col("x.pos"), F.col("y.most") - F.col("y.pos")) >= own("x.least", "y.least")
+    ends = [F.xxhash64(*[F.col(f"{side}.{c}") for c in ("token", "size", "family")]).alias(name) for side, name in (("x", "one"), ("y", "two"))]
+    # three of the four sides of these joins are dealt alike, and move once
+    level = x.join(y, token & (F.col("x.size") == F.col("y.size"))).where((F.col("x.family") < F.col("y.family")) & late).select(ends)
+    above = x.join(y, token & (F.col("x.size") + 1 == F.col("y.size"))).where((F.col("x.family") != F.col("y.family")) & late).select(ends)
+    pairs = level.unionByName(above)
+    block = F.xxhash64("token", "size", "family")
+    one = rows.select(block.alias("one"), F.col("key").alias("a"), "n", "pos")
+    two = rows.select(block.alias("two"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("p"))
     return (
-        pairs.join(one, ["token", "size", "family"])
-        .join(two, ["token", "size2", "f"])
+        pairs.join(one, "one")
+        .join(two, "two")
+        .where("a <> b")
         .where(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("p")) >= own("n", "m"))
         .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .agg(F.count("*").alias("shared"), F.max(_needs("n", "m", percent) - own("n", "m")).alias("beyond"))
@@ -359,9 +362,9 @@ def _families(lists: DataFrame, classes: DataFrame, folder: str, percent: int) -
     eased = stored(join_hot(stars, busy, "b", "left").where("reach or kin is not null").select("a", "b", F.when(F.col("kin").isNotNull(), EASE).otherwise(1.0).alias("ease")), folder, "eased")
     similar = stored(_possible(eased, classes, percent), folder, "similar")
     first = stored(components(similar, f"{folder}/first"), folder, "families1")
-    pairs = stored(_across(lists, first, percent), folder, "pairs")
+    pairs = stored(_across(lists, first, folder, percent), folder, "pairs")
     across = stored(_possible(pairs, classes, percent), folder, "across")
-    discard(lists.sparkSession, folder, "stars", "eased", "pairs")
+    discard(lists.sparkSession, folder, "stars", "eased", "rows", "blocks", "pairs")
     return similar.unionByName(across), first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across)
 
 
