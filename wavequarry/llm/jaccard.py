@@ -250,6 +250,7 @@ def _across(lists: DataFrame, families: DataFrame, folder: str, percent: int) ->
     rows = lists.select("token", "key", "n", "pos").join(families.select(F.col("node").alias("key"), F.col("root").alias("family")), "key", "left").withColumn("family", F.coalesce("family", "key"))
     # stored, so that the lists are joined with their families once and not for each of their three uses
     rows = stored(rows.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")), folder, "rows")
+    discard(lists.sparkSession, folder, "lists")  # nothing reads them any more
     blocks = stored(rows.groupBy("token", "size", "family").agg(F.min("pos").alias("pos"), F.max("n").alias("most"), F.min("n").alias("least")), folder, "blocks")
     x, y = blocks.alias("x"), blocks.alias("y")
     token = F.col("x.token") == F.col("y.token")
@@ -330,7 +331,7 @@ def linked_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
     similar, edges = _families(lists, classes, folder, percent)
     families = stored(components(edges, f"{folder}/second"), folder, "families")
-    discard(spark, folder, "lists", "first", "second")
+    discard(spark, folder, "first", "second")
     links = _links(docs, classes, families, similar, folder, size, percent)
     roots = stored(components(links, f"{folder}/third"), folder, "roots")
     known = stored(classes.select("key", "doc_id").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")), folder, "known")
