@@ -46,3 +46,24 @@ def test_onset_chain(spark, recording):
     assert analysis.summary(aligned).count() == 33
     with pytest.raises(Exception, match="fewer than 8 baseline windows: N4"):
         analysis.scores(features, onsets.withColumn("onset", F.lit(2.0)), propagation=False).collect()
+
+
+def test_wide_scores_give_what_long_ones_do_with_few_passes(spark):
+    wide = spark.range(40).selectExpr("id % 2 record", "id % 4 channel", "id % 4 position", "id div 4 step", "0.5 + (id div 4) * 0.5 t", "3.0d onset", "id < 20 baseline", "cast(hash(id) as double) log_rms", "if(id % 3 = 0 or id div 4 = 2, null, id / 7d) lagged_outflow")
+    long = analysis.long_scores(wide)
+    official = spark.createDataFrame([(0, 0), (1, 3)], "record long, channel long")
+    noise = spark.createDataFrame([(0, 2, 25.0)], "record long, channel long, line50 double")
+    clean = analysis.clean_channels(long, noise).withColumn("clean", F.col("channel") != 2)
+    rows = lambda x: sorted(map(repr, x.select(sorted(x.columns)).collect()))
+    assert rows(analysis.trajectories(wide, clean)) == rows(analysis.trajectories(long, clean))
+    assert rows(analysis.channel_responses(wide, official)) == rows(analysis.channel_responses(long, official))
+    every = clean.withColumn("clean", F.lit(True))
+    assert rows(analysis.trajectories(wide, None)) == rows(analysis.trajectories(long, every))
+    raw = long.groupBy("record", "feature", "step").agg(F.percentile("score", 0.9).alias("p"), analysis._upper(F.col("score")).alias("q"))
+    assert raw.where("not p <=> q").count() == 0 and raw.where("q is null").count() > 0
+
+    windows = spark.range(80).selectExpr("id % 2 record", "id % 4 channel", "id % 4 position", "id div 4 step", "0.5 + (id div 4) * 0.5 t", *[f"cast(hash(id, {k}) as double) {n}" for k, n in enumerate(spectra.FEATURES)])
+    onsets = spark.createDataFrame([(0, 8.0), (1, 8.0)], "record long, onset double")
+    plan = analysis.scores(windows, onsets, propagation=False)._jdf.queryExecution().optimizedPlan().toString()
+    # two passes over a channel; nothing needs all windows of a record in one task
+    assert sum(line.lstrip("+-: |").startswith("Window ") for line in plan.splitlines()) == 2

@@ -6,19 +6,21 @@ onsets: record, onset in seconds, one row a record. Records without an onset are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavequarry.functions import robust
 from wavequarry.operators import evaluation, network, spectra
-from wavequarry.operators.onset import zscores
+from wavequarry.operators.onset import zscores_of
 
 #: Features of which a fall counts like a rise; seconds of a window, and of what follows the onset or surrounds it.
 TWO_SIDED = ("rms_change", "spectral_entropy_change")
 WINDOW, EARLY, SEARCH_BEFORE, SEARCH_AFTER, AROUND = 0.5, 2.0, 1.0, 3.0, 5.0
 #: Channels of an official list, decibels from which mains noise is severe, and clean channels that a record needs.
 TOP, SEVERE, LEAST_CLEAN = 10, 20.0, 10
+#: Columns of wide scores that are not scores.
+KEPT = ["record", "channel", "position", "step", "t", "onset", "baseline"]
 COMPOSITES = ["multiband_fast_activity", "fast_suppression_joint", "physiology_composite"]
 
 
@@ -29,8 +31,7 @@ def scores(features: DataFrame, onsets: DataFrame, propagation: bool = True) ->
     """
     x = features.join(onsets, "record").withColumn("time", F.col("t"))
     x = evaluation.baseline_windows(x, F.col("onset"), WINDOW).drop("time")
-    for name in spectra.FEATURES:
-        x = zscores(x, ["record", "channel"], name, F.col("baseline")).drop(name).withColumnRenamed("z", name)
+    x = zscores_of(x, ["record", "channel"], list(spectra.FEATURES), F.col("baseline"))
     z = {name: F.col(name) for name in spectra.FEATURES}
     up = lambda c: F.greatest(c, F.lit(0.0))
     multiband = F.sort_array(F.array(z["beta_power"], z["low_gamma_power"], z["high_gamma_power"]))[1]
@@ -48,18 +49,30 @@ def scores(features: DataFrame, onsets: DataFrame, propagation: bool = True) ->
 
 def long_scores(wide: DataFrame) -> DataFrame:
     """A row for each score, with its name as ``feature`` and ``early``: whether the window ends in the two seconds from the onset on."""
-    kept = ["record", "channel", "position", "step", "t", "onset", "baseline"]
-    early = (F.col("t") >= F.col("onset")) & (F.col("t") <= F.col("onset") + EARLY)
-    return wide.unpivot(kept, [c for c in wide.columns if c not in kept], "feature", "score").withColumn("early", early)
+    return wide.unpivot(KEPT, _score_names(wide), "feature", "score").withColumn("early", _early())
 
 
-def channel_responses(long: DataFrame, official: DataFrame) -> DataFrame:
+def _early() -> Column:
+    return (F.col("t") >= F.col("onset")) & (F.col("t") <= F.col("onset") + EARLY)
+
+
+def _score_names(wide: DataFrame) -> list[str]:
+    return [c for c in wide.columns if c not in KEPT]
+
+
+def channel_responses(scores: DataFrame, official: DataFrame) -> DataFrame:
     """record, feature, feature_scope, channel, early_response, official_top10, response_rank for features that rank channels.
 
-    official: record, channel. Equal responses rank in the order of their channels.
+    scores: long, or wide as ``scores`` gives them, which moves a row a channel instead of one a score. official: record,
+    channel. Equal responses rank in the order of their channels.
     """
-    x = long.withColumn("feature_scope", evaluation.scope(F.col("feature"))).where("feature_scope <> 'global_propagation'")
-    x = x.groupBy("record", "feature", "feature_scope", "channel", "position").agg(F.max(F.when(F.col("early"), F.col("score"))).alias("early_response"))
+    keys = ["record", "channel", "position"]
+    if "feature" in scores.columns:
+        x = scores.groupBy(*keys, "feature").agg(F.max(F.when(F.col("early"), F.col("score"))).alias("early_response"))
+    else:
+        names = _score_names(scores)
+        x = scores.groupBy(*keys).agg(*[F.max(F.when(_early(), F.col(n))).alias(n) for n in names]).unpivot(keys, names, "feature", "early_response")
+    x = x.withColumn("feature_scope", evaluation.scope(F.col("feature"))).where("feature_scope <> 'global_propagation'")
     x = x.join(official.select("record", "channel").distinct().withColumn("named", F.lit(True)), ["record", "channel"], "left")
     order = W.partitionBy("record", "feature").orderBy(F.desc("early_response"), "position")
     return x.select("record", "feature", "feature_scope", "channel", "early_response", F.coalesce("named", F.lit(False)).alias("official_top10"), F.row_number().over(order).alias("response_rank"))
@@ -75,18 +88,44 @@ def clean_channels(long: DataFrame, noise: DataFrame | None) -> DataFrame:
     return x.select("record", "channel", (F.col("quiet") | (left < LEAST_CLEAN)).alias("clean"))
 
 
-def trajectories(long: DataFrame, clean: DataFrame) -> DataFrame:
-    """record, feature, channel_set (all, line_clean), step, t, onset, baseline, early, channels_used, level (median-filtered 0.9 quantile over channels) and rise a second."""
-    x = long.join(clean, ["record", "channel"])
-    both = F.when(F.col("clean") & (evaluation.family(F.col("feature")) != "propagation"), F.array(F.lit("all"), F.lit("line_clean"))).otherwise(F.array(F.lit("all")))
-    x = x.withColumn("channel_set", F.explode(both))
-    keys = ["record", "feature", "channel_set"]
-    g = x.groupBy(*keys, "step", "t", "onset", "baseline", "early").agg(F.percentile("score", 0.9).alias("raw"), F.count("*").alias("channels_used"))
-    order = W.partitionBy(*keys).orderBy("step")
+def trajectories(scores: DataFrame, clean: DataFrame | None) -> DataFrame:
+    """record, feature, channel_set (all, line_clean), step, t, onset, baseline, early, channels_used, level (median-filtered 0.9 quantile over channels) and rise a second.
+
+    scores: long, or wide as ``scores`` gives them, of which a row a window moves instead of one a score. clean: as
+    ``clean_channels`` gives it; None if all channels are.
+    """
+    alike = ["step", "t", "onset", "baseline", "early"]
+    long = "feature" in scores.columns
+
+    def levels(x: DataFrame, channel_set: str) -> DataFrame:
+        if long:
+            g = x.groupBy("record", "feature", *alike).agg(_upper(F.col("score")).alias("raw"), F.count("*").alias("channels_used"))
+        else:
+            g = x.withColumn("early", _early()).groupBy("record", *alike).agg(*[_upper(F.col(n)).alias(n) for n in names], F.count("*").alias("channels_used"))
+            g = g.unpivot(["record", *alike, "channels_used"], names, "feature", "raw")
+        return g.select("record", "feature", F.lit(channel_set).alias("channel_set"), *alike, "channels_used", "raw")
+
+    names = [] if long else _score_names(scores)
+    quiet = scores if clean is None else scores.join(clean.where("clean").select("record", "channel").distinct(), ["record", "channel"], "left_semi")
+    known = scores if clean is None else scores.join(clean.select("record", "channel").distinct(), ["record", "channel"], "left_semi")
+    g = levels(known, "all").unionByName(levels(quiet, "line_clean").where(evaluation.family(F.col("feature")) != "propagation"))
+    order = W.partitionBy("record", "feature", "channel_set").orderBy("step")
     g = g.withColumn("level", robust.median_filter3(F.col("raw"), order)).drop("raw")
     return g.withColumn("rise", (F.col("level") - F.lag("level").over(order)) / (F.col("t") - F.lag("t").over(order)))
 
 
+def _upper(score: Column) -> Column:
+    """``percentile(score, 0.9)`` of a group by its sorted values, which move as eight bytes each; null without values."""
+
+    def quantile(values: Column) -> Column:
+        at = F.lit(0.9) * (F.size(values) - 1)
+        low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+        a, b = F.get(values, low), F.get(values, high)
+        return F.when((low == high) | (a == b), a).otherwise((high - at) * a + (at - low) * b)
+
+    return F.transform(F.array(F.sort_array(F.collect_list(score))), quantile)[0]
+
+
 def alignment(tracks: DataFrame, responses: DataFrame) -> DataFrame:
     """One row a record, feature and channel set: time and error of the steepest rise around the onset, levels and contrast; for all channels also the overlap with the official ones and their enrichment."""
     f, t = F.col("level"), F.col("t")

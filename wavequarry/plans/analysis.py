@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from wavequarry.operators import analysis, spectra
 from wavequarry.plans.lookups import r6, table
+from wavequarry.sources import shared
 
 ALL = [*spectra.FEATURES, *analysis.COMPOSITES]
 
 
-def _long(spark, d):  # noqa: ANN001, ANN202
+def _scores(spark, d):  # noqa: ANN001, ANN202
     e = table(spark, d, "embeddings").where("size(embedding) > 0").select(F.col("label").alias("record"), F.col("vec_id").alias("channel"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    onsets = e.select("record").distinct().withColumn("onset", 5.0 + F.col("record") * 0.125)
     e = e.withColumns({"n": F.size("x"), "position": F.col("channel"), "step": F.explode(F.sequence(F.lit(0), F.size("x") - 1))})
     at = [F.col("x")[F.pmod(F.col("step") + k, F.col("n"))].alias(name) for k, name in enumerate(spectra.FEATURES)]
     features = e.select("record", "channel", "position", "step", (0.5 + F.col("step") * 0.125).alias("t"), *at)
-    onsets = e.select("record").distinct().withColumn("onset", 5.0 + F.col("record") * 0.125)
-    return analysis.long_scores(analysis.scores(features, onsets, propagation=False))
+    return analysis.scores(features, onsets, propagation=False)
 
 
 def _official(spark, d):  # noqa: ANN001, ANN202
@@ -28,14 +29,14 @@ def _official(spark, d):  # noqa: ANN001, ANN202
 
 def onset_channel_responses(spark, d):  # noqa: ANN001, ANN201
     """Early response of every channel to every score, its rank and whether it is among the record's official ten."""
-    x = analysis.channel_responses(_long(spark, d), _official(spark, d))
+    x = analysis.channel_responses(_scores(spark, d), _official(spark, d))
     return x.select("record", "feature", "channel", r6("early_response").alias("early_response"), "official_top10", "response_rank")
 
 
 def onset_alignment_scores(spark, d):  # noqa: ANN001, ANN201
     """Error of the steepest rise, levels, contrast, overlap and enrichment for each record and each of seventeen scores."""
-    long = _long(spark, d)
-    x = analysis.alignment(analysis.trajectories(long, analysis.clean_channels(long, None)), analysis.channel_responses(long, _official(spark, d))).where("channel_set = 'all'")
+    wide = shared.stored(_scores(spark, d), shared.folder(spark), "scores")  # both halves read them
+    x = analysis.alignment(analysis.trajectories(wide, None).where("channel_set = 'all'"), analysis.channel_responses(wide, _official(spark, d)))
     return x.select("record", "feature", "feature_scope", "peak_change_seconds", "absolute_timing_error_seconds", "channels_used", "top10_overlap", *[r6(c).alias(c) for c in ("baseline_level", "early_ictal_level", "early_contrast", "top10_enrichment")])
 
 
