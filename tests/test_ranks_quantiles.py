@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavequarry.operators import quantiles, ranks
+from wavequarry.plans import lookups
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +76,13 @@ def test_rank_composite_does_not_hang_on_the_order_of_rows(spark, tmp_path):
     spark.createDataFrame(rows).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = ordered.rank_composite(spark, str(tmp_path)).toPandas()
     assert len(got) == 60 and (got["rb"] == 30.5).all()
+
+
+def test_medians_apart_from_distinct_counts(spark, tmp_path):
+    rows = [("A", 1, 10.0), ("A", 1, 20.0), ("A", 2, 60000.0), (None, 3, 5.0), (None, None, 7.0), ("R", 4, None), ("N", 5, float("nan")), ("N", 5, 1.0), ("N", 6, 2.0)]
+    spark.createDataFrame(rows, "l_returnflag string, l_orderkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    x = lookups.group_summary_code(spark, str(tmp_path))
+    assert {(r.l_returnflag, r.n, r.orders, r.middle) for r in x.collect()} == {("A", 3, 2, 20.0), (None, 2, 1, 6.0), ("R", 1, 1, None), ("N", 3, 2, 2.0)}
+    # no aggregate keeps a median's values for each order
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "l_orderkey" in line and "percentile" in line]
