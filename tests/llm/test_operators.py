@@ -593,3 +593,16 @@ def test_toxicity_features_come_in_small_batches(spark, monkeypatch):
     toxicity.class_counts(found)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert [len(jobs.getJobInfo(j).stageIds) for j in jobs.getJobIdsForGroup("counts")] == [1]
+
+
+def test_toxicity_sums_reach_the_driver_as_arrow(spark, monkeypatch):
+    learned = spark.createDataFrame([(k % 2, [k % 2, 5, 9 + k]) for k in range(12)], "label int, buckets array<int>")
+
+    def refused(self):
+        raise AssertionError("sums of 2 MB became row objects")
+
+    monkeypatch.setattr(type(learned), "collect", refused)
+    total, seen = toxicity.class_counts(learned)
+    assert total.tolist() == [6, 6] and seen[:, :2].tolist() == [[6, 0], [0, 6]] and seen[:, 5].tolist() == [6, 6]
+    model = toxicity.fit(learned, toxicity.log_count_ratios(seen, total), 1.0)
+    assert model.weights[1] > model.weights[0]

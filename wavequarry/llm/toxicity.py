@@ -143,8 +143,8 @@ def class_counts(learned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["texts"])
 
     seen = np.zeros((2, BUCKETS + 1))
-    for r in learned.coalesce(TASKS).mapInArrow(count, "texts binary").collect():  # TASKS rows of 2 MB at most
-        seen += np.frombuffer(r["texts"], np.int32).reshape(2, -1)
+    for sums in learned.coalesce(TASKS).mapInArrow(count, "texts binary").toArrow().column("texts"):  # TASKS rows of 2 MB at most
+        seen += np.frombuffer(sums.as_buffer(), np.int32).reshape(2, -1)
     return seen[:, BUCKETS], seen[:, :BUCKETS]
 
 
@@ -176,12 +176,16 @@ def fit(learned: DataFrame, ratio: np.ndarray, weight: float, penalty: float = P
     def at(w: np.ndarray) -> tuple[float, np.ndarray]:
         w = w.astype(np.float32)
         sent = send(w)
-        parts = sorted(learned.coalesce(TASKS).mapInArrow(partial(slopes, sent=sent), "task long, loss double, slope binary").collect())  # TASKS rows of 2 MB at most
+        # as Arrow, TASKS rows of 2 MB at most: as row objects they would be copied several times over in the driver
+        parts = learned.coalesce(TASKS).mapInArrow(partial(slopes, sent=sent), "task long, loss double, slope binary").toArrow()
         sent.destroy(blocking=True)
         w = w.astype(float)
-        slope = np.sum([np.frombuffer(r["slope"]) for r in parts], axis=0)
+        loss, slope = 0.0, np.zeros(BUCKETS + 2)
+        for k in np.argsort(parts.column("task").to_numpy()).tolist():
+            loss += parts.column("loss")[k].as_py()
+            slope += np.frombuffer(parts.column("slope")[k].as_buffer())
         rows = slope[-1]
-        return sum(r["loss"] for r in parts) / rows + penalty / 2 * float(w[:-1] @ w[:-1]), slope[:-1] / rows + penalty * np.append(w[:-1], 0.0)
+        return loss / rows + penalty / 2 * float(w[:-1] @ w[:-1]), slope[:-1] / rows + penalty * np.append(w[:-1], 0.0)
 
     w = descend(at, np.zeros(BUCKETS + 1))
     ratios.destroy()
