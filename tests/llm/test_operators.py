@@ -606,3 +606,48 @@ def test_toxicity_sums_reach_the_driver_as_arrow(spark, monkeypatch):
     assert total.tolist() == [6, 6] and seen[:, :2].tolist() == [[6, 0], [0, 6]] and seen[:, 5].tolist() == [6, 6]
     model = toxicity.fit(learned, toxicity.log_count_ratios(seen, total), 1.0)
     assert model.weights[1] > model.weights[0]
+
+
+def test_batches_are_small_in_bytes_and_in_rows_read(docs):
+    conf = scratch.small_batches(docs).sparkSession.conf
+    assert int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 2 << 20
+    assert int(conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+
+
+def test_a_worker_drops_what_another_operator_kept():
+    """An encoder serves its own tasks only; lean tasks begin without it and return what they are given."""
+    made = []
+    assert scratch.kept("encoder", lambda: made.append(1) or "one") == scratch.kept("encoder", lambda: made.append(2) or "two") == "one" and made == [1]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], names=["n"])
+    seen = []
+
+    def work(batches, more):
+        seen.append(dict(scratch._held))
+        for b in batches:
+            yield b.slice(more)
+
+    assert [b.to_pydict() for b in scratch.lean(work)(iter([batch, batch]), more=1)] == 2 * [{"n": [2]}]
+    assert seen == [{}]
+    assert scratch.kept("encoder", lambda: "three") == "three" and scratch.kept("other", lambda: "four") == "four" and list(scratch._held) == ["other"]
+    scratch.drop_kept()
+
+
+def test_encoders_are_bounded_and_dropped_by_other_tasks(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_IDS", 8)
+    encoder = bpe._kept(bpe.Encoder, VOCABULARY)
+    text = " ".join(f"w{k}rd{k * k}x number{k}" for k in range(100))
+    library = Tokenizer.from_file(VOCABULARY)
+    assert encoder.encode(text)[1].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(len(encoder.words), len(encoder.stretches), len(encoder.compatible)) <= 8
+    list(scratch.lean(lambda batches: batches)(iter([])))
+    assert bpe._kept(bpe.Encoder, VOCABULARY) is not encoder
+    scratch.drop_kept()
+
+
+@pytest.mark.parametrize("records", [1, 500])
+def test_jaccard_deals_lists_over_several_batches(docs, texts, monkeypatch, records):
+    monkeypatch.setattr(jaccard, "DEALT_RECORDS", records)
+    few = docs.where("doc_id < 80").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard.join_components(few).collect()}
+    monkeypatch.undo()
+    assert got == {r.doc_id: r.component_id for r in jaccard.join_components(few).collect()}

@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .scratch import small_batches
+from .scratch import kept, small_batches
 
 #: Texts of words, and words, kept with their results in a worker; the memory is emptied when full.
 KEPT = 300_000
+#: The same for encoders, whose results take several times the bytes of counts.
+KEPT_IDS = 100_000
 LONGEST_KEPT = 64
 _END = 0x10000
 #: Fixed value: the word pattern of the vocabulary with word ends. What it does to printable ASCII without
@@ -146,7 +148,7 @@ class Encoder:
                 limit, a = a, parts[a][1]
             else:
                 limit, b = b + 1, parts[b][0]
-        if len(self.compatible) > 4 * KEPT:
+        if len(self.compatible) >= KEPT_IDS:
             self.compatible.clear()
         self.compatible[key] = answer
         return answer
@@ -187,7 +189,7 @@ class Encoder:
             if (got := self.words.get(word)) is None:
                 got = tuple([to_id[x] for x in self.word(word)])
                 if len(word) <= LONGEST_KEPT:
-                    if len(self.words) >= KEPT:
+                    if len(self.words) >= KEPT_IDS:
                         self.words.clear()
                     self.words[word] = got
             ids += got
@@ -201,7 +203,7 @@ class Encoder:
             if (got := known.get(x)) is None:
                 got = self.stretch(x)
                 if len(x) <= LONGEST_KEPT:
-                    if len(known) >= KEPT:
+                    if len(known) >= KEPT_IDS:
                         known.clear()
                     known[x] = got
             if got[1]:
@@ -283,14 +285,9 @@ class Counter:
         return total
 
 
-_loaded: dict[tuple[type, str], object] = {}
-
-
 def _kept(kind: type, path: str):  # noqa: ANN202
-    """One instance a worker; workers outlive tasks."""
-    if (kind, path) not in _loaded:
-        _loaded[kind, path] = kind(path)
-    return _loaded[kind, path]
+    """One instance a worker, until another operator's task follows in it."""
+    return kept((kind, path), lambda: kind(path))
 
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, join_hot
-from .scratch import discard, shared_folder, small_batches, stored
+from .scratch import discard, lean, shared_folder, small_batches, stored
 from .shingles import set_key, shingle_sets
 from .textkernel import mix
 
@@ -53,7 +53,9 @@ REMEMBERED = 1 << 20
 #: Sets that a list's smallest set leads from which on its family also takes in pairs with this share of the overlap.
 BUSY, EASE = 32, 0.9
 #: Records of the prefix index per bucket, about.
-BUCKET_RECORDS = 200_000
+BUCKET_RECORDS = 100_000
+#: Records that a task deals to buckets at a time, about.
+DEALT_RECORDS = 1 << 18
 RECORD = np.dtype([("token", "<u8"), ("key", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -115,7 +117,7 @@ def _described(docs: DataFrame, size: int, cell_bits: int, cell_block: int) -> D
     kind = dict(docs.dtypes)["doc_id"]
     b_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     names = ["doc_id", "text_hash", "n", "key", "cells", "block", "task", "turns"]
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(work, f"doc_id {kind}, text_hash long, n int, key long, cells binary, block int, task int, turns binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(work), f"doc_id {kind}, text_hash long, n int, key long, cells binary, block int, task int, turns binary")
 
 
 def _common(described: DataFrame, folder: str, cell_bits: int, cell_block: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,9 +145,9 @@ def _common(described: DataFrame, folder: str, cell_bits: int, cell_block: int,
     some = described.where("block is not null").select("block", "task", F.struct("cells", "turns").alias("part"))
     for level in (0, 1):
         summed = some.groupBy("block", F.shiftright("task", 6).alias("task")).agg(F.collect_list("part").alias("parts"))
-        some = summed.mapInArrow(partial(added, level=level), "block int, task int, cells binary").select("block", "task", F.struct("cells").alias("part"))
+        some = summed.mapInArrow(lean(partial(added, level=level)), "block int, task int, cells binary").select("block", "task", F.struct("cells").alias("part"))
     last = some.groupBy("block").agg(F.collect_list("part").alias("parts"))
-    whole = stored(last.mapInArrow(partial(added, level=2), "block int, bits binary, full array<long>, counts array<long>"), folder, "cells")
+    whole = stored(last.mapInArrow(lean(partial(added, level=2)), "block int, bits binary, full array<long>, counts array<long>"), folder, "cells")
     rows = whole.select("block", "bits").collect()  # 2^cell_bits bits
     bits = np.zeros((1 << cell_bits) // 8, np.uint8)
     for r in rows:
@@ -160,8 +162,8 @@ def _lists(docs: DataFrame, size: int, percent: int, common: np.ndarray, hot: np
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
+        out, held = [], 0  # over several batches: rows of few records would cost more than these
         for b in batches:
-            out = []
             if len(done) > REMEMBERED:
                 done.clear()
             for tokens in shingle_sets(b.column("text"), size):
@@ -175,12 +177,18 @@ def _lists(docs: DataFrame, size: int, percent: int, common: np.ndarray, hot: np
                 r = np.empty(len(prefix), RECORD)
                 r["token"], r["key"], r["n"], r["pos"] = prefix, key, n, np.arange(len(prefix))
                 out.append(r)
-            if out:
-                r = np.concatenate(out)
-                bucket = (mix(r["token"] + mix(part_of(r)) * np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                names, at = np.unique(bucket[order], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in np.split(r[order], at[1:])], pa.binary())], names=["bucket", "records"])
+                held += len(r)
+                if held >= DEALT_RECORDS:
+                    yield dealt_out(np.concatenate(out))
+                    out, held = [], 0
+        if out:
+            yield dealt_out(np.concatenate(out))
+
+    def dealt_out(r: np.ndarray) -> pa.RecordBatch:
+        bucket = (mix(r["token"] + mix(part_of(r)) * np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        names, at = np.unique(bucket[order], return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in np.split(r[order], at[1:])], pa.binary())], names=["bucket", "records"])
 
     def part_of(r: np.ndarray) -> np.ndarray:
         """0 for lists that are whole, else the part from 1 on."""
@@ -213,8 +221,8 @@ def _lists(docs: DataFrame, size: int, percent: int, common: np.ndarray, hot: np
                     names=["token", "key", "n", "pos", "lead", "lead_n", "lead_pos", "dealt"],
                 )
 
-    packed = docs.select("text").mapInArrow(emit, "bucket long, records binary")
-    return packed.groupBy("bucket").agg(F.collect_list("records").alias("parts")).mapInArrow(gather, "token long, key long, n int, pos int, lead long, lead_n int, lead_pos int, dealt boolean")
+    packed = docs.select("text").mapInArrow(lean(emit), "bucket long, records binary")
+    return packed.groupBy("bucket").agg(F.collect_list("records").alias("parts")).mapInArrow(lean(gather), "token long, key long, n int, pos int, lead long, lead_n int, lead_pos int, dealt boolean")
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -229,7 +237,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     one = classes.select(F.col("key").alias("a"), F.col("n"), F.col("cells").alias("x"))
     two = classes.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("cells").alias("y"))
-    return join_hot(join_hot(pairs, one, "a"), two, "b").select("a", "b", "n", "m", "x", "y", "ease").mapInArrow(work, "a long, b long")
+    return join_hot(join_hot(pairs, one, "a"), two, "b").select("a", "b", "n", "m", "x", "y", "ease").mapInArrow(lean(work), "a long, b long")
 
 
 def _needs(n: str, m: str, percent: int):  # noqa: ANN202
@@ -446,9 +454,9 @@ def _met(docs: DataFrame, members: DataFrame, dealt: DataFrame, size: int, perce
     names = ["root", "leader", "node", "n", "shared", "outside", "linked", "lead_n", "difference"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    texts = docs.select("text", F.pmod(F.xxhash64(number), F.lit(1 << bits)).alias("h")).mapInArrow(named, "node long, text string")
+    texts = docs.select("text", F.pmod(F.xxhash64(number), F.lit(1 << bits)).alias("h")).mapInArrow(lean(named), "node long, text string")
     placed = texts.join(dealt, "node").repartition("root", "part").sortWithinPartitions("root", "part", F.desc("leads"), "node")
-    return placed.select("root", "part", "node", "leads", "members", "text").mapInArrow(meet, "root long, leader long, node long, n long, shared long, outside long, linked boolean, lead_n long, difference binary")
+    return placed.select("root", "part", "node", "leads", "members", "text").mapInArrow(lean(meet), "root long, leader long, node long, n long, shared long, outside long, linked boolean, lead_n long, difference binary")
 
 
 def _among(met: DataFrame, folder: str, percent: int) -> DataFrame:
@@ -489,4 +497,4 @@ def _among(met: DataFrame, folder: str, percent: int) -> DataFrame:
                 forest += _overlapping(nodes.to_pylist(), n.to_numpy(), base.to_numpy(), [np.frombuffer(t.as_buffer(), np.uint64) for t in far], percent)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in forest], pa.int64()), pa.array([c for _, c in forest], pa.int64())], names=["a", "b"])
 
-    return grouped.mapInArrow(verify, "a long, b long")
+    return grouped.mapInArrow(lean(verify), "a long, b long")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import fold, logistic, sample
-from .scratch import small_batches
+from .scratch import lean, small_batches
 from .textkernel import _FOLDED, prefix_hash, slices, span_hash, text_buffer, words
 
 WORD_BITS = 15
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
                     names=["label", "index", "value"],
                 )
 
-    rows = texts.mapInArrow(extract, "label int, index binary, value binary").collect()  # SAMPLE rows at most
+    rows = texts.mapInArrow(lean(extract), "label int, index binary, value binary").collect()  # SAMPLE rows at most
     rows.sort(key=lambda r: (r["label"], bytes(r["index"]), bytes(r["value"])))  # the order of arrival does not matter
     y = np.array([r["label"] for r in rows], float)
     if not len(y) or y.min() == y.max():
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 z[first : first + n] = margins(model, n, row, index, value)
             yield b.append_column(name, pa.array(logistic(z)))
 
-    return plain.mapInArrow(work, T.StructType([*plain.schema.fields, T.StructField(name, T.DoubleType())]))
+    return plain.mapInArrow(lean(work), T.StructType([*plain.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,11 +1,16 @@
-"""Tables and files that several jobs of one operator share, in the folder of spark.checkpoint.dir, and the size of Arrow batches."""
+"""Tables and files that several jobs of one operator share, in the folder of spark.checkpoint.dir, the size of batches, and what outlives a task in its Python worker."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable, Iterator
+from functools import wraps
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,18 +37,57 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 #: Bytes of an Arrow batch between the JVM and a Python worker, at most; a longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+#: Rows that Spark's Parquet reader decodes at a time, at most; 4,096 texts take tens of MB of the heap in each task.
+READER_ROWS = 512
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Lowers the session's limit on Arrow batches, which would let a worker hold several copies of 64 MB of text."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = conf.get(key, None)
-    if now is None or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
-        conf.set(key, str(BATCH_BYTES))
+    """Lowers the session's limits on Arrow batches, of which JVM and worker hold several copies each, and on the Parquet reader's."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
+        now = conf.get(key, None)
+        if now is None or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > most:
+            conf.set(key, str(most))
     return df
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def kept(name: Hashable, make: Callable[[], Any]) -> Any:
+    """What tasks of one operator keep for each other in a worker, one thing at a time; workers outlive tasks."""
+    if name not in _held:
+        drop_kept()
+        _held[name] = make()
+    return _held[name]
+
+
+def drop_kept() -> None:
+    if _held:
+        _held.clear()
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; allocators would keep it for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
+def lean(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """The same task, which first drops what another operator's tasks have kept in its worker and at last gives back what it has freed."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch], *args: Any, **named: Any) -> Iterator[pa.RecordBatch]:
+        drop_kept()
+        yield from work(batches, *args, **named)
+        trim()
+
+    return run
+
+
 def discard(spark: SparkSession, folder: str, *names: str) -> None:
     """Deletes stored tables that nothing reads any more."""
     for name in names:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import fold, logistic, sample
-from .scratch import discard, shared_folder, small_batches, stored
+from .scratch import discard, lean, shared_folder, small_batches, stored
 from .textkernel import FOLD, SEPARATOR, prefix_hash, slices, span_hash, text_buffer
 
 SIZES = (3, 4, 5, 6)
@@ -126,7 +126,7 @@ def features(rows: DataFrame) -> DataFrame:
                 values = np.concatenate([*found, np.zeros(0, np.int32)])
                 yield pa.RecordBatch.from_arrays([b.column("label"), pa.ListArray.from_arrays(pa.array(np.cumsum(count).astype(np.int32)), pa.array(values))], names=["label", "buckets"])
 
-    return rows.select("label", "text").mapInArrow(work, "label int, buckets array<int>")
+    return rows.select("label", "text").mapInArrow(lean(work), "label int, buckets array<int>")
 
 
 def class_counts(learned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +143,7 @@ def class_counts(learned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["texts"])
 
     seen = np.zeros((2, BUCKETS + 1))
-    for sums in learned.coalesce(TASKS).mapInArrow(count, "texts binary").toArrow().column("texts"):  # TASKS rows of 2 MB at most
+    for sums in learned.coalesce(TASKS).mapInArrow(lean(count), "texts binary").toArrow().column("texts"):  # TASKS rows of 2 MB at most
         seen += np.frombuffer(sums.as_buffer(), np.int32).reshape(2, -1)
     return seen[:, BUCKETS], seen[:, :BUCKETS]
 
@@ -177,7 +177,7 @@ def fit(learned: DataFrame, ratio: np.ndarray, weight: float, penalty: float = P
         w = w.astype(np.float32)
         sent = send(w)
         # as Arrow, TASKS rows of 2 MB at most: as row objects they would be copied several times over in the driver
-        parts = learned.coalesce(TASKS).mapInArrow(partial(slopes, sent=sent), "task long, loss double, slope binary").toArrow()
+        parts = learned.coalesce(TASKS).mapInArrow(lean(partial(slopes, sent=sent)), "task long, loss double, slope binary").toArrow()
         sent.destroy(blocking=True)
         w = w.astype(float)
         loss, slope = 0.0, np.zeros(BUCKETS + 2)
@@ -233,7 +233,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 n += np.bincount(first + row, squares[bucket], b.num_rows)
             yield b.append_column(name, pa.array(logistic(intercept + total / length(n))))
 
-    return plain.mapInArrow(work, T.StructType([*plain.schema.fields, T.StructField(name, T.DoubleType())]))
+    return plain.mapInArrow(lean(work), T.StructType([*plain.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
